@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import cache
 
+from lakesight.plans.agent import agent
+from lakesight.plans.batch import batch
 from lakesight.plans.registry import Registry
 from lakesight.plans.retail import retail
 
@@ -11,6 +13,6 @@ from lakesight.plans.retail import retail
 @cache
 def catalog() -> Registry:
     everything = Registry()
-    for group in (retail,):
+    for group in (retail, batch, agent):
         everything.include(group)
     return everything

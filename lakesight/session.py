@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # S3A settings that must be plain numbers, because some readers
 # reject the "30s" / "24h" spellings of the Hadoop defaults.
@@ -98,10 +99,17 @@ def shared_dir(spark: SparkSession) -> str:
         return context.getCheckpointDir()
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="lakesight-")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="lakesight-"))
+    return context.getCheckpointDir()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point reliable checkpoints at the shared folder, unless already set."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder of this run in the shared location."""
+    return f"{shared_dir(spark).rstrip('/')}/lakesight/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write once and read back: cuts the lineage and outlives lost executors."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
