@@ -10,17 +10,32 @@ GLOBAL = "(global)"
 
 
 def classify(resources: DataFrame, naming: rules.Naming, classic_track: bool = False) -> DataFrame:
-    """Each resource with its bucket, project category and note."""
-    verdict = rules.resource_bucket(
-        naming, F.col("resource_type"), F.col("name"), F.col("region"), F.col("display"),
-        F.col("lb_type"), F.col("tags"), classic_track,
+    """Each resource with its bucket, project category and note; the first matching bucket wins.
+
+    The steps are separate columns, so that no rule is evaluated twice.
+    """
+    kind, name, region = F.col("resource_type"), F.col("name"), F.col("_region")
+    judged = (
+        resources.withColumn("_region", F.coalesce("region", F.lit("")))
+        .withColumn("orphan_type", rules.orphan_kind(kind, F.col("lb_type")))
+        .withColumn(
+            "_verdict",
+            rules.orphan_verdict(
+                naming, F.col("orphan_type"), name, region, F.col("lb_type"), F.col("tags"), classic_track
+            ),
+        )
+        .withColumn(
+            "bucket",
+            F.when(F.col("_verdict").isNotNull(), F.col("_verdict.level"))
+            .when(rules.is_builtin(F.col("display")), "builtin")
+            .when(rules.is_project(naming, kind, name, region), "project")
+            .otherwise("other"),
+        )
     )
-    return resources.withColumn("_v", verdict).select(
-        *resources.columns,
-        F.col("_v.bucket").alias("bucket"),
-        F.col("_v.category").alias("category"),
-        F.col("_v.note").alias("orphan_note"),
-        F.col("_v.orphan_kind").alias("orphan_type"),
+    category = F.when(F.col("bucket") == "project", rules.project_category(naming, kind, name, region))
+    return judged.select(
+        *resources.columns, "bucket", category.alias("category"), F.col("_verdict.note").alias("orphan_note"),
+        "orphan_type",
     )
 
 

@@ -6,13 +6,15 @@ from functools import cache
 
 from lakesight.plans.agent import agent
 from lakesight.plans.batch import batch
+from lakesight.plans.ops import ops
 from lakesight.plans.registry import Registry
 from lakesight.plans.retail import retail
+from lakesight.plans.textjobs import textjobs
 
 
 @cache
 def catalog() -> Registry:
     everything = Registry()
-    for group in (retail, batch, agent):
+    for group in (retail, batch, agent, ops, textjobs):
         everything.include(group)
     return everything

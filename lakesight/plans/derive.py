@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lakesight.session import materialize
 from lakesight.sources.tables import table
 
 K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"
@@ -195,7 +196,8 @@ def trace(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, folder: str) -> DataFrame:
-    return shaped(spark, folder, "customer", inventory_columns(True))
+    """The inventory as a stored table: its names would else be derived anew in every rule."""
+    return materialize(shaped(spark, folder, "customer", inventory_columns(True)), "inventory")
 
 
 TRACE_SQL = shaped_sql("events", TRACE)
