@@ -204,17 +204,20 @@ def nearest_batch(
 
 # ---- what is made of a result ---------------------------------------------------------------
 
-def brand_histogram(results: DataFrame, brand: str = "brand", n: int = TOP_BRANDS, above: int = SAMPLE_SEARCH_ROWS) -> DataFrame:
+def brand_histogram(
+    results: DataFrame, brand: str = "brand", n: int = TOP_BRANDS, above: int = SAMPLE_SEARCH_ROWS
+) -> DataFrame:
     """The brands most often found; given only when the result is longer than its sample."""
-    size = results.agg(F.count("*").alias("n_rows"))
-    counted = results.where(F.coalesce(F.col(brand), F.lit("")) != "").groupBy(brand).agg(F.count("*").alias("mentions"))
-    total = size.where(F.col("n_rows") > above).withColumn("_one", F.lit(1))
+    # A search returns k rows at most, so its groups fit one window.
+    everything = Window.partitionBy()
     return (
-        counted.withColumn("_one", F.lit(1))
-        .join(total, "_one", "left_semi")
-        .drop("_one")
+        results.groupBy(brand)
+        .agg(F.count("*").alias("mentions"))
+        .withColumn("_rows", F.sum("mentions").over(everything))
+        .where((F.col("_rows") > above) & (F.coalesce(F.col(brand), F.lit("")) != ""))
         .orderBy(F.col("mentions").desc(), F.col(brand))
         .limit(n)
+        .drop("_rows")
     )
 
 

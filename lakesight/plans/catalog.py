@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import cache
 
+from lakesight.plans.adhoc import adhoc
 from lakesight.plans.agent import agent
 from lakesight.plans.batch import batch
 from lakesight.plans.ops import ops
@@ -16,6 +17,6 @@ from lakesight.plans.textjobs import textjobs
 @cache
 def catalog() -> Registry:
     everything = Registry()
-    for group in (retail, batch, agent, ops, textjobs, searching):
+    for group in (retail, batch, agent, ops, textjobs, searching, adhoc):
         everything.include(group)
     return everything
