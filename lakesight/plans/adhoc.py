@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,14 +15,16 @@ from lakesight.sources import tables as S
 adhoc = Registry()
 
 
-def register_views(spark: SparkSession, folder: str) -> None:
+def register_views(spark: SparkSession, folder: str, sql: str) -> None:
+    """Views for the tables the statement names."""
     for name in S.TABLES:
-        S.table(spark, folder, name).createOrReplaceTempView(name)
+        if re.search(rf"\b{name}\b", sql):
+            S.table(spark, folder, name).createOrReplaceTempView(name)
 
 
 def select(spark: SparkSession, folder: str, sql: str) -> DataFrame:
     """Rows of a guarded statement; a refusal is raised here."""
-    register_views(spark, folder)
+    register_views(spark, folder, sql)
     result = Q.run_select(spark, sql)
     if not result.success:
         raise ValueError(result.error)
@@ -111,7 +114,7 @@ statement("sql_semi_join", "EXISTS as a semi join.", """
 SELECT c_custkey, c_name FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)""")
 
 statement("sql_anti_join", "NOT EXISTS as an anti join.", """
-SELECT p_partkey, p_brand FROM part p WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_returnflag = 'R')""")
+SELECT p_partkey, p_brand FROM part p WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p.p_partkey AND l.l_returnflag = 'R' AND l.l_quantity > 45)""")
 
 statement("sql_in_subquery", "Membership in a subquery.", """
 SELECT o_orderkey, o_orderpriority FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")

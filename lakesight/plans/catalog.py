@@ -11,12 +11,13 @@ from lakesight.plans.ops import ops
 from lakesight.plans.registry import Registry
 from lakesight.plans.retail import retail
 from lakesight.plans.searching import searching
+from lakesight.plans.streams import streams
 from lakesight.plans.textjobs import textjobs
 
 
 @cache
 def catalog() -> Registry:
     everything = Registry()
-    for group in (retail, batch, agent, ops, textjobs, searching, adhoc):
+    for group in (retail, batch, agent, ops, textjobs, searching, adhoc, streams):
         everything.include(group)
     return everything
