@@ -30,29 +30,38 @@ def trace_stream(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("question", F.lit(None).cast("string"))
 
 
-STATES_SQL = f"""
-WITH t AS ({D.TRACE_SQL}),
-s AS (SELECT query_id, count(*) FILTER (WHERE event_type = 'tool_call_complete') AS calls,
+FOLD_SQL = """count(*) FILTER (WHERE event_type = 'tool_call_complete') AS calls,
   arg_max(iteration, seq) FILTER (WHERE event_type = 'complete')::BIGINT AS iterations,
   arg_max(execution_time_ms, seq) FILTER (WHERE event_type = 'complete') AS execution_time_ms,
   arg_max(answer, seq) FILTER (WHERE event_type = 'complete') AS answer,
-  arg_max(coalesce(error, '-'), seq) FILTER (WHERE event_type = 'error') AS error,
-  count(*) FILTER (WHERE event_type = 'complete') AS nc, count(*) FILTER (WHERE event_type = 'error') AS ne,
-  max(ts) AS last_ts FROM t GROUP BY query_id)
-SELECT query_id, calls, iterations, execution_time_ms, answer, nullif(error, '-') AS error,
-  CASE WHEN nc > 0 THEN 'complete' WHEN ne > 0 THEN 'error'
-       WHEN epoch_ms(last_ts) + 1800000 <= epoch_ms((SELECT max(ts) FROM events)) - 600000 THEN 'abandoned' ELSE 'running' END AS status
-FROM s"""
+  nullif(arg_max(coalesce(error, '-'), seq) FILTER (WHERE event_type = 'error'), '-') AS error, max(ts) AS last_ts,
+  CASE WHEN count(*) FILTER (WHERE event_type = 'complete') > 0 THEN 'complete'
+       WHEN count(*) FILTER (WHERE event_type = 'error') > 0 THEN 'error' ELSE '{unfinished}' END AS status"""
+STATE_COLUMNS = ["query_id", "calls", "iterations", "execution_time_ms", "answer", "error", "status"]
 
 
-@streams.register(STATES_SQL)
+@streams.register(f"SELECT query_id, {FOLD_SQL.format(unfinished='running')} FROM ({D.TRACE_SQL}) GROUP BY query_id")
 def stream_query_states(spark: SparkSession, folder: str) -> DataFrame:
     """Execution state of every query, folded from the event stream."""
     path = scratch_folder(spark, "states")
     states = R.run_updated(
         A.query_states(trace_stream(spark, folder)), f"{path}/out", f"{path}/checkpoint", "query_id"
     )
-    return states.select("query_id", "calls", "iterations", "execution_time_ms", "answer", "error", "status")
+    return states.select(*STATE_COLUMNS, F.col("last_ts").cast("timestamp_ntz").alias("last_ts"))
+
+
+@streams.register(f"""
+WITH t AS ({D.TRACE_SQL}),
+g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY query_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM t),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY query_id ORDER BY ts) AS session FROM g),
+f AS (SELECT query_id, session, {FOLD_SQL.format(unfinished='abandoned')} FROM s GROUP BY query_id, session)
+SELECT {', '.join(STATE_COLUMNS)}, last_ts FROM f
+WHERE last_ts + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
+def stream_closed_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """Queries that were silent for half an hour, with their final state."""
+    path = scratch_folder(spark, "closed")
+    closed = R.run_appended(A.closed_queries(trace_stream(spark, folder)), f"{path}/out", f"{path}/checkpoint")
+    return closed.select(*STATE_COLUMNS, F.col("last_ts").cast("timestamp_ntz").alias("last_ts"))
 
 
 @streams.register(f"""SELECT DISTINCT query_id, event_type FROM ({D.TRACE_SQL}) WHERE event_type IN ('complete', 'error')""")

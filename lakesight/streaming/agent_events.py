@@ -1,55 +1,20 @@
-"""Agent events as a stream: one state per query, and metrics per time window."""
+"""Agent events as a stream: one state per query, closed sessions, and metrics per window.
 
-from __future__ import annotations
+The folds are built-in aggregations: events are combined per query where they are
+read, so a query with very many events sends one row per task through the shuffle.
+The same functions accept a finished table and then give the same rows.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lakesight.operators.trace import COMPLETE, ERROR, SYNTHESIS, TOOL_CALL, metric_columns
 from lakesight.schema import TRACE
 
 QUESTION = "question"
 LATE = "10 minutes"
-TIMEOUT_MINUTES = 30
-
-# What is known about a query: how many calls were made, and the value with the highest
-# sequence number of everything else. Two such rows merge into one, in any order.
-PARTIAL = T.StructType([
-    T.StructField("query_id", T.StringType()),
-    T.StructField("calls", T.LongType()),
-    T.StructField("question", T.StringType()),
-    T.StructField("question_seq", T.LongType()),
-    T.StructField("answer", T.StringType()),
-    T.StructField("iterations", T.LongType()),
-    T.StructField("execution_time_ms", T.DoubleType()),
-    T.StructField("complete_seq", T.LongType()),
-    T.StructField("error", T.StringType()),
-    T.StructField("error_seq", T.LongType()),
-    T.StructField("last_ts", T.TimestampType()),
-])
-STATE = T.StructType([f for f in PARTIAL.fields if f.name not in ("query_id", "last_ts")] + [
-    T.StructField("last_ms", T.LongType()),
-])
-OUTPUT = T.StructType([
-    T.StructField("query_id", T.StringType()),
-    T.StructField("question", T.StringType()),
-    T.StructField("calls", T.LongType()),
-    T.StructField("iterations", T.LongType()),
-    T.StructField("execution_time_ms", T.DoubleType()),
-    T.StructField("answer", T.StringType()),
-    T.StructField("error", T.StringType()),
-    T.StructField("status", T.StringType()),
-    T.StructField("events_until", T.TimestampType()),
-])
-# Values that belong to the event whose sequence number stands under the key.
-GROUPS = {
-    "question_seq": ["question"],
-    "complete_seq": ["answer", "iterations", "execution_time_ms"],
-    "error_seq": ["error"],
-}
+TIMEOUT = "30 minutes"
 
 
 def read_events(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
@@ -60,112 +25,50 @@ def read_events(spark: SparkSession, folder: str, files_per_batch: int | None =
     return reader.json(folder)
 
 
-def _partial_columns() -> list[Column]:
-    kind = F.col("event_type")
-    at = lambda event, c: F.when(kind == event, c)
-    seq = F.col("seq")
+def _state_columns() -> list[Column]:
+    """Counts and last values; the calls themselves stay in the event table.
+
+    A repeated terminal event replaces the answer, and arrival order does not
+    matter, because the highest sequence number decides.
+    """
+    kind, seq = F.col("event_type"), F.col("seq")
     call = (kind == TOOL_CALL) & ~F.col("tool").eqNullSafe(F.lit(SYNTHESIS))
+    last = lambda c, event: F.max_by(F.when(kind == event, c), F.when(kind == event, seq))
     return [
-        F.col("query_id").cast("string").alias("query_id"),
-        call.cast("long").alias("calls"),
-        at(QUESTION, F.col("question")).alias("question"),
-        at(QUESTION, seq).alias("question_seq"),
-        at(COMPLETE, F.col("answer")).alias("answer"),
-        at(COMPLETE, F.col("iteration").cast("long")).alias("iterations"),
-        at(COMPLETE, F.col("execution_time_ms")).alias("execution_time_ms"),
-        at(COMPLETE, seq).alias("complete_seq"),
-        at(ERROR, F.col("error")).alias("error"),
-        at(ERROR, seq).alias("error_seq"),
-        F.col("ts").cast("timestamp").alias("last_ts"),
+        last(F.col("question"), QUESTION).alias("question"),
+        F.count_if(call).alias("calls"),
+        last(F.col("iteration").cast("long"), COMPLETE).alias("iterations"),
+        last(F.col("execution_time_ms"), COMPLETE).alias("execution_time_ms"),
+        last(F.col("answer"), COMPLETE).alias("answer"),
+        last(F.col("error"), ERROR).alias("error"),
+        F.max(F.when(kind == COMPLETE, F.lit(2)).when(kind == ERROR, F.lit(1)).otherwise(0)).alias("_end"),
+        F.max("ts").alias("last_ts"),
     ]
 
 
-def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    """One row per query out of many."""
-    merged = rows.groupby("query_id", sort=False).agg(calls=("calls", "sum"), last_ts=("last_ts", "max"))
-    for seq, values in GROUPS.items():
-        known = rows[rows[seq].notna()]
-        newest = known.loc[known.groupby("query_id", sort=False)[seq].idxmax(), ["query_id", seq, *values]]
-        merged = merged.join(newest.set_index("query_id"))
-    return merged.reset_index()[PARTIAL.fieldNames()]
-
-
-def _premerge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        if len(batch):
-            yield _merge(batch)
-
+def _with_status(states: DataFrame, unfinished: str) -> DataFrame:
+    status = F.when(F.col("_end") == 2, "complete").when(F.col("_end") == 1, "error").otherwise(unfinished)
+    return states.withColumn("status", status).drop("_end")
 
-def _none(value):
-    return None if pd.isna(value) else value
 
+def query_states(events: DataFrame) -> DataFrame:
+    """The current state of every query, written again whenever it changes (update mode).
 
-def query_states(events: DataFrame, late: str = LATE, timeout_minutes: int = TIMEOUT_MINUTES) -> DataFrame:
-    """One state per query, written again whenever it changes (update mode).
-
-    Events are merged per query where they are read, so a query with very many
-    events sends a few rows through the shuffle. The state holds counts and last
-    values only; the calls themselves stay in the event table. A repeated terminal
-    event replaces the answer and is counted once. A query without a terminal event
-    is closed as ``abandoned`` once the watermark passes its last event by the
-    timeout.
+    States are kept for the life of the stream; see :func:`closed_queries` for
+    endless ones.
     """
-    span = timeout_minutes * 60_000
-    names = STATE.fieldNames()
-
-    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        query_id = key[0]
-        known = dict(zip(names, state.get)) if state.exists else dict.fromkeys(names)
-        if state.hasTimedOut:
-            state.remove()
-            if known["complete_seq"] is None and known["error_seq"] is None:
-                yield _row(query_id, known, "abandoned")
-            return
-        for frame in frames:
-            for row in _merge(frame).to_dict("records"):
-                known["calls"] = (known["calls"] or 0) + int(row["calls"])
-                last = int(row["last_ts"].value // 1_000_000)
-                known["last_ms"] = max(known["last_ms"] or last, last)
-                for seq, values in GROUPS.items():
-                    new = _none(row[seq])
-                    if new is not None and (known[seq] is None or int(new) > known[seq]):
-                        known[seq] = int(new)
-                        for v in values:
-                            known[v] = _none(row[v])
-        if known["iterations"] is not None:
-            known["iterations"] = int(known["iterations"])
-        state.update(tuple(known[n] for n in names))
-        state.setTimeoutTimestamp(max(known["last_ms"] + span, state.getCurrentWatermarkMs() + 1))
-        status = "complete" if known["complete_seq"] is not None else "error" if known["error_seq"] is not None else "running"
-        yield _row(query_id, known, status)
-
-    merged = events.select(*_partial_columns()).mapInPandas(_premerge, PARTIAL)
-    return (
-        merged.withWatermark("last_ts", late)
-        .groupBy("query_id")
-        .applyInPandasWithState(fold, OUTPUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
-    )
+    return _with_status(events.groupBy("query_id").agg(*_state_columns()), "running")
 
 
-def _row(query_id: str, known: dict, status: str) -> pd.DataFrame:
-    values = {c: [known[c]] for c in ("question", "calls", "iterations", "execution_time_ms", "answer", "error")}
-    until = [pd.Timestamp(known["last_ms"], unit="ms")]
-    return pd.DataFrame({"query_id": [query_id], **values, "status": [status], "events_until": until})[OUTPUT.fieldNames()]
+def closed_queries(events: DataFrame, timeout: str = TIMEOUT, late: str = LATE) -> DataFrame:
+    """Each query once it is over, its state forgotten then (append mode).
 
-
-def batch_states(trace: DataFrame) -> DataFrame:
-    """The same states from a finished trace, without timeouts."""
-    folded = trace.select(*_partial_columns()).groupBy("query_id").agg(
-        F.sum("calls").alias("calls"),
-        *[F.max_by(v, seq).alias(v) for seq, values in GROUPS.items() for v in values],
-        F.max("complete_seq").alias("complete_seq"),
-        F.max("error_seq").alias("error_seq"),
-    )
-    status = F.when(F.col("complete_seq").isNotNull(), "complete").when(F.col("error_seq").isNotNull(), "error")
-    return folded.select(
-        "query_id", "question", "calls", "iterations", "execution_time_ms", "answer", "error",
-        status.otherwise("running").alias("status"),
-    )
+    A query is over when nothing arrived for the timeout; without a terminal event
+    it counts as ``abandoned``.
+    """
+    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    sessions = timed.groupBy("query_id", F.session_window("ts", timeout).alias("w")).agg(*_state_columns())
+    return _with_status(sessions, "abandoned").withColumn("closed_at", F.col("w.end")).drop("w")
 
 
 def first_terminal_events(events: DataFrame, late: str = LATE) -> DataFrame:
@@ -175,7 +78,7 @@ def first_terminal_events(events: DataFrame, late: str = LATE) -> DataFrame:
 
 
 def windowed_metrics(events: DataFrame, window: str = "1 hour", late: str = LATE) -> DataFrame:
-    """Fleet metrics per time window; a batch table gives the same rows."""
+    """Fleet metrics per time window."""
     columns = metric_columns()
     timed = events.withWatermark("ts", late) if events.isStreaming else events
     grouped = timed.groupBy(F.window("ts", window).alias("w"))
