@@ -105,16 +105,14 @@ def tool_calls(reply: Column) -> Column:
     tools = F.regexp_extract_all(reply, F.lit(r"(?i)TOOL:\s*(\w+)"), F.lit(1))
     inputs = F.regexp_extract_all(reply, F.lit(r"(?s)INPUT:\s*(\{.*?\})"), F.lit(1))
 
-    def call(tool: Column, i: Column) -> Column:
-        raw = F.get(inputs, i)
+    def call(tool: Column, raw: Column) -> Column:
         parsed = F.when(F.try_parse_json(raw).isNotNull(), raw).otherwise(F.to_json(simple_input(raw)))
         return F.struct(
-            i.alias("position"),
-            F.lower(tool).alias("tool"),
-            F.coalesce(F.when(raw.isNotNull(), parsed), F.lit("{}")).alias("input"),
+            F.lower(tool).alias("tool"), F.coalesce(F.when(raw.isNotNull(), parsed), F.lit("{}")).alias("input")
         )
 
-    return F.transform(tools, call)
+    # Zipping pads the shorter list with NULL; inputs without a tool are left out.
+    return F.filter(F.zip_with(tools, inputs, call), lambda c: c["tool"].isNotNull())
 
 
 def answer_has_number(answer: Column) -> Column:

@@ -15,6 +15,7 @@ Embed = Callable[[list[str]], Sequence[Sequence[float]]]
 
 BATCH = 64
 DIMENSION = 64
+CACHED_WORDS = 200_000
 WORD_BREAK = re.compile(r"[ \t\n\r\f\v]+")
 
 
@@ -25,8 +26,11 @@ def hashing_embedder(dimension: int = DIMENSION) -> Embed:
     the sign. A text without words is the zero vector.
     """
 
+    places: dict[str, tuple[int, int]] = {}
+
     def embed(texts: list[str]) -> list[np.ndarray]:
-        places: dict[str, tuple[int, int]] = {}
+        if len(places) > CACHED_WORDS:
+            places.clear()
         vectors = []
         for text in texts:
             index, sign = [], []
@@ -74,4 +78,5 @@ def embed_column(df: DataFrame, text: str, embed: Embed, into: str = "embedding"
                 out.extend(call(texts[start:start + BATCH]))
             yield pd.Series(out, index=batch.index, dtype=object)
 
-    return df.withColumn(into, vectors(F.col(text)))
+    # Declared non-deterministic so that no plan rewrite evaluates the costly call twice.
+    return df.withColumn(into, vectors.asNondeterministic()(F.col(text)))

@@ -28,26 +28,25 @@ def _blocks(body: Column) -> Column:
     return F.transform(F.split(body, "\n\n", -1), entry)
 
 
-def last_value(body: Column, event: str, key: str) -> Column:
+def _last_value(blocks: Column, event: str, key: str) -> Column:
     """The value under ``key`` in the last block of that event that has the key."""
     having = F.filter(
-        _blocks(body),
+        blocks,
         lambda b: (b["event"] == event)
         & F.coalesce(F.array_contains(F.json_object_keys(b["data"]), key), F.lit(False)),
     )
     return F.get_json_object(F.try_element_at(having, F.lit(-1))["data"], f"$.{key}")
 
 
-def complete_answer(body: Column) -> Column:
-    return last_value(body, "complete", "answer")
-
-
-def error_message(body: Column) -> Column:
-    return last_value(body, "error", "message")
-
-
 def parse_bodies(bodies: DataFrame, column: str = "body") -> DataFrame:
     """Final answer and last error of every event text."""
-    return bodies.withColumns(
-        {"answer": complete_answer(F.col(column)), "error_message": error_message(F.col(column))}
+    return (
+        bodies.withColumn("_blocks", _blocks(F.col(column)))
+        .withColumns(
+            {
+                "answer": _last_value(F.col("_blocks"), "complete", "answer"),
+                "error_message": _last_value(F.col("_blocks"), "error", "message"),
+            }
+        )
+        .drop("_blocks")
     )

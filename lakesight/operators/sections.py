@@ -20,47 +20,30 @@ def pieces(text: Column) -> Column:
     return F.split(text, r"(?md)(?=^## \d+\. )", -1)
 
 
-def section_texts(text: Column) -> Column:
-    """``array<struct<number, body>>`` of the numbered sections.
-
-    A section starts at the last separator line before its heading, wherever that
-    is; without one it starts at the heading. It ends one character before the next
-    heading, trailing white space removed.
-    """
-    parts = pieces(text)
+def _openings(parts: Column) -> Column:
+    """Per numbered section: its number, its text, and what precedes it since the last separator."""
 
     def step(acc: Column, piece: Column) -> Column:
-        heading = piece.rlike(r"^## \d+\. ")
-        opening = F.when(acc["tail"].isNotNull(), F.concat(F.lit(RULE), acc["tail"])).otherwise("")
         entry = F.struct(
             F.regexp_extract(piece, r"^## (\d+)\. ", 1).try_cast("int").alias("number"),
-            opening.alias("opening"),
+            F.concat(F.lit(RULE), acc["tail"]).alias("opening"),
             piece.alias("piece"),
         )
         after = F.when(piece.contains(SEPARATOR), F.substring_index(piece, SEPARATOR, -1)).otherwise(
             F.concat(acc["tail"], piece)
         )
-        return F.struct(
-            after.alias("tail"),
-            F.when(heading, F.concat(acc["out"], F.array(entry))).otherwise(acc["out"]).alias("out"),
-        )
+        out = F.when(piece.rlike(r"^## \d+\. "), F.concat(acc["out"], F.array(entry))).otherwise(acc["out"])
+        return F.struct(after.alias("tail"), out.alias("out"))
 
     empty = F.array().cast("array<struct<number:int,opening:string,piece:string>>")
     start = F.struct(F.lit(None).cast("string").alias("tail"), empty.alias("out"))
-    found = F.aggregate(parts, start, step, lambda acc: acc["out"])
-    last = F.size(found) - 1
-    return F.transform(
-        found,
-        lambda s, i: F.struct(
-            s["number"].alias("number"),
-            rstrip(
-                F.concat(
-                    s["opening"],
-                    F.when(i == last, s["piece"]).otherwise(F.left(s["piece"], F.length(s["piece"]) - 1)),
-                )
-            ).alias("body"),
-        ),
-    )
+    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+
+
+def _body(section: Column, following: Column) -> Column:
+    text = section["piece"]
+    kept = F.when(following.isNull(), text).otherwise(F.left(text, F.length(text) - 1))
+    return rstrip(F.concat(F.coalesce(section["opening"], F.lit("")), kept))
 
 
 def route(number: Column, routes: Mapping[str, Iterable[int]], default: str) -> Column:
@@ -75,27 +58,41 @@ def route(number: Column, routes: Mapping[str, Iterable[int]], default: str) ->
 def split_documents(
     documents: DataFrame, routes: Mapping[str, Iterable[int]], default: str, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """One row per section with its place, number, bucket and text."""
-    exploded = documents.select(key, F.posexplode(section_texts(F.col(text))).alias("position", "s"))
+    """One row per numbered section with its place, number, bucket and text.
+
+    A section starts at the last separator line before its heading, wherever that
+    is; without one it starts at the heading. It ends one character before the next
+    heading, trailing white space removed.
+    """
+    # Arrays are columns of their own: named again inside a lambda, an expression would run per element.
+    found = documents.select(key, pieces(F.col(text)).alias("parts")).select(key, _openings(F.col("parts")).alias("s"))
+    sections = F.zip_with(
+        "s",
+        F.slice("s", 2, 2_147_483_647),
+        lambda s, following: F.struct(s["number"].alias("number"), _body(s, following).alias("body")),
+    )
+    # The outer form keeps the optimizer from adding a size filter that computes the array twice.
+    exploded = found.select(key, F.posexplode_outer(sections).alias("position", "s")).where("position IS NOT NULL")
     return exploded.select(
         key, "position", F.col("s.number").alias("number"),
         route(F.col("s.number"), routes, default).alias("bucket"), F.col("s.body").alias("body"),
     )
 
 
-def renumber(text: Column) -> Column:
+def renumber(documents: DataFrame, text: str = "text") -> DataFrame:
     """Sections numbered 1, 2, 3 … with their subsections, repeated separators collapsed."""
-    parts = pieces(text)
-    has_header = ~F.get(parts, F.lit(0)).rlike(r"^## \d+\. ")
-    offset = F.when(has_header, 0).otherwise(1)
+    heading = r"^## \d+\. "
+    split = documents.withColumn("_parts", pieces(F.col(text)))
+    shift = F.when(F.get("_parts", F.lit(0)).rlike(heading), 1).otherwise(0)
 
     def numbered(piece: Column, i: Column) -> Column:
-        number = (i + offset).cast("string")
-        heading = F.regexp_replace(piece, F.lit(r"^## \d+\. "), F.concat(F.lit("## "), number, F.lit(". ")))
+        number = (i + F.col("_shift")).cast("string")
+        renamed = F.regexp_replace(piece, F.lit(heading), F.concat(F.lit("## "), number, F.lit(". ")))
         children = F.regexp_replace(
-            heading, F.lit(r"(?md)^### \d+\.(\d+)\s*"), F.concat(F.lit("### "), number, F.lit(".$1 "))
+            renamed, F.lit(r"(?md)^### \d+\.(\d+)\s*"), F.concat(F.lit("### "), number, F.lit(".$1 "))
         )
-        return F.when(piece.rlike(r"^## \d+\. "), children).otherwise(piece)
+        return F.when(piece.rlike(heading), children).otherwise(piece)
 
-    joined = F.array_join(F.transform(parts, numbered), "")
-    return F.regexp_replace(joined, r"(\n---\n\n)(\s*---\n\n)+", "$1")
+    joined = F.array_join(F.transform("_parts", numbered), "")
+    collapsed = F.regexp_replace(joined, r"(\n---\n\n)(\s*---\n\n)+", "$1")
+    return split.withColumn("_shift", shift).withColumn(text, collapsed).drop("_parts", "_shift")

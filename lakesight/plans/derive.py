@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lakesight.session import materialize
-from lakesight.sources.tables import table
+from lakesight.sources.tables import table, wide_table
 
 K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"
 
@@ -183,8 +183,11 @@ def inventory_columns(spark: bool) -> dict[str, str]:
     }
 
 
-def shaped(spark: SparkSession, folder: str, source: str, columns: dict[str, str]) -> DataFrame:
-    return table(spark, folder, source).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
+def shaped(
+    spark: SparkSession, folder: str, source: str, columns: dict[str, str], wide: bool = False
+) -> DataFrame:
+    rows = wide_table(spark, folder, source) if wide else table(spark, folder, source)
+    return rows.selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
 
 
 def shaped_sql(source: str, columns: dict[str, str]) -> str:

@@ -111,7 +111,7 @@ def places(vectors: DataFrame, key: str) -> DataFrame:
 FROM ({hashed_sql('documents', 'doc_id')}) WHERE value <> 0""")
 def text_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """The vector of every document's whole text, place by place."""
-    documents = S.table(spark, folder, "documents").select("doc_id", "text")
+    documents = S.wide_table(spark, folder, "documents").select("doc_id", "text")
     return places(B.embed_column(documents, "text", B.hashing_embedder()), "doc_id")
 
 
@@ -126,7 +126,7 @@ SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY distanc
 def benchmark_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The five documents closest to every benchmark text."""
     embed = B.hashing_embedder()
-    corpus = B.embed_column(S.table(spark, folder, "documents").select("doc_id", "text"), "text", embed)
+    corpus = B.embed_column(S.wide_table(spark, folder, "documents").select("doc_id", "text"), "text", embed)
     questions = B.embed_column(S.table(spark, folder, "benchmark"), "text", embed)
     return N.nearest_batch(corpus, questions, 5, key="doc_id", question="item_id").drop("distance")
 
@@ -138,7 +138,7 @@ SELECT doc_id, dim, CAST(round(CAST(value AS DOUBLE) * 1e6) AS BIGINT) AS value
 def refreshed_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors after an edit of the poor texts: only the changed rows are embedded again."""
     embed = lambda rows: B.embed_column(rows, "text", B.hashing_embedder())
-    before = S.table(spark, folder, "documents").select("doc_id", "text")
+    before = S.wide_table(spark, folder, "documents").select("doc_id", "text")
     poor = S.table(spark, folder, "labels").where("quality = 0").select("doc_id")
     edits = before.join(poor, "doc_id", "left_semi").withColumn("text", F.concat("text", F.lit(" recall")))
     after = keyed.upsert(before, edits, "doc_id")

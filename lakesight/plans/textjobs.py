@@ -88,7 +88,7 @@ def numbered_documents(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("## "), number(i), F.lit(". Part\n"), line, F.lit("\n### "), number(i), F.lit(".1   Sub\nend\n"),
     )
     text = F.concat(F.lit("# Title\n"), F.array_join(F.transform(F.split("text", "\n", -1), section), ""))
-    return S.table(spark, folder, "documents").select("doc_id", text.alias("text"))
+    return S.wide_table(spark, folder, "documents").select("doc_id", text.alias("text"))
 
 
 NUMBERED_SQL = r"""
@@ -127,4 +127,4 @@ SELECT doc_id, regexp_replace(array_to_string(list_transform(parts, lambda x, i:
   '(\n---\n\n)(\s*---\n\n)+', '\1', 'g') AS text FROM p""")
 def renumbered_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Sections and subsections numbered from one in every document."""
-    return numbered_documents(spark, folder).select("doc_id", X.renumber(F.col("text")).alias("text"))
+    return X.renumber(numbered_documents(spark, folder))

@@ -21,6 +21,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table to do costly per-row work on.
+
+    A file that cannot be split would keep one core busy and the others idle, so a
+    scan with fewer splits than cores is spread out. A large table has more splits
+    than cores and is read as it is, without a shuffle.
+    """
+    rows = table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def sentiment() -> Column:
     flag = F.col("l_returnflag")
     return F.when(flag == "R", "Negative").when(flag == "A", "Positive").otherwise("Neutral")
