@@ -77,19 +77,25 @@ def nearest(
     """The ``k`` rows closest to the query vector, closest first.
 
     The filters reach the scan, and each task keeps its own ``k`` best, so nothing
-    is sorted in full.
+    is sorted in full. ``distance`` may be named among the columns.
     """
     names = filterable_columns(corpus.schema) if allowed is None else allowed
     narrowed = apply_filters(corpus, filters, names)
     distance = F.round(l2_distance(F.col(vector), vector_literal(query)), DECIMALS)
     return (
-        narrowed.withColumn("_distance", distance)
-        .orderBy("_distance", key)
+        narrowed.withColumn("distance", distance)
+        .orderBy("distance", key)
         .limit(k)
         .select(*(columns if columns is not None else RESULT_COLUMNS))
     )
 
 
+def with_details(found: DataFrame, details: DataFrame, key: str, detail_key: str, columns: Sequence[str]) -> DataFrame:
+    """Look up the found rows, at most k of them, in a wider table; closest first."""
+    joined = details.join(F.broadcast(found), details[detail_key] == found[key])
+    return joined.orderBy("distance", key).select(*columns)
+
+
 # ---- many questions at once -----------------------------------------------------------------
 
 class _Best:

@@ -25,7 +25,7 @@ RUN_AT = datetime(2026, 1, 16, 5, 33, 5, 39918)
 def order_file(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as a raw sales file: texts with quotes and breaks, ratings of every kind, missing tokens."""
     priority, status = F.col("o_orderpriority"), F.col("o_orderstatus")
-    return S.table(spark, folder, "orders").select(
+    return S.wide_table(spark, folder, "orders").select(
         F.col("o_orderkey").cast("string").alias("ID"),
         F.col("o_custkey").cast("string").alias("CUSTOMER_ID"),
         F.when(priority == "5-LOW", "N/A").when(priority == "1-URGENT", "null").otherwise(priority).alias("BRAND"),

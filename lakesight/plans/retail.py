@@ -43,7 +43,7 @@ SUM_PRICE = "CAST(sum(price) AS DECIMAL(28,2))"
 AVG_PRICE = "CAST(sum(price) AS DOUBLE) / CAST(count(*) AS DOUBLE)"
 
 
-# ---- partials of the fact table, built before any dimension is joined ----------------
+# ---- partials of the fact table with one dimension ------------------------------------------
 
 def facts(spark: SparkSession, folder: str) -> DataFrame:
     return S.table(spark, folder, "lineitem").select(
@@ -52,24 +52,37 @@ def facts(spark: SparkSession, folder: str) -> DataFrame:
         "l_suppkey",
         S.price().alias("price"),
         F.col("l_shipdate").cast("date").alias("sales_date"),
+        R.month_of(F.col("l_shipdate").cast("date")).alias("month"),
         S.rating().alias("feedback_rating"),
         S.sentiment().alias("feedback_sentiment_category"),
     )
 
 
-def brand_parts(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
-    per_part = R.partials(
-        facts(spark, folder).select("l_partkey", "price", *extra), "l_partkey", *extra
+MEASURES = ("price", "feedback_sentiment_category")
+
+
+def brand_parts(spark: SparkSession, folder: str, *group: str, measures: tuple[str, ...] = ("price",)) -> DataFrame:
+    """Partials per group out of brand, model, month and sentiment."""
+    rows = facts(spark, folder)
+    dimension = S.brands(spark, folder)
+    own = [g for g in group if g in rows.columns]
+    wanted = [c for c in dimension.columns if c in group]
+    return R.by_dimension(
+        rows.select("l_partkey", *dict.fromkeys([*own, *measures])), dimension.select("l_partkey", *wanted),
+        "l_partkey", *group,
     )
-    return per_part.join(S.brands(spark, folder), "l_partkey")
 
 
-def store_parts(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
-    rows = facts(spark, folder).withColumn("month", R.month_of(F.col("sales_date")))
-    per_store = R.partials(
-        rows.select("l_suppkey", "price", "feedback_sentiment_category", *extra), "l_suppkey", *extra
+def store_parts(spark: SparkSession, folder: str, *group: str) -> DataFrame:
+    """Partials per group out of store, address and month."""
+    rows = facts(spark, folder)
+    dimension = S.stores(spark, folder)
+    own = [g for g in group if g in rows.columns]
+    wanted = [c for c in dimension.columns if c in group]
+    return R.by_dimension(
+        rows.select("l_suppkey", *dict.fromkeys([*own, *MEASURES])), dimension.select("l_suppkey", *wanted),
+        "l_suppkey", *group,
     )
-    return per_store.join(S.stores(spark, folder), "l_suppkey")
 
 
 # ---- rollups --------------------------------------------------------------------------
@@ -80,7 +93,7 @@ SELECT brand, count(*) AS total_sales, {SUM_PRICE} AS total_revenue, {AVG_PRICE}
 FROM sales GROUP BY brand ORDER BY total_sales DESC, brand LIMIT 20""")
 def sales_by_brand(spark: SparkSession, folder: str) -> DataFrame:
     """Top 20 brands by number of sales."""
-    return R.sales_by_brand(brand_parts(spark, folder))
+    return R.sales_by_brand(brand_parts(spark, folder, "brand"))
 
 
 @retail.register(f"""{SALES}
@@ -92,7 +105,7 @@ SELECT store_name, count(*) AS total_sales, {SUM_PRICE} AS total_revenue, {AVG_P
 FROM sales GROUP BY store_name ORDER BY total_revenue DESC, store_name LIMIT 20""")
 def store_performance(spark: SparkSession, folder: str) -> DataFrame:
     """Top 20 stores by revenue with their share of negative feedback."""
-    return R.store_performance(store_parts(spark, folder))
+    return R.store_performance(store_parts(spark, folder, "store_name"))
 
 
 @retail.register(f"""{SALES}
@@ -100,11 +113,7 @@ SELECT brand, feedback_sentiment_category, count(*) AS "count"
 FROM sales GROUP BY ALL ORDER BY brand, "count" DESC""")
 def feedback_by_brand(spark: SparkSession, folder: str) -> DataFrame:
     """Feedback counts per brand and sentiment, in display order."""
-    parts = R.partials(
-        facts(spark, folder).select("l_partkey", "feedback_sentiment_category"),
-        "l_partkey", "feedback_sentiment_category",
-    ).select("l_partkey", "feedback_sentiment_category", "n")
-    return R.feedback_by_brand(parts.join(S.brands(spark, folder), "l_partkey"))
+    return R.feedback_by_brand(brand_parts(spark, folder, "brand", "feedback_sentiment_category", measures=()))
 
 
 @retail.register(f"""{SALES}
@@ -112,7 +121,7 @@ SELECT brand, fridge_model, count(*) AS sales_count, {SUM_PRICE} AS total_revenu
 FROM sales GROUP BY brand, fridge_model ORDER BY sales_count DESC, brand, fridge_model LIMIT 20""")
 def top_models(spark: SparkSession, folder: str) -> DataFrame:
     """Top 20 models by number of sales."""
-    return R.top_models(brand_parts(spark, folder))
+    return R.top_models(brand_parts(spark, folder, "brand", "fridge_model"))
 
 
 @retail.register(f"""{SALES}
@@ -162,14 +171,14 @@ SELECT {REGION_CASE} AS region, {SUM_PRICE} AS total_sales FROM sales
 GROUP BY 1 ORDER BY total_sales DESC, region LIMIT 1""")
 def biggest_region(spark: SparkSession, folder: str) -> DataFrame:
     """The region with the highest revenue."""
-    return R.revenue_by_region(store_parts(spark, folder), 1)
+    return R.revenue_by_region(store_parts(spark, folder, "store_address"), 1)
 
 
 @retail.register(f"""{SALES}
 SELECT {REGION_CASE} AS region, {SUM_PRICE} AS total_sales FROM sales GROUP BY 1""")
 def revenue_by_region(spark: SparkSession, folder: str) -> DataFrame:
     """Revenue of every region."""
-    return R.revenue_by_region(store_parts(spark, folder), None)
+    return R.revenue_by_region(store_parts(spark, folder, "store_address"), None)
 
 
 @retail.register(f"""{SALES}
@@ -177,9 +186,7 @@ SELECT brand, CAST(date_trunc('month', sales_date) AS DATE) AS month, count(*) A
        {SUM_PRICE} AS total_revenue FROM sales GROUP BY 1, 2""")
 def monthly_brand_sales(spark: SparkSession, folder: str) -> DataFrame:
     """Sales per brand and calendar month."""
-    rows = facts(spark, folder).withColumn("month", R.month_of(F.col("sales_date")))
-    per_part = R.partials(rows.select("l_partkey", "month", "price"), "l_partkey", "month")
-    return R.monthly_brand_sales(per_part.join(S.brands(spark, folder), "l_partkey"))
+    return R.monthly_brand_sales(brand_parts(spark, folder, "brand", "month"))
 
 
 LAST_MONTH_AS_OF = "1998-06-15"
@@ -193,8 +200,9 @@ def brand_sales_last_month(spark: SparkSession, folder: str) -> DataFrame:
     recent = facts(spark, folder).where(
         R.previous_month(F.col("sales_date"), F.to_date(F.lit(LAST_MONTH_AS_OF)))
     )
-    parts = R.partials(recent.select("l_partkey"), "l_partkey").join(S.brands(spark, folder), "l_partkey")
-    return R.combine(parts, "brand").select("brand", F.col("n").alias("total_sales"))
+    brand = S.brands(spark, folder).select("l_partkey", "brand")
+    parts = R.by_dimension(recent.select("l_partkey"), brand, "l_partkey", "brand")
+    return parts.select("brand", F.col("n").alias("total_sales"))
 
 
 @retail.register(f"""{SALES},
@@ -207,7 +215,7 @@ SELECT store_name, count(*) FILTER (WHERE rate >= 50) AS bad_months, count(*) AS
 FROM monthly GROUP BY 1 HAVING count(*) FILTER (WHERE rate >= 50) >= 12""")
 def consistently_negative_stores(spark: SparkSession, folder: str) -> DataFrame:
     """Stores with at least half their feedback negative in twelve months or more."""
-    return R.consistently_negative(store_parts(spark, folder, "month"), 50, 12)
+    return R.consistently_negative(store_parts(spark, folder, "store_name", "month"), 50, 12)
 
 
 @retail.register(f"""{SALES}
@@ -215,7 +223,7 @@ SELECT store_name, {SUM_PRICE} AS total_sales FROM sales
 GROUP BY store_name ORDER BY total_sales DESC, store_name LIMIT 3""")
 def top_stores(spark: SparkSession, folder: str) -> DataFrame:
     """The three stores with the highest revenue."""
-    return R.top_stores(store_parts(spark, folder), 3)
+    return R.top_stores(store_parts(spark, folder, "store_name"), 3)
 
 
 # ---- projections and predicates ---------------------------------------------------------
@@ -275,8 +283,8 @@ def missing_column_repair(spark: SparkSession, folder: str) -> DataFrame:
 WHERE p_brand = 'Brand#12'""")
 def brand_count(spark: SparkSession, folder: str) -> DataFrame:
     """How many sales of one brand."""
-    parts = brand_parts(spark, folder).where(F.col("brand") == "Brand#12")
-    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("count"))
+    sales = S.sales(spark, folder, "brand")
+    return R.count_where(sales, F.col("brand") == "Brand#12")
 
 
 @retail.register(f"SELECT count(*) AS \"count\" FROM lineitem WHERE {RATING} BETWEEN 8 AND 10")
@@ -290,10 +298,9 @@ SELECT store_name, count(*) AS total_sales FROM sales
 WHERE store_address LIKE '%New York%' OR store_address LIKE '%Houston%' GROUP BY store_name""")
 def stores_by_address(spark: SparkSession, folder: str) -> DataFrame:
     """Sales of the stores whose address contains one of two cities."""
-    parts = store_parts(spark, folder).where(
-        F.col("store_address").contains("New York") | F.col("store_address").like("%Houston%")
-    )
-    return R.combine(parts, "store_name").select("store_name", F.col("n").alias("total_sales"))
+    there = F.col("store_address").contains("New York") | F.col("store_address").like("%Houston%")
+    sales = S.sales(spark, folder, "store_name", "store_address").where(there)
+    return R.partials(sales, "store_name").select("store_name", F.col("n").alias("total_sales"))
 
 
 @retail.register("SELECT * FROM orders WHERE o_orderkey = 7")

@@ -21,6 +21,14 @@ def example(spark: SparkSession, folder: str) -> list[float]:
     return keyed.lookup(S.table(spark, folder, "embeddings"), "vec_id", 0).select("embedding").first()[0]
 
 
+def search(spark: SparkSession, folder: str, k: int) -> DataFrame:
+    """Vectors alone decide an unfiltered search; the texts are looked up for the k rows found."""
+    vectors, documents = S.table(spark, folder, "embeddings"), S.table(spark, folder, "documents")
+    # Every vector belongs to a text: deletes reach both tables.
+    found = N.nearest(vectors, example(spark, folder), k, key="vec_id", columns=["vec_id", "distance"])
+    return N.with_details(found, documents, "vec_id", "doc_id", FOUND)
+
+
 DISTANCE = "round(list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9)"
 QUERY = "(SELECT embedding FROM embeddings WHERE vec_id = 0) q"
 FOUND_SQL = f"SELECT doc_id, lang, source, n_chars FROM documents JOIN embeddings e ON doc_id = vec_id, {QUERY}"
@@ -29,13 +37,13 @@ FOUND_SQL = f"SELECT doc_id, lang, source, n_chars FROM documents JOIN embedding
 @searching.register(f"{FOUND_SQL} ORDER BY {DISTANCE}, doc_id LIMIT 50")
 def semantic_search(spark: SparkSession, folder: str) -> DataFrame:
     """The fifty texts closest to the first one."""
-    return N.nearest(S.feedback(spark, folder), example(spark, folder), key="doc_id", columns=FOUND)
+    return search(spark, folder, N.TOP_K)
 
 
 @searching.register(f"{FOUND_SQL} ORDER BY {DISTANCE}, doc_id LIMIT 30")
 def fallback_search(spark: SparkSession, folder: str) -> DataFrame:
     """The thirty closest texts, unfiltered."""
-    return N.nearest(S.feedback(spark, folder), example(spark, folder), N.FALLBACK_K, key="doc_id", columns=FOUND)
+    return search(spark, folder, N.FALLBACK_K)
 
 
 @searching.register(f"""{FOUND_SQL} WHERE lang IN ('en', 'de') AND source IN ('src1', 'src2', 'src3')
@@ -50,15 +58,13 @@ def filtered_search(spark: SparkSession, folder: str) -> DataFrame:
 SELECT source, count(*) AS mentions FROM r GROUP BY 1 ORDER BY mentions DESC, source LIMIT 5""")
 def search_histogram(spark: SparkSession, folder: str) -> DataFrame:
     """The sources most often found by a search."""
-    found = N.nearest(S.feedback(spark, folder), example(spark, folder), key="doc_id", columns=FOUND)
-    return N.brand_histogram(found, "source")
+    return N.brand_histogram(search(spark, folder, N.TOP_K), "source")
 
 
 @searching.register(f"""WITH r AS ({FOUND_SQL} ORDER BY {DISTANCE}, doc_id LIMIT 50) SELECT * FROM r ORDER BY doc_id LIMIT 20""")
 def search_sample(spark: SparkSession, folder: str) -> DataFrame:
     """The first twenty rows of a search result, by key."""
-    found = N.nearest(S.feedback(spark, folder), example(spark, folder), key="doc_id", columns=FOUND)
-    return N.sample_rows(found, ["doc_id"], semantic=True)
+    return N.sample_rows(search(spark, folder, N.TOP_K), ["doc_id"], semantic=True)
 
 
 def label_centers(spark: SparkSession, folder: str) -> DataFrame:

@@ -89,7 +89,8 @@ def sales(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
         "id", "customer_id", "brand", "fridge_model", "capacity_liters", "price", "sales_date", "store_name",
         "store_address", "customer_feedback", "feedback_rating", "feedback_sentiment_category",
     }
-    facts = table(spark, folder, "lineitem")
+    # Only the full table is costly per row; see wide_table.
+    facts = table(spark, folder, "lineitem") if len(wanted) < 6 else wide_table(spark, folder, "lineitem")
     if wanted & {"brand", "fridge_model", "capacity_liters"}:
         facts = facts.join(brands(spark, folder), "l_partkey")
     if wanted & {"store_name", "store_address"}:
