@@ -137,15 +137,24 @@ class _Best:
         self.found[q] = (distances[order], found[order])
 
     def frame(self, question: str, key: str) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                question: [i for i, (d, _) in zip(self.ids, self.found) for _ in d],
-                key: [x for _, found in self.found for x in found],
-                "distance": [x for d, _ in self.found for x in d],
-            }
+        return _frame(
+            question, [i for i, (d, _) in zip(self.ids, self.found) for _ in d],
+            key, [x for _, found in self.found for x in found],
+            [x for d, _ in self.found for x in d],
         )
 
 
+def _frame(question: str, ids: list, key: str, keys: list, distances: list) -> pd.DataFrame:
+    """Keys as plain objects, whatever their type, so that Arrow reads them by the schema."""
+    return pd.DataFrame(
+        {
+            question: pd.Series(ids, dtype=object),
+            key: pd.Series(keys, dtype=object),
+            "distance": pd.Series(distances, dtype=float),
+        }
+    )
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
@@ -197,7 +206,7 @@ def nearest_batch(
 
         def meet(some: pd.DataFrame, those: pd.DataFrame) -> pd.DataFrame:
             if not len(some) or not len(those):
-                return pd.DataFrame({question: [], key: [], "distance": []})
+                return _frame(question, [], key, [], [])
             best = _Best(those[question].tolist(), _matrix(those["q_vector"]), k)
             best.add(some[key].to_numpy(dtype=object), _matrix(some[vector]))
             return best.frame(question, key)

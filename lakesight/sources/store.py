@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from lakesight.schema import SALES_COLUMNS, SALES_EMBEDDINGS, SALES_RAW, SNAPSHOT, VECTOR
+from lakesight.schema import SALES_COLUMNS, SALES_EMBEDDINGS, SALES_RAW, SNAPSHOT
 from lakesight.session import spark_path
 
 MIN_ROWS = 10
@@ -154,7 +154,7 @@ def require_vectors(df: DataFrame, dimension: int, column: str = "embedding") ->
         raise RuntimeError(f"column {column!r} is missing")
     if report["n_bad"]:
         raise ValueError(f"{report['n_bad']} of {report['n_rows']} vectors do not have length {dimension}")
-    return df.withColumn(column, F.col(column).cast(VECTOR))
+    return df.withColumn(column, F.col(column).cast("array<float>"))
 
 
 def bootstrap(spark: SparkSession, root: str) -> DataFrame:
