@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakesight.functions import cleaning
 from lakesight.operators import keyed
-from lakesight.plans import snapshot as snap
+from lakesight.operators.embed import hashing_embedder
+from lakesight.plans import load, snapshot as snap
 from lakesight.plans.registry import Registry
 from lakesight.plans.retail import AVG_PRICE, SALES, SUM_PRICE
 from lakesight.session import scratch_folder as scratch
@@ -62,6 +63,36 @@ def csv_load(spark: SparkSession, folder: str) -> DataFrame:
     return csv_files.last_in_file(rows)
 
 
+@batch.register("""
+SELECT line FROM (SELECT 'RAW_COUNT=' || count(*) AS line FROM orders UNION ALL SELECT 'EMBEDDINGS_COUNT=' || count(*) FROM orders)
+UNION ALL SELECT 'changed ' || id || ' ' || brand || ' ' || price FROM (
+  SELECT CAST(o_orderkey AS VARCHAR) AS id, 'Unknown' AS brand, CAST(c_acctbal AS DECIMAL(18,2)) AS price
+  FROM customer JOIN orders ON o_orderkey = c_custkey * 20 WHERE c_acctbal >= 0 AND c_mktsegment <> 'BUILDING')
+UNION ALL SELECT 'unknown ' || (c_custkey * 20) FROM customer WHERE c_acctbal >= 0 AND c_custkey * 20 NOT IN (SELECT o_orderkey FROM orders)
+UNION ALL SELECT 'left ' || count(*) FROM orders WHERE o_orderkey NOT IN (SELECT c_custkey * 20 FROM customer WHERE c_mktsegment = 'BUILDING')""")
+def load_and_edit(spark: SparkSession, folder: str) -> DataFrame:
+    """Files to raw table to vectors, then edits and deletes that touch only their rows."""
+    path = scratch(spark, "load")
+    store, embed = TableStore(spark, f"{path}/store"), hashing_embedder()
+    order_file(spark, folder).write.option("header", True).option("escape", '"').csv(f"{path}/csv")
+    raw, _ = load.load_raw(store, f"{path}/csv")
+    vectors, _ = load.load_vectors(store, embed, 64)
+    lines = load.announce(raw, vectors)
+
+    customer = S.table(spark, folder, "customer").withColumn("id", (F.col("c_custkey") * 20).cast("string"))
+    edits = customer.where("c_acctbal >= 0").select("id", F.col("c_acctbal").cast("decimal(18,2)").alias("price"))
+    missing = load.update_rows(store, edits, embed)
+    load.delete_ids(store, customer.where("c_mktsegment = 'BUILDING'"))
+    left = store.compact(load.RAW)
+    paired = left.join(store.current(load.VECTORS).select("id", F.size("embedding").alias("size")), "id").where("size = 64")
+    changed = paired.where("brand = 'Unknown'").select(F.concat_ws(" ", F.lit("changed"), "id", "brand", "price").alias("line"))
+    return (
+        lines.unionByName(changed)
+        .unionByName(missing.select(F.concat_ws(" ", F.lit("unknown"), "id").alias("line")))
+        .unionByName(paired.agg(F.concat_ws(" ", F.lit("left"), F.count("*")).alias("line")))
+    )
+
+
 @batch.register("""
 SELECT o_orderkey, CASE WHEN v IN ('', 'N/A', 'NaN', 'null') THEN NULL ELSE v END AS value,
        CASE WHEN lower(v) IN ('', 'nan') THEN NULL ELSE v END AS literal_value,

@@ -73,7 +73,9 @@ def _array(rows: DataFrame, order: list[Column], schema) -> DataFrame:
 
 
 def feedback_rows(parts: DataFrame) -> DataFrame:
-    return R.feedback_by_brand(parts.where("section = 'feedback'"))
+    """Counts per brand and sentiment, one row each."""
+    found = parts.where("section = 'feedback'")
+    return found.select("brand", "feedback_sentiment_category", F.col("n").alias("count"))
 
 
 def assemble(parts: DataFrame, created_at: datetime, scope: str | None, n: int = R.TOP_COMPUTED) -> DataFrame:
@@ -99,7 +101,7 @@ def assemble(parts: DataFrame, created_at: datetime, scope: str | None, n: int =
             MODEL_ROW,
         ),
     }
-    if feedback.limit(CELL_ROWS + 1).count() <= CELL_ROWS:
+    if feedback.count() <= CELL_ROWS:
         sections["feedback_analysis"] = _array(
             feedback,
             [F.col("brand").alias("k1"), (-F.col("count")).alias("k2"),

@@ -1,17 +1,18 @@
 """Versioned tables in a shared folder, plus JDBC reads and small sinks.
 
 A table is never read and overwritten in one plan: a write goes to a new version
-folder, and one row appended to the pointer table makes that version current.
+folder, and the marker that Spark's commit leaves there makes the version current.
 A failed or repeated write leaves the current version untouched.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from lakesight.operators.keyed import last_write_wins
 from lakesight.schema import SALES_COLUMNS, SALES_EMBEDDINGS, SALES_RAW, SNAPSHOT
 from lakesight.session import spark_path
 
@@ -24,10 +25,8 @@ SCHEMA_TABLES = {
     "batch_analytics": SNAPSHOT,
 }
 
-POINTERS = T.StructType([
-    T.StructField("table", T.StringType(), False),
-    T.StructField("version", T.LongType(), False),
-])
+# What a finished write leaves in its folder.
+COMMIT_MARKERS = ["_SUCCESS", "_delta_log"]
 
 
 class TableStore:
@@ -36,45 +35,98 @@ class TableStore:
         self.root = spark_path(root).rstrip("/")
         self.file_format = file_format
 
-    def _pointers(self) -> DataFrame:
-        return self.spark.read.schema(POINTERS).parquet(f"{self.root}/_pointers")
+    def _newest(self, name: str, pattern: str) -> re.Match | None:
+        """The highest committed folder of a table whose name fits the pattern."""
+        jvm = self.spark._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(folder):
+            return None
+        names = [status.getPath().getName() for status in files.listStatus(folder)]
+        for found in sorted(filter(None, (re.fullmatch(pattern, n) for n in names)), key=lambda m: m[0], reverse=True):
+            if any(files.exists(jvm.org.apache.hadoop.fs.Path(folder, f"{found[0]}/{m}")) for m in COMMIT_MARKERS):
+                return found
+        return None
+
+    def _current(self, name: str) -> tuple[int, int] | None:
+        """Version number and the last edit it contains."""
+        found = self._newest(name, r"v(\d+)-e(\d+)")
+        return (int(found[1]), int(found[2])) if found else None
+
+    def _last_edit(self, name: str) -> int:
+        found = self._newest(f"{name}/edits", r"e(\d+)")
+        return int(found[1]) if found else 0
 
     def version(self, name: str) -> int | None:
         """The current version, or None before the first write."""
-        try:
-            row = self._pointers().where(F.col("table") == name).agg(F.max("version").alias("v")).first()
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                return None
-            raise
-        return row["v"]
-
-    def _folder(self, name: str, version: int) -> str:
-        return f"{self.root}/{name}/v{version:06d}"
+        current = self._current(name)
+        return current[0] if current else None
 
     def exists(self, name: str) -> bool:
-        return self.version(name) is not None
+        return self._current(name) is not None
 
     def read(self, name: str) -> DataFrame:
-        version = self.version(name)
-        if version is None:
+        current = self._current(name)
+        if current is None:
             raise FileNotFoundError(f"table {name!r} has no version in {self.root}")
-        return self.spark.read.format(self.file_format).load(self._folder(name, version))
+        return self.spark.read.format(self.file_format).load(self._folder(name, *current))
+
+    def _folder(self, name: str, version: int, edit: int) -> str:
+        return f"{self.root}/{name}/v{version:08d}-e{edit:08d}"
 
     def is_empty(self, name: str) -> bool:
         return not self.exists(name) or self.read(name).limit(1).isEmpty()
 
     def write(self, name: str, rows: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
-        """Publish a new version and read it back, which also cuts the lineage."""
-        version = (self.version(name) or 0) + 1
+        """Publish a new version and read it back, which also cuts the lineage.
+
+        The new rows are the whole table: edits recorded so far no longer apply.
+        """
+        return self._publish(name, rows, self._last_edit(name), partition_by)
+
+    def _publish(self, name: str, rows: DataFrame, edit: int, partition_by: Sequence[str] = ()) -> DataFrame:
         writer = rows.write.format(self.file_format).mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.save(self._folder(name, version))
-        pointer = self.spark.createDataFrame([(name, version)], POINTERS)
-        pointer.coalesce(1).write.mode("append").parquet(f"{self.root}/_pointers")
+        writer.save(self._folder(name, (self.version(name) or 0) + 1, edit))
         return self.read(name)
 
+    # ---- row edits ---------------------------------------------------------------------
+
+    def edit(self, name: str, rows: DataFrame, delete: bool = False) -> None:
+        """Record puts or deletes without rewriting the table.
+
+        ``rows`` hold each key once: whole rows for a put, keys for a delete.
+        """
+        number = self._last_edit(name) + 1
+        columns = [
+            (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in self.read(name).schema
+        ]
+        marked = rows.select(*columns, F.lit(delete).alias("_deleted"), F.lit(number).alias("_edit"))
+        marked.write.format(self.file_format).mode("overwrite").save(f"{self.root}/{name}/edits/e{number:08d}")
+
+    def current(self, name: str, key: str = "id") -> DataFrame:
+        """The table with its open edits applied, the latest edit of a key deciding.
+
+        Few edits are broadcast against the table by their measured size, so reading
+        does not shuffle it; :meth:`compact` folds them in when they grow.
+        """
+        base = self.read(name)
+        open_edits = range(self._current(name)[1] + 1, self._last_edit(name) + 1)
+        if not open_edits:
+            return base
+        paths = [f"{self.root}/{name}/edits/e{n:08d}" for n in open_edits]
+        changed = last_write_wins(self.spark.read.format(self.file_format).load(paths), key, ["_edit"])
+        puts = changed.where(~F.col("_deleted")).select(*base.columns)
+        return base.join(changed.select(key), key, "left_anti").select(*base.columns).unionByName(puts)
+
+    def compact(self, name: str, key: str = "id") -> DataFrame:
+        """Write the table with its edits folded in as the next version."""
+        return self._publish(name, self.current(name, key), self._last_edit(name))
+
+    # ---- append-only tables ---------------------------------------------------------------
+
     def append(self, name: str, rows: DataFrame) -> None:
         """Add rows to an append-only table, kept beside the versioned ones."""
         rows.write.format(self.file_format).mode("append").save(f"{self.root}/{name}/appended")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakesight import schema, session
 from lakesight.operators import keyed, rollups as R
-from lakesight.plans import snapshot as snap
+from lakesight.plans import load as lane, snapshot as snap
 from lakesight.sources import csv_files
 from lakesight.sources.store import (
     TableStore, bootstrap, load_once, require_rows, require_vectors, reset_schema, vector_report,
@@ -265,3 +265,60 @@ def test_count_checks(spark):
     rows = snap.report_rows(snap.count_check(counts, "csv"), "local", "kube").collect()
     assert {r["endpoint"]: r["ok"] for r in rows} == {"csv": True, "raw": True, "vectors": False}
     assert {r["notes"] for r in rows if not r["ok"]} == {"count=2 expected=3"}
+
+
+# ---- load lane and row edits ----------------------------------------------------------------------
+
+@pytest.fixture
+def short_embed():
+    # A local function travels to the workers by value; they cannot import this module.
+    return lambda texts: [[float(len(t)), 1.0] for t in texts]
+
+
+def test_load_lane(spark, tmp_path, short_embed):
+    store = TableStore(spark, str(tmp_path / "store"))
+    path = tmp_path / "a.csv"
+    path.write_text("\n".join([HEADER, line("1", feedback=""), line("2"), line("1", feedback="good")]) + "\n")
+    raw, written = lane.load_raw(store, str(path))
+    assert written and raw.count() == 2 and not lane.load_raw(store, str(path))[1]
+    vectors, _ = lane.load_vectors(store, short_embed, 2)
+    assert keys(vectors, "id", "embedding") == [("1", [4.0, 1.0]), ("2", [4.0, 1.0])]
+    assert keys(lane.announce(raw, vectors)) == [("EMBEDDINGS_COUNT=2",), ("RAW_COUNT=2",)]
+    with pytest.raises(ValueError):
+        lane.load_vectors(store, short_embed, 3, force=True)
+
+
+def test_row_edits(spark, tmp_path, short_embed):
+    store = TableStore(spark, str(tmp_path))
+    store.write(lane.RAW, raw(spark, "a", "b", "c"))
+    store.write(lane.VECTORS, lane.embedded(raw(spark, "a", "b", "c"), short_embed))
+    lane.save_rows(store, spark.createDataFrame([("d", "longer")], "id string, customer_feedback string"), short_embed)
+    edits = spark.createDataFrame([("a", "LG2"), ("x", "no")], "id string, brand string")
+    assert keys(lane.update_rows(store, edits, short_embed)) == [("x",)]
+    assert keys(lane.delete_ids(store, spark.createDataFrame([("b",), ("y",), ("b",)], "id string"))) == [("y",)]
+
+    def check():
+        assert keys(store.current(lane.RAW), "id", "brand") == [("a", "LG2"), ("c", "LG"), ("d", "Unknown")]
+        assert keys(store.current(lane.VECTORS), "id", "embedding") == [
+            ("a", [0.0, 1.0]), ("c", [1.0, 1.0]), ("d", [6.0, 1.0]),
+        ]
+
+    assert store.read(lane.RAW).count() == 3
+    check()
+    store.compact(lane.RAW)
+    assert store.read(lane.RAW).count() == 3 and store.version(lane.RAW) == 2
+    check()
+    # A key deleted once may come back.
+    lane.save_rows(store, spark.createDataFrame([("b",)], "id string"), short_embed)
+    assert keys(store.current(lane.RAW), "id") == [("a",), ("b",), ("c",), ("d",)]
+    # A full load replaces the table and its edits.
+    store.write(lane.RAW, raw(spark, "q"))
+    assert keys(store.current(lane.RAW), "id") == [("q",)]
+
+
+def test_unfinished_version_is_ignored(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    store.write("t", spark.range(3))
+    (tmp_path / "t" / "v00000002-e00000000").mkdir()
+    assert store.version("t") == 1 and store.read("t").count() == 3
+    assert store.write("t", spark.range(4)).count() == 4 and store.version("t") == 2
