@@ -64,6 +64,11 @@ def apply_filters(df: DataFrame, filters: Mapping[str, object] | None, allowed:
     return df
 
 
+def scored(corpus: DataFrame, query: Sequence[float], vector: str = "embedding") -> DataFrame:
+    """Every row with its distance to the query vector."""
+    return corpus.withColumn("distance", F.round(l2_distance(F.col(vector), vector_literal(query)), DECIMALS))
+
+
 def nearest(
     corpus: DataFrame,
     query: Sequence[float],
@@ -81,9 +86,8 @@ def nearest(
     """
     names = filterable_columns(corpus.schema) if allowed is None else allowed
     narrowed = apply_filters(corpus, filters, names)
-    distance = F.round(l2_distance(F.col(vector), vector_literal(query)), DECIMALS)
     return (
-        narrowed.withColumn("distance", distance)
+        scored(narrowed, query, vector)
         .orderBy("distance", key)
         .limit(k)
         .select(*(columns if columns is not None else RESULT_COLUMNS))

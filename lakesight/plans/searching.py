@@ -24,9 +24,10 @@ def example(spark: SparkSession, folder: str) -> list[float]:
 def search(spark: SparkSession, folder: str, k: int) -> DataFrame:
     """Vectors alone decide an unfiltered search; the texts are looked up for the k rows found."""
     vectors, documents = S.table(spark, folder, "embeddings"), S.table(spark, folder, "documents")
-    # Every vector belongs to a text: deletes reach both tables.
-    found = N.nearest(vectors, example(spark, folder), k, key="vec_id", columns=["vec_id", "distance"])
-    return N.with_details(found, documents, "vec_id", "doc_id", FOUND)
+    # Keys and distances alone meet the texts, to leave out vectors that have none.
+    distances = N.scored(vectors, example(spark, folder)).select("vec_id", "distance")
+    owned = distances.join(documents.select("doc_id"), distances.vec_id == documents.doc_id, "left_semi")
+    return N.with_details(owned.orderBy("distance", "vec_id").limit(k), documents, "vec_id", "doc_id", FOUND)
 
 
 DISTANCE = "round(list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9)"
