@@ -19,8 +19,13 @@ def zero_if_null(c: Column) -> Column:
     return F.coalesce(c.cast("double"), F.lit(0.0))
 
 
+def utc_wall(ts: Column) -> Column:
+    """The UTC wall clock of an instant, whatever the session's time zone."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz"))
+
+
 def iso_utc(ts: Column) -> Column:
-    """ISO-8601 text with a ``Z``; the fraction is left out when it is zero."""
+    """ISO-8601 text with a ``Z`` of a UTC wall clock; the fraction is left out when it is zero."""
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
     fraction = F.date_format(ts, "SSSSSS")
     return F.concat(whole, F.when(fraction != "000000", F.concat(F.lit("."), fraction)).otherwise(""), F.lit("Z"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lakesight.functions.loglines import has_timestamp, line_timestamp
 
@@ -19,16 +19,20 @@ def with_time(lines: DataFrame) -> DataFrame:
     return lines.withColumn("ts", line_timestamp(F.col("line"))).where(F.col("ts").isNotNull())
 
 
+def _wall(mark: datetime | None) -> Column:
+    """A wall-clock literal that no time zone shifts."""
+    return F.lit(None if mark is None else mark.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def new_lines(lines: DataFrame, mark: datetime | None) -> DataFrame:
     """Lines strictly later than the mark; all of them when there is none yet."""
     timed = with_time(lines)
-    return timed if mark is None else timed.where(F.col("ts") > F.lit(mark).cast("timestamp_ntz"))
+    return timed if mark is None else timed.where(F.col("ts") > _wall(mark))
 
 
 def next_mark(lines: DataFrame, mark: datetime | None) -> DataFrame:
     """The mark after these lines: the latest time seen, never earlier than before."""
-    previous = F.lit(mark).cast("timestamp_ntz")
-    return new_lines(lines, mark).agg(F.greatest(F.max("ts"), previous).alias("mark"))
+    return new_lines(lines, mark).agg(F.greatest(F.max("ts"), _wall(mark)).alias("mark"))
 
 
 def duration_table(phases: DataFrame) -> DataFrame:

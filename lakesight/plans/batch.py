@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,7 +18,7 @@ from lakesight.sources.store import TableStore, load_once, vector_report, write_
 
 batch = Registry()
 
-RUN_AT = datetime(2026, 1, 16, 5, 33, 5, 39918)
+RUN_AT = datetime(2026, 1, 16, 5, 33, 5, 39918, tzinfo=timezone.utc)
 
 
 # ---- load ---------------------------------------------------------------------------------

@@ -173,9 +173,13 @@ def run_batch(
     """One batch run: copy, roll up, append the snapshot, check it. Returns all snapshots."""
     clean = cleaning.batch_defaults(cleaning.add_missing_columns(raw))
     sales = snapshot_sales(store, clean)
-    parts = store.write("sales_parts", section_parts(sales), partition_by=["section"])
-    store.append(FEEDBACK, feedback_rows(parts).withColumn("created_at", F.lit(created_at).cast("timestamp")))
-    append_snapshot(store, assemble(parts, created_at, scope, n))
+    # Groups only, used by every section; a lost block is computed again from the copy.
+    parts = section_parts(sales).persist()
+    try:
+        store.append(FEEDBACK, feedback_rows(parts).withColumn("created_at", F.lit(created_at).cast("timestamp")))
+        append_snapshot(store, assemble(parts, created_at, scope, n))
+    finally:
+        parts.unpersist()
     snapshots = store.read_appended(SNAPSHOTS)
     # Parquet knows its row count, so counting the copy reads no column.
     verify_saved_total(snapshots, sales.count())
@@ -195,7 +199,7 @@ def serve(snapshots: DataFrame, interval_seconds: int, n: int = TOP_SERVED) -> D
             **{name: F.slice(name, 1, n) for name in TRIMMED},
             "total_records": F.coalesce("total_records", F.lit(0).cast("long")),
             "total_revenue": F.coalesce("total_revenue", F.lit(0).cast(MONEY_SUM)),
-            "last_updated_at": formats.iso_utc(F.col("created_at")),
+            "last_updated_at": formats.iso_utc(formats.utc_wall(F.col("created_at"))),
             "analytics_run_interval_minutes": formats.interval_minutes(F.lit(interval_seconds)),
             "updated_by_scope": F.nullif(F.col("deploy_scope"), F.lit("")),
         }
@@ -209,7 +213,7 @@ def summary(snapshots: DataFrame) -> DataFrame:
         "total_records",
         F.col("total_revenue").cast("double").alias("total_revenue"),
         F.col("price_stats.mean_price").alias("avg_price"),
-        formats.iso_utc(F.col("created_at")).alias("last_updated"),
+        formats.iso_utc(formats.utc_wall(F.col("created_at"))).alias("last_updated"),
     )
 
 
