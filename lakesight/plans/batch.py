@@ -306,7 +306,7 @@ def batch_run(spark: SparkSession, folder: str, scope: str = "kube") -> tuple[Ta
     sales = S.sales(
         spark, folder, "id", "brand", "fridge_model", "price", "sales_date", "store_name", "feedback_sentiment_category"
     )
-    return store, snap.run_batch(store, sales, RUN_AT, scope)
+    return store, snap.run_batch(store, sales, RUN_AT, scope, source=S.table(spark, folder, "lineitem"))
 
 
 TOP8 = f"""{SALES},

@@ -169,10 +169,11 @@ def run_batch(
     created_at: datetime,
     scope: str | None = None,
     n: int = R.TOP_COMPUTED,
+    source: DataFrame | None = None,
 ) -> DataFrame:
     """One batch run: copy, roll up, append the snapshot, check it. Returns all snapshots."""
     clean = cleaning.batch_defaults(cleaning.add_missing_columns(raw))
-    sales = snapshot_sales(store, clean)
+    sales = snapshot_sales(store, clean, source=source)
     # Groups only, used by every section; a lost block is computed again from the copy.
     parts = section_parts(sales).persist()
     try:

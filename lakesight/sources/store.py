@@ -152,9 +152,16 @@ def require_rows(df: DataFrame, least: int = MIN_ROWS) -> DataFrame:
     return df
 
 
-def snapshot_sales(store: TableStore, sales: DataFrame, name: str = "sales") -> DataFrame:
-    """Guarded full refresh of the batch copy, returned as read back."""
-    return store.write(name, require_rows(sales))
+def snapshot_sales(
+    store: TableStore, sales: DataFrame, name: str = "sales", source: DataFrame | None = None
+) -> DataFrame:
+    """Guarded full refresh of the batch copy, returned as read back.
+
+    Where the sales are the result of joins, ``source`` names the stored table whose
+    rows they come from, so that the guard need not run the joins.
+    """
+    require_rows(sales if source is None else source)
+    return store.write(name, sales)
 
 
 def read_jdbc(
