@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lakesight.functions import resources as rules
 
@@ -111,10 +111,13 @@ def dependents(found: DataFrame) -> DataFrame:
     return _groups(found).join(_balancers(found), "parent", "left_semi")
 
 
+def _made_for_balancer() -> Column:
+    return (F.col("resource_type") == "security_group") & F.col("name").startswith(rules.LB_GROUP_PREFIX)
+
+
 def _groups(found: DataFrame) -> DataFrame:
-    made_for = F.col("name").startswith(rules.LB_GROUP_PREFIX)
     parent = F.substring(F.col("name"), len(rules.LB_GROUP_PREFIX) + 1, 2_147_483_647)
-    return found.where((F.col("resource_type") == "security_group") & made_for).withColumn("parent", parent)
+    return found.where(_made_for_balancer()).withColumn("parent", parent)
 
 
 def _balancers(found: DataFrame) -> DataFrame:
@@ -124,13 +127,10 @@ def _balancers(found: DataFrame) -> DataFrame:
 
 def deletion_order(found: DataFrame) -> DataFrame:
     """Phase 1: load balancers, other roots, independent groups. Phase 2: dependent groups."""
-    made_for = (F.col("resource_type") == "security_group") & F.col("name").startswith(rules.LB_GROUP_PREFIX)
-    parent = F.when(made_for, F.substring(F.col("name"), len(rules.LB_GROUP_PREFIX) + 1, 2_147_483_647))
     # Rows without a possible parent keep out of the join: their NULL key would meet in one task.
-    candidates = found.where(made_for).withColumn("parent", parent)
     known = _balancers(found).withColumn("waits", F.lit(True))
-    matched = candidates.join(known, "parent", "left").drop("parent")
-    others = found.where(~made_for).withColumn("waits", F.lit(None).cast("boolean"))
+    matched = _groups(found).join(known, "parent", "left").drop("parent")
+    others = found.where(~_made_for_balancer()).withColumn("waits", F.lit(None).cast("boolean"))
     kind, waits = F.col("resource_type"), F.coalesce("waits", F.lit(False))
     return (
         matched.unionByName(others)

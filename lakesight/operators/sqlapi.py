@@ -33,16 +33,16 @@ def _call_error(word: str) -> str:
 def guard_error(sql: Column, mode: str = "words") -> Column:
     """Why a statement is refused, NULL when it may run.
 
-    ``reference`` looks for the words as substrings, so that a column named
+    ``substring`` looks for the words as substrings, so that a column named
     ``created_at`` is refused; ``words`` looks for whole words.
     """
     upper = strip(F.upper(sql))
     rule = F.when(F.coalesce(sql == "", F.lit(True)), ERROR_EMPTY)
     for word in REFUSED_WORDS:
-        hit = upper.contains(word) if mode == "reference" else upper.rlike(rf"\b{word}\b")
+        hit = upper.contains(word) if mode == "substring" else upper.rlike(rf"\b{word}\b")
         rule = rule.when(hit, _word_error(word))
     rule = rule.when(~upper.startswith("SELECT"), ERROR_NOT_SELECT)
-    if mode != "reference":
+    if mode != "substring":
         for word in REFUSED_CALLS:
             rule = rule.when(upper.rlike(rf"\b{word}\s*\("), _call_error(word))
     return rule
@@ -54,11 +54,11 @@ def check_statement(sql: str | None, mode: str = "words") -> str | None:
         return ERROR_EMPTY
     upper = sql.upper().strip()
     for word in REFUSED_WORDS:
-        if (word in upper) if mode == "reference" else re.search(rf"\b{word}\b", upper):
+        if (word in upper) if mode == "substring" else re.search(rf"\b{word}\b", upper):
             return _word_error(word)
     if not upper.startswith("SELECT"):
         return ERROR_NOT_SELECT
-    if mode != "reference":
+    if mode != "substring":
         for word in REFUSED_CALLS:
             if re.search(rf"\b{word}\s*\(", upper):
                 return _call_error(word)

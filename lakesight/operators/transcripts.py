@@ -7,8 +7,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from lakesight.functions.messages import is_visible, message_block
-from lakesight.functions.text import rstrip, strip
-from lakesight.functions.text import WHITESPACE
+from lakesight.functions.text import WHITESPACE, rstrip
 from lakesight.operators.ordered import carry_last
 from lakesight.session import materialize
 

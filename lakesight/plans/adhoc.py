@@ -61,7 +61,7 @@ FROM (SELECT *, trim(upper(sql)) AS u FROM ({STATEMENTS_SQL}))"""
 def statement_guard_substring(spark: SparkSession, folder: str) -> DataFrame:
     """Which statements are refused when words match as substrings."""
     rows = D.shaped(spark, folder, "events", D.STATEMENTS)
-    return rows.select("stmt_id", Q.guard_error(F.col("sql"), "reference").alias("error"))
+    return rows.select("stmt_id", Q.guard_error(F.col("sql"), "substring").alias("error"))
 
 
 @adhoc.register(guard_sql(lambda w: f"regexp_matches(u, '\\b{w}\\b')", True))

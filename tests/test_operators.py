@@ -207,14 +207,14 @@ STATEMENTS = {
 
 def test_guard_modes(spark):
     df = spark.createDataFrame([(s,) for s in STATEMENTS], "sql string")
-    rows = df.select("sql", Q.guard_error(F.col("sql"), "reference").alias("r"), Q.guard_error(F.col("sql")).alias("w")).collect()
+    rows = df.select("sql", Q.guard_error(F.col("sql"), "substring").alias("r"), Q.guard_error(F.col("sql")).alias("w")).collect()
     assert {r["sql"]: (r["r"] is None, r["w"] is None) for r in rows} == STATEMENTS
     for r in rows:
-        assert (Q.check_statement(r["sql"], "reference"), Q.check_statement(r["sql"])) == (r["r"], r["w"])
+        assert (Q.check_statement(r["sql"], "substring"), Q.check_statement(r["sql"])) == (r["r"], r["w"])
     assert Q.check_statement("DROP TABLE t") == "Dangerous SQL keyword 'DROP' is not allowed"
 
 
-@given(st.text(max_size=30), st.sampled_from(Q.REFUSED_WORDS), st.text(max_size=30), st.sampled_from(["reference", "words"]))
+@given(st.text(max_size=30), st.sampled_from(Q.REFUSED_WORDS), st.text(max_size=30), st.sampled_from(["substring", "words"]))
 def test_guard_never_admits_a_write(before, word, after, mode):
     assert Q.check_statement(f"SELECT {before} {word} {after}", mode) is not None
     assert Q.check_statement(f"{word} {before}", mode) is not None
@@ -394,7 +394,7 @@ def test_reports(classified):
     assert I.first_listed(classified.where("bucket = 'other'"), "display", 3).count() == 2
 
 
-def reference_sections(content):
+def plain_sections(content):
     """Sections by plain string search, for comparison."""
     marks = [m for m in re.finditer(r"^## (\d+)\. ", content, re.M)]
     for i, m in enumerate(marks):
@@ -413,7 +413,7 @@ DOCUMENTS = [
 def test_sections_and_renumbering(spark):
     df = spark.createDataFrame(list(enumerate(DOCUMENTS)), "doc_id int, text string")
     got = X.split_documents(df, {"a": [7, 9], "b": [3]}, "rest").orderBy("doc_id", "position").collect()
-    expected = [(i, *s) for i, d in enumerate(DOCUMENTS) for s in reference_sections(d)]
+    expected = [(i, *s) for i, d in enumerate(DOCUMENTS) for s in plain_sections(d)]
     assert [(r["doc_id"], r["number"], r["body"]) for r in got] == expected
     assert [r["bucket"] for r in got] == ["a", "a", "rest", "b", "rest", "rest", "rest"]
     texts = [r["text"] for r in X.renumber(df).orderBy("doc_id").collect()]
