@@ -46,3 +46,10 @@ def ranked(rows: DataFrame, order: list[Column], rank: str) -> DataFrame:
         parts.withColumn("_within", within).join(starts, "_part")
         .withColumn(rank, F.col("_within") + F.col("_start")).drop("_within", "_start", "_part")
     )
+
+
+def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Send texts to Python in small Arrow batches, so that a batch of long texts fits a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))

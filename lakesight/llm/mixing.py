@@ -22,8 +22,8 @@ MOST_COPIES = 2.0
 SLICES = 4096
 #: After the first cut, so many times more documents that still fit fill what is left of the target.
 FILLS = 3
-#: Inclusion falls with the size to this power, so that the mix does not hinge on a few long documents.
-SIZE_POWER = -0.5
+#: Inclusion grows with the size to this power: long documents are settled first, short ones fit the rest to the target.
+SIZE_POWER = 0.5
 OUTPUT = ["size", "source_size", "target", "copies", "taken"]
 INNER = ["_u", "_w", "_source", "_whole", "_alpha", "_sure", "_cuts", "_limits", "_key"]
 
