@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lakesight.llm import exact_dedup, mixing, secret_scan, simhash, sketches
+from lakesight.llm import bpe, exact_dedup, mixing, secret_scan, simhash, sketches
 from lakesight.plans.registry import Registry
 
 training = Registry()
 training.register(name="op2_secrets")(secret_scan.op2_secrets)
 training.register(name="op3_fingerprints")(sketches.op3_fingerprints)
+training.register(name="op5_byte_bpe")(bpe.op5_byte_bpe)
 training.register(name="op6_simhash")(simhash.op6_simhash)
 training.register(oracle=exact_dedup.OP9_SQL, name="op9_exact_dedup")(exact_dedup.op9_exact_dedup)
 training.register(name="op10_mix_sources")(mixing.op10_mix_sources)
