@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lakesight.llm import bpe, exact_dedup, language, licenses, mixing, secret_scan, simhash, sketches
+from lakesight.llm import bpe, exact_dedup, language, licenses, line_dedup, mixing, secret_scan, simhash, sketches
 from lakesight.plans.registry import Registry
 
 training = Registry()
+training.register(name="op1_line_dedup")(line_dedup.op1_line_dedup)
 training.register(name="op2_secrets")(secret_scan.op2_secrets)
 training.register(name="op3_fingerprints")(sketches.op3_fingerprints)
 training.register(name="op4_language")(language.op4_language)
