@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakesight.llm import bpe, exact_dedup, language, licenses, line_dedup, mixing, secret_scan, simhash, sketches
+from lakesight.llm import bpe, exact_dedup, language, licenses, line_dedup, mixing, secret_scan, simhash, sketches, suffix_dedup
 from lakesight.plans.registry import Registry
 
 training = Registry()
@@ -12,6 +12,7 @@ training.register(name="op3_fingerprints")(sketches.op3_fingerprints)
 training.register(name="op4_language")(language.op4_language)
 training.register(name="op5_byte_bpe")(bpe.op5_byte_bpe)
 training.register(name="op6_simhash")(simhash.op6_simhash)
+training.register(name="op7_repeated_strings")(suffix_dedup.op7_repeated_strings)
 training.register(name="op8_licenses")(licenses.op8_licenses)
 training.register(oracle=exact_dedup.OP9_SQL, name="op9_exact_dedup")(exact_dedup.op9_exact_dedup)
 training.register(name="op10_mix_sources")(mixing.op10_mix_sources)
