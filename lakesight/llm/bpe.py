@@ -17,7 +17,7 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import accumulate, islice
 
 import pyarrow as pa
 import regex
@@ -292,31 +292,40 @@ def decode(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     return rows.mapInArrow(run, rows.withColumn("decoded", F.lit("")).schema)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Rows without their text, with n_tokens, ids_sha256 and decoded_sha256 of ids that stay in the task."""
+def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """Rows without their text, with n_tokens, ids_sha256 and decoded_sha256, and on request the ids.
+
+    Encoding and decoding follow each other in one task, so that ids which are not asked for
+    never leave it. Nulls, empty texts and clashing names are treated as by ``encode``.
+    """
     bounded_batches(docs.sparkSession)
     lines = vocabulary(docs.sparkSession, path)
-    digests = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    digests = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     source = without(docs, *digests, "_text").withColumn("_text", whole("text")).drop("text")
-    schema = source.drop("_text").withColumns({"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "decoded_sha256": F.lit("")}).schema
+    added = {"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "decoded_sha256": F.lit(""), "ids": F.array().cast("array<int>")}
+    schema = source.drop("_text").withColumns({c: added[c] for c in digests}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(lines.value, pattern)
         printed = [str(i) for i in range(max(own.transducer.tokens, default=-1) + 1)]
         for batch in batches:
-            counts, of_ids, of_text = [], [], []
+            counts, of_ids, of_text, numbers = [], [], [], []
             for text in batch.column("_text").to_pylist():
                 ids = own.encode(text)
                 counts.append(len(ids))
+                if with_ids:
+                    numbers.append(pa.array(ids, pa.int32()))
                 of_ids.append(hashlib.sha256(" ".join(map(printed.__getitem__, ids)).encode()).hexdigest())
                 hashed = hashlib.sha256()
                 for piece in own.decode(ids):
                     hashed.update(piece.encode())
                 of_text.append(hashed.hexdigest())
             kept = batch.drop_columns(["_text"])
-            yield pa.RecordBatch.from_arrays(
-                [*kept.columns, pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())],
-                [*kept.schema.names, *digests])
+            columns = [*kept.columns, pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+            if with_ids:
+                ends = pa.array([0, *accumulate(counts)], pa.int32())
+                columns.append(pa.ListArray.from_arrays(ends, pa.concat_arrays(numbers or [pa.array([], pa.int32())])))
+            yield pa.RecordBatch.from_arrays(columns, [*kept.schema.names, *digests])
 
     return source.mapInArrow(run, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from lakesight.llm import bpe, exact_dedup, language, licenses, line_dedup, mixing, secret_scan, simhash, sketches, suffix_dedup
 from lakesight.plans.registry import Registry
 
@@ -16,3 +17,4 @@ training.register(name="op7_repeated_strings")(suffix_dedup.op7_repeated_strings
 training.register(name="op8_licenses")(licenses.op8_licenses)
 training.register(oracle=exact_dedup.OP9_SQL, name="op9_exact_dedup")(exact_dedup.op9_exact_dedup)
 training.register(name="op10_mix_sources")(mixing.op10_mix_sources)
+training.register(oracle=corpus_pipeline.ORACLE_SQL, name="pipeline")(corpus_pipeline.run)
