@@ -114,10 +114,10 @@ def license_scan(docs: DataFrame, keep: list[str] | None = None, phrases: dict[s
     least and largest start (null without any); ``base_labels`` and ``labels``, with those of
     the notices, are sorted and joined by commas (empty without any); ``score`` is the best
     verified likeness, 0 without a find. A null text counts as empty. Repeated rows are each
-    scanned; an empty table gives an empty table. Input columns named like an output or
-    ``_row`` and ``_g`` are left out.
+    scanned; an empty table gives an empty table. Input columns named like an output,
+    ``_row``, ``_g`` or ``_key`` are left out.
     """
-    docs = without(docs, *OUTPUT, "_row", "_g")
+    docs = without(docs, *OUTPUT, "_row", "_g", "_key")
     kept = [F.col(f"`{c}`") for c in (keep or docs.columns)]
     known = templates(docs.sparkSession, PHRASES if phrases is None else phrases, NOTICES if notices is None else notices)
     places = materialize(spans(votes(docs, known), known), "places")

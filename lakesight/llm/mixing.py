@@ -25,7 +25,7 @@ FILLS = 3
 #: Inclusion grows with the size to this power: long documents are settled first, short ones fit the rest to the target.
 SIZE_POWER = 0.5
 OUTPUT = ["size", "source_size", "target", "copies", "taken"]
-INNER = ["_u", "_w", "_source", "_whole", "_alpha", "_sure", "_cuts", "_limits", "_key"]
+INNER = ["_u", "_w", "_source", "_whole", "_rest", "_alpha", "_left", "_cuts", "_limits", "_key"]
 
 
 def words(text: str) -> Column:
