@@ -154,8 +154,10 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     pairs = materialize(overlaps(lined), "pairs")
     later = lined.select(F.col("_row").alias("_later"), "lines", "sizes")
     earlier = lined.select(F.col("_row").alias("_earlier"), F.col("lines").alias("earlier_lines"))
-    both = pairs.join(later, F.col("later") == F.col("_later")).drop("_later")
-    both = both.join(earlier, F.col("earlier") == F.col("_earlier")).drop("_earlier")
+    # Merge joins at every size: what meets here grows with the documents, and a plan that holds
+    # the smaller side whole in each task while it is small would only change on the way.
+    both = pairs.hint("merge").join(later, F.col("later") == F.col("_later")).drop("_later")
+    both = both.join(earlier.hint("merge"), F.col("earlier") == F.col("_earlier")).drop("_earlier")
     aligned = both.select("later", "lines", "sizes", "earlier_lines").mapInArrow(align, "later long, gone array<int>")
     removed = materialize(
         aligned.groupBy(F.col("later").alias("_key")).agg(
@@ -166,7 +168,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
         F.array_except(F.sequence(F.lit(0), F.size(s["_lines"]) - 1), s["_removed"]), lambda i: F.get(s["_lines"], i)), "\n"))
     kept_text = F.when(F.size("_removed") > 0, F.element_at(left, 1)).otherwise(text)
     return (
-        docs.join(removed, F.col("_row") == F.col("_key"), "left")
+        docs.join(removed.hint("merge"), F.col("_row") == F.col("_key"), "left")
         .withColumns({"_lines": lines, "_removed": F.coalesce("_removed", F.array().cast("array<int>"))})
         .select(*[F.col(f"`{c}`") for c in docs.columns if c != "_row"], kept_text.alias("kept_text"),
                 F.size("_lines").cast("long").alias("n_lines"), F.size("_removed").cast("long").alias("n_removed"),
