@@ -41,13 +41,15 @@ def classify(resources: DataFrame, naming: rules.Naming, classic_track: bool = F
 
 def orphans(classified: DataFrame) -> DataFrame:
     """Definite leftovers and likely ones, in one table."""
-    columns = ["seq", "resource_type", "name", "region", "display", "orphan_note", "level"]
+    columns = ["seq", "resource_type", "name", "region", "display", "orphan_note", "level", "extra"]
+    # What else is known of a resource; empty values are left out.
+    extra = F.map_filter(F.create_map(F.lit("lb_type"), F.col("lb_type")), lambda _, v: F.coalesce(v, F.lit("")) != "")
 
     def level(bucket: str) -> DataFrame:
         return classified.where(F.col("bucket") == bucket).select(
             "seq", F.col("orphan_type").alias("resource_type"), "name",
             F.nullif(F.col("region"), F.lit("")).alias("region"), "display", "orphan_note",
-            F.lit(bucket).alias("level"),
+            F.lit(bucket).alias("level"), extra.alias("extra"),
         )
 
     return level("definitely").unionByName(level("likely")).select(*columns)

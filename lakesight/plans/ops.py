@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakesight.functions.resources import BUILTIN_PATTERNS, CATEGORIES, RECOVERY_HINTS, GENERIC_HINT, Naming
 from lakesight.operators import inventory as I
@@ -52,7 +52,7 @@ j AS (SELECT *, CASE resource_type
   WHEN 'vpc' THEN starts_with(name, 'acme-dev')
   WHEN 'ecr' THEN contains(name, 'acme-dev') OR (starts_with(name, 'acme') AND contains(name, 'dev')) ELSE false END AS ours_by_name,
   CASE WHEN orphan_note IS NULL THEN NULL WHEN orphan_note = 'project-named role not in Terraform list' THEN 'likely' ELSE 'definitely' END AS level FROM n),
-c AS (SELECT seq, resource_type, name, region, display, orphan_type, orphan_note,
+c AS (SELECT seq, resource_type, name, region, display, lb_type, orphan_type, orphan_note,
   CASE WHEN level IS NOT NULL THEN level WHEN regexp_matches(bare, '{BUILTIN}') THEN 'builtin'
        WHEN ours_by_name THEN 'project' ELSE 'other' END AS bucket FROM j),
 k AS (SELECT *, CASE WHEN bucket <> 'project' THEN NULL ELSE CASE resource_type
@@ -82,10 +82,11 @@ def resource_buckets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @ops.register(f"""{CLASSIFIED} SELECT seq, orphan_type AS resource_type, name, nullif(region, '') AS region, display, orphan_note,
-bucket AS level FROM k WHERE bucket IN ('definitely', 'likely')""")
+bucket AS level, nullif(lb_type, '') AS lb_type FROM k WHERE bucket IN ('definitely', 'likely')""")
 def orphaned_resources(spark: SparkSession, folder: str) -> DataFrame:
     """Definite and likely leftovers together."""
-    return I.orphans(classified(spark, folder))
+    leftovers = I.orphans(classified(spark, folder))
+    return leftovers.withColumn("lb_type", F.try_element_at("extra", F.lit("lb_type"))).drop("extra")
 
 
 @ops.register(f"""{CLASSIFIED} SELECT CASE WHEN region = '' THEN '(global)' ELSE region END AS region,
