@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lakesight.functions import questions as Q
 from lakesight.functions.formats import mean
 from lakesight.operators.ordered import carry_last
 
+# Names of events and tools in a trace.
 TOOL_CALL = "tool_call_complete"
 COMPLETE = "complete"
 ERROR = "error"
@@ -17,6 +16,7 @@ SYNTHESIS = "pseudo_tool#llm_synthesize_answer"
 SQL_TOOL, SEARCH_TOOL, GENERATE_TOOL = "execute_sql", "semantic_search", "generate_sql"
 TOOLS = [GENERATE_TOOL, SQL_TOOL, SEARCH_TOOL]
 RETRIEVAL = [SQL_TOOL, SEARCH_TOOL]
+TOKEN_KINDS = ["input_tokens", "output_tokens", "total_tokens"]
 MAX_ITERATIONS = 5
 LOAD_BATCH = 64
 
@@ -168,52 +168,76 @@ def _exact(c: str) -> Column:
     return F.col(c).cast("decimal(18,6)")
 
 
-def metric_columns(tools: Sequence[str] = tuple(TOOLS)) -> dict[str, Column]:
-    """Fleet metrics as aggregates that also work per window.
+def _tool_call() -> Column:
+    return (F.col("event_type") == TOOL_CALL) & (F.col("tool") != SYNTHESIS)
+
+
+def metric_key() -> Column:
+    """The tool of a completed call, NULL for all other events."""
+    return F.when(_tool_call(), F.col("tool")).alias("tool")
+
 
-    Query records are the terminal events; tool records the completed calls. The
-    per-tool maps have one entry per known tool, so nothing is collected.
+def metric_parts() -> list[Column]:
+    """Mergeable parts of the fleet metrics, to be grouped by :func:`metric_key` among others.
+
+    Query records are the terminal events; tool records the completed calls.
     """
     query = F.col("event_type").isin(COMPLETE, ERROR)
-    won = F.col("event_type") == COMPLETE
-    called = (F.col("event_type") == TOOL_CALL) & (F.col("tool") != SYNTHESIS)
-    failed = called & ~F.coalesce("success", F.lit(False))
+    called = F.coalesce(_tool_call(), F.lit(False))
     recorded = query | called
-    n_queries, n_won = F.count_if(query), F.count_if(won)
+    parts = [
+        F.count_if(query).alias("queries"),
+        F.count_if(F.col("event_type") == COMPLETE).alias("won"),
+        F.count_if(F.col("event_type") == ERROR).alias("lost"),
+        F.sum(F.when(query, _exact("execution_time_ms"))).alias("latency"),
+        F.count(F.when(query, F.col("execution_time_ms"))).alias("latency_n"),
+        F.sum(F.when(query, F.col("iteration"))).alias("iterations"),
+        F.count(F.when(query, F.col("iteration"))).alias("iterations_n"),
+        F.count_if(recorded & (F.col("total_tokens") > 0)).alias("with_tokens"),
+        F.count_if(called).alias("calls"),
+        F.count_if(called & ~F.coalesce("success", F.lit(False))).alias("failed"),
+    ]
+    for kind in TOKEN_KINDS:
+        positive = F.when(recorded & (F.col(kind) > 0), F.col(kind))
+        parts += [F.sum(positive).alias(kind), F.count(positive).alias(f"{kind}_n")]
+    return parts
+
 
+def fold_metrics(parts: DataFrame, *keys: str) -> DataFrame:
+    """Fleet metrics out of parts per key and tool.
+
+    The per-tool maps have an entry for every tool that occurs, so they grow with the
+    number of tools and not with the events.
+    """
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    average = lambda c: F.coalesce(mean(F.sum(c), F.sum(f"{c}_n")), F.lit(0.0))
+    per_tool = lambda c, name: F.map_from_entries(F.array_sort(F.collect_list(
+        F.when(F.col("tool").isNotNull() & (F.col(c) > 0), F.struct(name.alias("key"), F.col(c).alias("value"))))))
     columns = {
-        "total_queries": n_queries,
-        "success_count": n_won,
-        "failure_count": F.count_if(query & ~won),
-        "success_rate": F.coalesce(F.try_divide(n_won.cast("double"), n_queries.cast("double")) * 100, F.lit(0.0)),
-        "avg_latency_ms": F.coalesce(
-            mean(F.sum(F.when(query, _exact("execution_time_ms"))), F.count(F.when(query, F.col("execution_time_ms")))),
-            F.lit(0.0),
-        ),
-        "avg_iterations": F.coalesce(
-            mean(F.sum(F.when(query, F.col("iteration"))), F.count(F.when(query, F.col("iteration")))), F.lit(0.0)
-        ),
+        "total_queries": total("queries"),
+        "success_count": total("won"),
+        "failure_count": total("lost"),
+        "success_rate": F.coalesce(
+            F.try_divide(F.sum("won").cast("double"), F.sum("queries").cast("double")) * 100, F.lit(0.0)),
+        "avg_latency_ms": average("latency"),
+        "avg_iterations": average("iterations"),
     }
-    for kind in ("input_tokens", "output_tokens", "total_tokens"):
-        positive = F.when(recorded & (F.col(kind) > 0), F.col(kind))
-        total = kind if kind == "total_tokens" else f"total_{kind}"
-        columns[total] = F.coalesce(F.sum(positive), F.lit(0))
-        columns[f"avg_{kind}"] = F.coalesce(mean(F.sum(positive), F.count(positive)), F.lit(0.0))
-    columns["token_calls"] = F.count_if(recorded & (F.col("total_tokens") > 0))
-
-    per_tool, errors = [], [F.lit(ERROR), F.count_if(F.col("event_type") == ERROR)]
-    for tool in tools:
-        per_tool += [F.lit(tool), F.count_if(called & (F.col("tool") == tool))]
-        errors += [F.lit(f"tool_{tool}"), F.count_if(failed & (F.col("tool") == tool))]
-    seen = lambda m: F.map_filter(m, lambda _, v: v > 0)
-    columns["tool_calls"] = seen(F.create_map(*per_tool))
-    columns["errors"] = seen(F.create_map(*errors))
-    return columns
-
-
-def agent_metrics(trace: DataFrame, tools: Sequence[str] = tuple(TOOLS)) -> DataFrame:
-    """Fleet metrics in one row; see :func:`tool_counts` for tools not known in advance."""
-    return trace.agg(*[c.alias(n) for n, c in metric_columns(tools).items()])
+    for kind in TOKEN_KINDS:
+        columns[kind if kind == "total_tokens" else f"total_{kind}"] = total(kind)
+        columns[f"avg_{kind}"] = average(kind)
+    columns["token_calls"] = total("with_tokens")
+    columns["tool_calls"] = per_tool("calls", F.col("tool"))
+    columns["errors"] = F.map_concat(
+        F.map_filter(F.create_map(F.lit(ERROR), total("lost")), lambda _, v: v > 0),
+        per_tool("failed", F.concat(F.lit("tool_"), "tool")),
+    )
+    return parts.groupBy(*keys).agg(*[c.alias(n) for n, c in columns.items()])
+
+
+def agent_metrics(trace: DataFrame, *keys: Column) -> DataFrame:
+    """Fleet metrics in one row, or one row per key."""
+    parts = trace.groupBy(*keys, metric_key()).agg(*metric_parts())
+    return fold_metrics(parts, *[c for c in parts.columns[: len(keys)]])
 
 
 def tool_counts(trace: DataFrame) -> DataFrame:

@@ -132,9 +132,7 @@ def agent_metrics(spark: SparkSession, folder: str) -> DataFrame:
 @agent.register(f"""SELECT CAST(ts AS DATE) AS day, {METRICS_SQL} FROM ({FLAGGED}) GROUP BY 1""")
 def daily_agent_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Fleet metrics per day."""
-    columns = T.metric_columns()
-    daily = D.trace(spark, folder).groupBy(F.col("ts").cast("date").alias("day"))
-    return flat_metrics(daily.agg(*[c.alias(n) for n, c in columns.items()]))
+    return flat_metrics(T.agent_metrics(D.trace(spark, folder), F.col("ts").cast("date").alias("day")))
 
 
 @agent.register(f"""WITH t AS ({D.TRACE_SQL})
@@ -199,7 +197,7 @@ SELECT event_id, arg_max(json_extract_string(js, '$.answer'), i) FILTER (WHERE e
 FROM l GROUP BY event_id""")
 def event_text_answers(spark: SparkSession, folder: str) -> DataFrame:
     """Final answer and last error of every event text."""
-    return E.parse_bodies(D.shaped(spark, folder, "events", D.BODIES, wide=True)).drop("body")
+    return E.parse_bodies(D.shaped(spark, folder, "events", D.BODIES)).drop("body")
 
 
 LINES_SQL = D.shaped_sql("events", D.LINES)
@@ -210,7 +208,7 @@ STAMP = r"regexp_extract(line, '\[(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d+)[^
 CAST(regexp_extract(line, 'LOADED_COUNT=(\\d+)', 1) AS BIGINT) AS announced FROM ({LINES_SQL}) WHERE {STAMP} <> ''""")
 def log_times(spark: SparkSession, folder: str) -> DataFrame:
     """Time and announced count of every stamped log line."""
-    lines = L.with_time(L.stamped(D.shaped(spark, folder, "events", D.LINES, wide=True)))
+    lines = L.with_time(L.stamped(D.shaped(spark, folder, "events", D.LINES)))
     return lines.select("line_no", "ts", loglines.announced_count(F.col("line"), "LOADED").alias("announced"))
 
 
@@ -221,13 +219,13 @@ MARK = datetime(2024, 1, 15, 12, 0, 0)
 WHERE {STAMP} <> '' AND CAST(left({STAMP}, 26) AS TIMESTAMP) > TIMESTAMP '2024-01-15 12:00:00'""")
 def new_log_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Log lines later than the mark."""
-    return L.new_lines(D.shaped(spark, folder, "events", D.LINES, wide=True), MARK).select("line_no", "ts")
+    return L.new_lines(D.shaped(spark, folder, "events", D.LINES), MARK).select("line_no", "ts")
 
 
 @agent.register(f"SELECT max(CAST(nullif(left({STAMP}, 26), '') AS TIMESTAMP)) AS mark FROM ({LINES_SQL})")
 def log_mark(spark: SparkSession, folder: str) -> DataFrame:
     """The mark once these lines were read."""
-    return L.next_mark(D.shaped(spark, folder, "events", D.LINES, wide=True), MARK)
+    return L.next_mark(D.shaped(spark, folder, "events", D.LINES), MARK)
 
 
 @agent.register(f"""WITH p AS ({D.shaped_sql('events', D.PHASES)})
@@ -274,7 +272,7 @@ regexp_matches(upper(question), ';|--|/\\*|\\*/|DROP|DELETE|UPDATE|INSERT') AS r
 FROM ({D.shaped_sql('documents', D.LONG_QUESTIONS)})""")
 def question_validity(spark: SparkSession, folder: str) -> DataFrame:
     """Blank and overlong questions are refused; risky tokens are reported."""
-    rows = D.shaped(spark, folder, "documents", D.LONG_QUESTIONS, wide=True)
+    rows = D.shaped(spark, folder, "documents", D.LONG_QUESTIONS)
     return rows.select(
         "doc_id", Q.question_error(F.col("question")).alias("error"), Q.question_is_risky(F.col("question")).alias("risky")
     )
@@ -325,7 +323,7 @@ SELECT event_id, position, tool, CASE WHEN is_json THEN json_extract_string(raw,
   CASE WHEN NOT is_json THEN l0 END AS "limit" FROM f""")
 def tool_calls(spark: SparkSession, folder: str) -> DataFrame:
     """Tool names and inputs found in agent replies."""
-    rows = D.shaped(spark, folder, "events", D.AGENT_REPLIES, wide=True)
+    rows = D.shaped(spark, folder, "events", D.AGENT_REPLIES)
     calls = rows.select("event_id", F.posexplode_outer(Q.tool_calls(F.col("reply"))).alias("position", "c"))
     calls = calls.where("position IS NOT NULL").select("event_id", "position", "c.tool", "c.input")
     field = lambda name: F.get_json_object("input", f"$.{name}").alias(name)

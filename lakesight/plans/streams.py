@@ -76,9 +76,9 @@ def stream_terminal_events(spark: SparkSession, folder: str) -> DataFrame:
 def stream_agent_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Fleet metrics per hour, updated while events arrive."""
     path = scratch_folder(spark, "metrics")
-    metrics = A.windowed_metrics(trace_stream(spark, folder))
-    rows = R.run_updated(metrics, f"{path}/out", f"{path}/checkpoint", "window_start")
-    return flat_metrics(rows).withColumn("hour", F.col("window_start").cast("timestamp_ntz")).drop("window_start", "window_end")
+    parts = A.windowed_parts(trace_stream(spark, folder))
+    rows = R.run_updated(parts, f"{path}/out", f"{path}/checkpoint", ["window_start", "tool"])
+    return flat_metrics(A.windowed_metrics(rows)).withColumn("hour", F.col("window_start").cast("timestamp_ntz")).drop("window_start", "window_end")
 
 
 @streams.register(f"""SELECT line, CAST(left({STAMP}, 26) AS TIMESTAMP) AS ts,

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lakesight.operators.trace import COMPLETE, ERROR, SYNTHESIS, TOOL_CALL, metric_columns
+from lakesight.operators.trace import COMPLETE, ERROR, SYNTHESIS, TOOL_CALL, fold_metrics, metric_key, metric_parts
 from lakesight.schema import TRACE
 
 QUESTION = "question"
@@ -77,11 +77,13 @@ def first_terminal_events(events: DataFrame, late: str = LATE) -> DataFrame:
     return terminal.withWatermark("ts", late).dropDuplicatesWithinWatermark(["query_id", "event_type"])
 
 
-def windowed_metrics(events: DataFrame, window: str = "1 hour", late: str = LATE) -> DataFrame:
-    """Fleet metrics per time window."""
-    columns = metric_columns()
+def windowed_parts(events: DataFrame, window: str = "1 hour", late: str = LATE) -> DataFrame:
+    """Parts of the fleet metrics per time window and tool; :func:`windowed_metrics` folds what is kept of them."""
     timed = events.withWatermark("ts", late) if events.isStreaming else events
-    grouped = timed.groupBy(F.window("ts", window).alias("w"))
-    return grouped.agg(*[c.alias(n) for n, c in columns.items()]).select(
-        F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *columns
-    )
+    parts = timed.groupBy(F.window("ts", window).alias("w"), metric_key()).agg(*metric_parts())
+    return parts.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *parts.columns[1:])
+
+
+def windowed_metrics(parts: DataFrame) -> DataFrame:
+    """Fleet metrics per time window."""
+    return fold_metrics(parts, "window_start", "window_end")

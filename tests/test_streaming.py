@@ -90,9 +90,10 @@ def test_windowed_metrics_equal_the_batch(spark, tmp_path):
     folder = tmp_path / "events"
     drop(folder, "1.json", FIRST)
     drop(folder, "2.json", SECOND + SENTINEL)
-    live = R.run_updated(A.windowed_metrics(A.read_events(spark, str(folder), 1)), str(tmp_path / "out"), str(tmp_path / "cp"), "window_start")
+    parts = A.windowed_parts(A.read_events(spark, str(folder), 1))
+    live = A.windowed_metrics(R.run_updated(parts, str(tmp_path / "out"), str(tmp_path / "cp"), ["window_start", "tool"]))
     columns = ["window_start", "total_queries", "success_count", "failure_count", "avg_latency_ms", "token_calls", "tool_calls", "errors"]
-    assert rows(live, *columns) == rows(A.windowed_metrics(batch(spark, folder)), *columns)
+    assert rows(live, *columns) == rows(A.windowed_metrics(A.windowed_parts(batch(spark, folder))), *columns)
     assert live.agg(F.sum("total_queries")).first()[0] == 3
 
 
