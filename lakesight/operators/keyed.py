@@ -13,11 +13,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lakesight.functions.cleaning import EDIT_DEFAULTS
 from lakesight.schema import SALES_RAW
+from lakesight.session import materialize
 
 PAGE_DEFAULT = 100
 PAGE_MAX = 500
-# Rows a single task may skip; a deeper page narrows the key range first.
-SKIP_MAX = 100_000
 
 
 class Edited(NamedTuple):
@@ -86,12 +85,16 @@ def delete_rows(raw: DataFrame, embeddings: DataFrame, ids: DataFrame, key: str
     )
 
 
-def changed_rows(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows of ``after`` that are new or differ from ``before`` in any column."""
-    columns = after.columns
-    old = before.select(F.struct(*columns).alias("_old"))
-    new = after.withColumn("_new", F.struct(*columns))
-    return new.join(old, new["_new"].eqNullSafe(old["_old"]), "left_anti").drop("_new")
+def changed_rows(before: DataFrame, after: DataFrame, key: str = "id") -> DataFrame:
+    """Rows of ``after`` whose key is new, or whose content differs from the row of that key in ``before``.
+
+    Keys are unique. Rows meet by key, and of the old ones only a digest travels.
+    """
+    content = [c for c in after.columns if c != key]
+    digest = F.sha2(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}), 256)
+    old = before.select(F.col(key).alias("_key"), digest.alias("_old"))
+    same = (F.col(key) == F.col("_key")) & (digest == F.col("_old"))
+    return after.join(old, same, "left_anti")
 
 
 def refresh_vectors(
@@ -110,39 +113,47 @@ def lookup(df: DataFrame, key: str, value: object) -> DataFrame:
     return df.where(F.col(key) == F.lit(value))
 
 
-def _narrow(df: DataFrame, key: str, offset: int) -> tuple[DataFrame, int]:
-    """Drop leading key ranges until fewer than ``SKIP_MAX`` rows remain to skip.
+class Page(NamedTuple):
+    rows: DataFrame
+    total: int
 
-    Works on text keys: counts per prefix, one character longer at each step, tell
-    which prefix the page starts in. A step returns one row per distinct next
-    character, never rows of the table.
-    """
-    prefix = ""
-    while offset > SKIP_MAX:
-        inside = df.where(F.col(key).startswith(prefix)) if prefix else df
-        counts = (
-            inside.groupBy(F.left(F.col(key), F.lit(len(prefix) + 1)).alias("p")).count().orderBy("p").collect()
-        )
-        for row in counts:
-            if offset < row["count"]:
-                break
-            offset -= row["count"]
-        else:
-            return df.limit(0), 0
-        if row["p"] == prefix:
-            break
-        prefix = row["p"]
-    return (df.where(F.col(key) >= prefix) if prefix else df), offset
 
+def _in_order(df: DataFrame, key: str) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """The keys dealt by ranges in key order, NULLs last, and the row count of each range."""
+    order = [F.col(key).isNull(), F.col(key)]
+    dealt = materialize(df.select(key).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    return dealt, sorted(tuple(r) for r in dealt.groupBy("_range").count().collect())
 
-def page(df: DataFrame, key: str = "id", limit: int = PAGE_DEFAULT, offset: int = 0) -> DataFrame:
-    """One page in key order: at most 500 rows after ``offset``."""
+
+def page(df: DataFrame, key: str = "id", limit: int = PAGE_DEFAULT, offset: int = 0) -> Page:
+    """One page in key order, NULLs last: at most 500 rows after ``offset``; and the total.
+
+    The keys alone are dealt by ranges and counted; only the ranges that the page touches
+    are put in order, and at most 500 keys, or their ends, go back to the table. The driver
+    sees one number per range. Rows that share a key come in no particular order.
+    """
     if limit < 0:
         raise ValueError("limit must not be negative")
     limit, offset = min(limit, PAGE_MAX), max(0, offset)
-    if offset > SKIP_MAX and df.schema[key].dataType.typeName() == "string":
-        df, offset = _narrow(df, key, offset)
-    return df.orderBy(F.col(key).asc_nulls_last()).offset(offset).limit(limit)
+    dealt, sizes = _in_order(df, key)
+    total, before, touched = sum(n for _, n in sizes), 0, []
+    for number, n in sizes:
+        if before + n > offset and before < offset + limit:
+            touched.append((number, before))
+        before += n
+    if not touched:
+        return Page(df.limit(0), total)
+    order = [F.col(key).isNull(), F.col(key)]
+    start = F.create_map(*[F.lit(x) for pair in touched for x in pair])[F.col("_range")]
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    numbered = dealt.where(F.col("_range").isin([n for n, _ in touched])).withColumn("_at", nth + start)
+    place = F.struct(order[0].alias("n"), F.col(key).alias("k"))
+    first, last = numbered.where(F.col("_at").between(offset, offset + limit - 1)).agg(F.min(place), F.max(place)).first()
+    bound = lambda at: F.struct(F.lit(at["n"]).alias("n"), F.lit(at["k"]).cast(df.schema[key].dataType).alias("k"))
+    # Rows that share the first key may belong to the page before.
+    shared = numbered.where(place == bound(first)).agg(F.min("_at")).first()[0]
+    within = df.where((place >= bound(first)) & (place <= bound(last)))
+    return Page(within.orderBy(*order).offset(offset - shared).limit(limit), total)
 
 
 def page_after(df: DataFrame, key: str, last: object, limit: int = PAGE_DEFAULT) -> DataFrame:

@@ -7,15 +7,13 @@ foreign key before a large dimension is joined; see :func:`by_dimension`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lakesight.functions.formats import mean, percentage, zero_if_null
 from lakesight.functions.places import sales_region
 from lakesight.schema import MONEY_SUM
 
 TOP_COMPUTED = 20
-# Largest dimension sent to every executor.
-BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def partials(sales: DataFrame, *keys: str | Column) -> DataFrame:
@@ -49,25 +47,13 @@ def combine(parts: DataFrame, *keys: str | Column) -> DataFrame:
     return parts.groupBy(*keys).agg(*[m.alias(c) for c, m in merged.items() if c in parts.columns])
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Measure a dimension: do its values come to no more than ``limit`` bytes?"""
-    width = F.lit(16)
-    for field in df.schema.fields:
-        text = isinstance(field.dataType, (T.StringType, T.BinaryType))
-        width = width + (F.coalesce(F.octet_length(field.name), F.lit(0)) + 16 if text else F.lit(16))
-    return (df.agg(F.sum(width.cast("long")).alias("bytes")).first()["bytes"] or 0) <= limit
-
-
 def by_dimension(facts: DataFrame, dimension: DataFrame, key: str, *group: str) -> DataFrame:
     """Partials per group of a fact table joined to one dimension.
 
-    A dimension measured to be small is broadcast: the facts are aggregated where
-    they are read and only groups are shuffled. A larger one needs the facts shuffled
-    by key, so they are folded per key first; that takes the weight out of a key
-    with very many rows before the join meets it.
+    The facts are folded per key before the join, with map-side combination, which takes
+    the weight out of a key with very many rows; what meets the dimension is one row per
+    key. How they meet is left to the adaptive plan, which knows both sizes by then.
     """
-    if fits_broadcast(dimension):
-        return partials(facts.join(F.broadcast(dimension), key), *group)
     own = [g for g in group if g in facts.columns]
     return combine(partials(facts, key, *own).join(dimension, key), *group)
 

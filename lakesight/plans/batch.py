@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lakesight.functions import cleaning
 from lakesight.operators import keyed
@@ -26,7 +26,7 @@ RUN_AT = datetime(2026, 1, 16, 5, 33, 5, 39918, tzinfo=timezone.utc)
 def order_file(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as a raw sales file: texts with quotes and breaks, ratings of every kind, missing tokens."""
     priority, status = F.col("o_orderpriority"), F.col("o_orderstatus")
-    return S.wide_table(spark, folder, "orders").select(
+    return S.table(spark, folder, "orders").select(
         F.col("o_orderkey").cast("string").alias("ID"),
         F.col("o_custkey").cast("string").alias("CUSTOMER_ID"),
         F.when(priority == "5-LOW", "N/A").when(priority == "1-URGENT", "null").otherwise(priority).alias("BRAND"),
@@ -283,7 +283,20 @@ def changed_keys(spark: SparkSession, folder: str) -> DataFrame:
 @batch.register(f"SELECT * FROM ({ORDER_SALES_SQL}) ORDER BY id LIMIT 25 OFFSET 200")
 def order_page(spark: SparkSession, folder: str) -> DataFrame:
     """The ninth page of 25 rows in key order."""
-    return keyed.page(order_sales(spark, folder), "id", 25, 200)
+    return keyed.page(order_sales(spark, folder), "id", 25, 200).rows
+
+
+@batch.register(f"""
+WITH k AS (SELECT l_orderkey * 8 + l_linenumber AS k, l_shipdate FROM lineitem WHERE l_linenumber > 2),
+t AS (SELECT DISTINCT CASE WHEN k % 97 = 0 THEN NULL ELSE k END AS key FROM k)
+SELECT key, (SELECT count(*) FROM t) AS total FROM t ORDER BY key NULLS LAST LIMIT 40 OFFSET 3000""")
+def deep_page(spark: SparkSession, folder: str) -> DataFrame:
+    """A page far behind the first, over numbers with a missing one, and the total."""
+    number = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    keys = S.table(spark, folder, "lineitem").where("l_linenumber > 2").select(
+        F.when(number % 97 != 0, number).alias("key")).distinct()
+    found = keyed.page(keys, "key", 40, 3000)
+    return found.rows.withColumn("total", F.lit(found.total).cast("long"))
 
 
 @batch.register(f"SELECT * FROM ({ORDER_SALES_SQL}) WHERE id > '1200' ORDER BY id LIMIT 25")
@@ -320,7 +333,7 @@ s AS (SELECT 'store', store_name, '', count(*), {SUM_PRICE}, {AVG_PRICE},
 m AS (SELECT 'model', brand, fridge_model, count(*), {SUM_PRICE}, {AVG_PRICE}, NULL,
         row_number() OVER (ORDER BY count(*) DESC, brand, fridge_model) - 1 FROM sales GROUP BY brand, fridge_model),
 f AS (SELECT 'feedback', brand, feedback_sentiment_category, count(*), NULL, NULL, NULL,
-        row_number() OVER (ORDER BY brand, count(*) DESC, feedback_sentiment_category) - 1
+        row_number() OVER (PARTITION BY brand ORDER BY count(*) DESC, feedback_sentiment_category) - 1
       FROM sales GROUP BY brand, feedback_sentiment_category),
 every AS (SELECT * FROM b UNION ALL SELECT * FROM s UNION ALL SELECT * FROM m UNION ALL SELECT * FROM f)
 SELECT section, CAST(position AS INTEGER) AS position, name, detail, n, revenue, average, rate FROM every
@@ -330,29 +343,28 @@ WHERE section = 'feedback' OR position < 8"""
 @batch.register(TOP8)
 def analytics_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     """A full batch run, then its newest snapshot parsed, trimmed for serving and listed row by row."""
-    _, snapshots = batch_run(spark, folder)
-    row = snap.serve(snapshots, 300)
-    null_rate = F.lit(None).cast("decimal(5,2)")
-
-    def listed(section: str, column: str, name: str, detail: str | None, n: str, average: str | None, rate: str | None) -> DataFrame:
-        items = row.select(F.posexplode(column).alias("position", "r"))
-        return items.select(
-            F.lit(section).alias("section"),
-            "position",
-            F.col(f"r.{name}").alias("name"),
-            (F.col(f"r.{detail}") if detail else F.lit("")).alias("detail"),
-            F.col(f"r.{n}").alias("n"),
-            (F.col("r.total_revenue") if average else F.lit(None).cast("decimal(28,2)")).alias("revenue"),
-            (F.col(f"r.{average}") if average else F.lit(None).cast("double")).alias("average"),
-            (F.col(f"r.{rate}") if rate else null_rate).alias("rate"),
-        )
-
-    return (
-        listed("brand", "sales_by_brand", "brand", None, "total_sales", "avg_price", None)
-        .unionByName(listed("store", "store_performance", "store_name", None, "total_sales", "avg_sale_price", "negative_feedback_rate"))
-        .unionByName(listed("model", "top_models", "brand", "fridge_model", "sales_count", "avg_price", None))
-        .unionByName(listed("feedback", "feedback_analysis", "brand", "feedback_sentiment_category", "count", None, None))
+    store, snapshots = batch_run(spark, folder)
+    kinds = "struct<section:string,position:int,name:string,detail:string,n:bigint,revenue:decimal(28,2),average:double,rate:decimal(5,2)>"
+
+    def listed(section: str, column: str, name: str, detail: str | None, n: str, average: str, rate: str | None):
+        return F.transform(column, lambda r, i: F.struct(
+            F.lit(section), i, r[name], r[detail] if detail else F.lit(""), r[n], r["total_revenue"], r[average],
+            r[rate] if rate else F.lit(None)).cast(kinds))
+
+    # The top lists leave the row together, so it is read and parsed once.
+    lists = F.concat(
+        listed("brand", "sales_by_brand", "brand", None, "total_sales", "avg_price", None),
+        listed("store", "store_performance", "store_name", None, "total_sales", "avg_sale_price", "negative_feedback_rate"),
+        listed("model", "top_models", "brand", "fridge_model", "sales_count", "avg_price", None),
+    )
+    rank = Window.partitionBy("brand").orderBy(F.col("count").desc(), "feedback_sentiment_category")
+    feedback = snap.latest_feedback(store, snapshots).select(
+        F.lit("feedback").alias("section"), (F.row_number().over(rank) - 1).alias("position"), F.col("brand").alias("name"),
+        F.col("feedback_sentiment_category").alias("detail"), F.col("count").alias("n"),
+        F.lit(None).cast("decimal(28,2)").alias("revenue"), F.lit(None).cast("double").alias("average"),
+        F.lit(None).cast("decimal(5,2)").alias("rate"),
     )
+    return snap.serve(snapshots, 300).select(F.inline(lists)).unionByName(feedback)
 
 
 @batch.register(f"""{SALES}

@@ -37,10 +37,9 @@ def load_vectors(store: TableStore, embed: Embed, dimension: int | None = None,
             raise RuntimeError("the raw table holds no rows")
         return embedded(raw, embed)
 
-    table, written = load_once(store, VECTORS, rows, force)
-    if written and dimension is not None:
-        require_vectors(table, dimension)
-    return table, written
+    # The check comes before the rows become the table, so a bad load leaves nothing to skip.
+    check = None if dimension is None else lambda saved: require_vectors(saved, dimension)
+    return load_once(store, VECTORS, rows, force, check)
 
 
 def announce(raw: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -54,8 +53,7 @@ def announce(raw: DataFrame, vectors: DataFrame) -> DataFrame:
 def save_rows(store: TableStore, rows: DataFrame, embed: Embed) -> None:
     """Insert or replace whole rows, vectors included: only these rows are embedded."""
     full = keyed.full_rows(rows)
-    store.edit(RAW, full)
-    store.edit(VECTORS, embedded(full, embed))
+    store.edit_all({RAW: full, VECTORS: embedded(full, embed)})
 
 
 def update_rows(store: TableStore, edits: DataFrame, embed: Embed) -> DataFrame:
@@ -72,6 +70,5 @@ def delete_ids(store: TableStore, ids: DataFrame) -> DataFrame:
     # The answer is fixed before the table changes under it.
     missing = store.write("_not_found", missing)
     found = store.write("_deleted", found)
-    store.edit(RAW, found, delete=True)
-    store.edit(VECTORS, found, delete=True)
+    store.edit_all({RAW: found, VECTORS: found}, delete=True)
     return missing

@@ -3,64 +3,38 @@
 from __future__ import annotations
 
 from datetime import datetime
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lakesight.functions import cleaning, formats
 from lakesight.operators import rollups as R
 from lakesight.schema import (
-    BRAND_ROW, FEEDBACK_ROW, MODEL_ROW, MONEY_SUM, SNAPSHOT, SNAPSHOT_JSON, STORE_ROW,
+    BRAND_ROW, MODEL_ROW, MONEY_SUM, SNAPSHOT, SNAPSHOT_JSON, STORE_ROW,
 )
-from lakesight.sources.store import TableStore, snapshot_sales
+from lakesight.sources.store import TableStore, require_rows, snapshot_sales
 
 TOP_SERVED = 8
-# Most feedback rows kept inside one cell; more stay in the feedback table only.
-CELL_ROWS = 100_000
 
 SNAPSHOTS = "batch_analytics"
 FEEDBACK = "batch_feedback"
 TRIMMED = ["sales_by_brand", "store_performance", "top_models"]
 
 
-def section_parts(sales: DataFrame) -> DataFrame:
-    """Partials of every section from one pass over the sales.
+class Parts(NamedTuple):
+    """Partials of a batch run: per brand, model and sentiment, and per store."""
 
-    Each row is expanded to five grouping keys and folded by the map-side
-    aggregation, so the table is scanned once and the shuffle carries groups only.
-    """
-    keys = ["brand", "store_name", "feedback_sentiment_category", "fridge_model"]
-    tone = F.col("tone")
-    grouped = (
-        sales.select(*keys, "price", F.col("feedback_sentiment_category").alias("tone"))
-        .groupingSets(
-            [
-                [F.col("brand")],
-                [F.col("store_name")],
-                [F.col("brand"), F.col("feedback_sentiment_category")],
-                [F.col("brand"), F.col("fridge_model")],
-                [],
-            ],
-            *keys,
-        )
-        .agg(
-            F.grouping_id(*keys).alias("g"),
-            F.count("*").alias("n"),
-            F.sum("price").cast(MONEY_SUM).alias("revenue"),
-            F.min("price").alias("low"),
-            F.max("price").alias("high"),
-            F.count_if(tone == "Negative").alias("negative"),
-            F.count_if(tone == "Positive").alias("positive"),
-        )
-    )
-    # Bits of g, from the left: brand, store, sentiment, model; 1 means "not grouped".
-    section = (
-        F.when(F.col("g") == 0b0111, "brand")
-        .when(F.col("g") == 0b1011, "store")
-        .when(F.col("g") == 0b0101, "feedback")
-        .when(F.col("g") == 0b0110, "model")
-        .otherwise("total")
+    models: DataFrame
+    stores: DataFrame
+
+
+def section_parts(sales: DataFrame) -> Parts:
+    """Two folds over narrow columns; every section but the stores derives from the first."""
+    tone = "feedback_sentiment_category"
+    return Parts(
+        R.partials(sales.select("brand", "fridge_model", tone, "price"), "brand", "fridge_model", tone),
+        R.partials(sales.select("store_name", tone, "price"), "store_name"),
     )
-    return grouped.withColumn("section", section).drop("g")
 
 
 def _array(rows: DataFrame, order: list[Column], schema) -> DataFrame:
@@ -72,23 +46,23 @@ def _array(rows: DataFrame, order: list[Column], schema) -> DataFrame:
     )
 
 
-def feedback_rows(parts: DataFrame) -> DataFrame:
+def feedback_rows(parts: Parts) -> DataFrame:
     """Counts per brand and sentiment, one row each."""
-    found = parts.where("section = 'feedback'")
-    return found.select("brand", "feedback_sentiment_category", F.col("n").alias("count"))
+    return R.combine(parts.models, "brand", "feedback_sentiment_category").select(
+        "brand", "feedback_sentiment_category", F.col("n").alias("count")
+    )
 
 
-def assemble(parts: DataFrame, created_at: datetime, scope: str | None, n: int = R.TOP_COMPUTED) -> DataFrame:
+def assemble(parts: Parts, created_at: datetime, scope: str | None, n: int = R.TOP_COMPUTED) -> DataFrame:
     """The snapshot row, its nested sections as JSON text.
 
-    The top-N arrays hold at most ``n`` rows. Feedback has no limit: its cell is
-    filled while it stays small and NULL beyond, where the feedback table serves.
+    The top-N arrays hold at most ``n`` rows. Feedback has no limit and so no cell: it
+    stays rows of its own table, under the same run.
     """
-    brand = R.sales_by_brand(parts.where("section = 'brand'"), n)
-    store = R.store_performance(parts.where("section = 'store'"), n)
-    model = R.top_models(parts.where("section = 'model'"), n)
-    feedback = feedback_rows(parts)
-    total = parts.where("section = 'total'")
+    brand = R.sales_by_brand(parts.models, n)
+    store = R.store_performance(parts.stores, n)
+    model = R.top_models(parts.models, n)
+    total = R.combine(parts.models)
 
     sections = {
         "sales_by_brand": _array(brand, [(-F.col("total_sales")).alias("k1"), F.col("brand").alias("k2")], BRAND_ROW),
@@ -101,17 +75,9 @@ def assemble(parts: DataFrame, created_at: datetime, scope: str | None, n: int =
             MODEL_ROW,
         ),
     }
-    if feedback.count() <= CELL_ROWS:
-        sections["feedback_analysis"] = _array(
-            feedback,
-            [F.col("brand").alias("k1"), (-F.col("count")).alias("k2"),
-             F.col("feedback_sentiment_category").alias("k3")],
-            FEEDBACK_ROW,
-        )
-
     pieces = [
         total.select(
-            F.col("n").alias("total_records"),
+            F.coalesce("n", F.lit(0).cast("long")).alias("total_records"),
             F.coalesce("revenue", F.lit(0).cast(MONEY_SUM)).alias("total_revenue"),
             F.to_json(
                 F.struct(
@@ -140,18 +106,25 @@ def assemble(parts: DataFrame, created_at: datetime, scope: str | None, n: int =
     )
 
 
-def append_snapshot(store: TableStore, snapshot: DataFrame) -> None:
-    """Add one run; a failed write raises."""
-    store.append(SNAPSHOTS, snapshot.coalesce(1))
+def append_snapshot(store: TableStore, snapshot: DataFrame, run: str) -> None:
+    """Add one run, or replace it when it is repeated; a failed write raises."""
+    store.append(SNAPSHOTS, snapshot.coalesce(1), run)
 
 
 def latest(snapshots: DataFrame) -> DataFrame:
-    """The newest run, whichever scheduler wrote it."""
-    return snapshots.orderBy(F.col("created_at").desc_nulls_last()).limit(1)
+    """The newest run, whichever scheduler wrote it; of runs at the same time, the last by name."""
+    return snapshots.orderBy(F.col("created_at").desc_nulls_last(), F.col("run").desc_nulls_last()).limit(1)
+
+
+def latest_feedback(store: TableStore, snapshots: DataFrame) -> DataFrame:
+    """The feedback rows of the newest run; its name reaches the scan as a folder filter."""
+    newest = latest(snapshots).select("run").first()
+    rows = store.read_appended(FEEDBACK)
+    return rows.where(F.col("run") == newest["run"]) if newest else rows.limit(0)
 
 
 def saved_total(snapshots: DataFrame) -> DataFrame:
-    return snapshots.agg(F.max_by("total_records", "created_at").alias("saved_total"))
+    return snapshots.agg(F.max_by("total_records", F.struct("created_at", "run")).alias("saved_total"))
 
 
 def verify_saved_total(snapshots: DataFrame, expected: int) -> None:
@@ -170,20 +143,30 @@ def run_batch(
     scope: str | None = None,
     n: int = R.TOP_COMPUTED,
     source: DataFrame | None = None,
+    run: str | None = None,
+    copy: bool = True,
 ) -> DataFrame:
-    """One batch run: copy, roll up, append the snapshot, check it. Returns all snapshots."""
+    """One batch run: copy, roll up, append the snapshot, check it. Returns all snapshots.
+
+    ``run`` names the run, by default after its time; a run that is repeated replaces its
+    rows. Without ``copy`` the sales are rolled up where they are, for callers that keep
+    them in the store themselves.
+    """
     clean = cleaning.batch_defaults(cleaning.add_missing_columns(raw))
-    sales = snapshot_sales(store, clean, source=source)
-    # Groups only, used by every section; a lost block is computed again from the copy.
-    parts = section_parts(sales).persist()
+    sales = snapshot_sales(store, clean, source=source) if copy else require_rows(clean)
+    run = run or f"at-{created_at:%Y%m%dT%H%M%S%f}"
+    # Groups only; a lost block is computed again.
+    parts = Parts(*[p.persist() for p in section_parts(sales)])
     try:
-        store.append(FEEDBACK, feedback_rows(parts).withColumn("created_at", F.lit(created_at).cast("timestamp")))
-        append_snapshot(store, assemble(parts, created_at, scope, n))
+        store.append(FEEDBACK, feedback_rows(parts).withColumn("created_at", F.lit(created_at).cast("timestamp")), run)
+        append_snapshot(store, assemble(parts, created_at, scope, n), run)
+        # The store partials count every row once more, independently of the saved total.
+        expected = parts.stores.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     finally:
-        parts.unpersist()
+        for p in parts:
+            p.unpersist()
     snapshots = store.read_appended(SNAPSHOTS)
-    # Parquet knows its row count, so counting the copy reads no column.
-    verify_saved_total(snapshots, sales.count())
+    verify_saved_total(snapshots.where(F.col("run") == run), expected)
     return snapshots
 
 

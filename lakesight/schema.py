@@ -66,7 +66,6 @@ PRICE_STATS = T.StructType([
 SNAPSHOT_JSON = {
     "sales_by_brand": T.ArrayType(BRAND_ROW),
     "store_performance": T.ArrayType(STORE_ROW),
-    "feedback_analysis": T.ArrayType(FEEDBACK_ROW),
     "top_models": T.ArrayType(MODEL_ROW),
     "price_stats": PRICE_STATS,
 }

@@ -35,27 +35,71 @@ class TableStore:
         self.root = spark_path(root).rstrip("/")
         self.file_format = file_format
 
+    def _files(self, path: str):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self, path: str) -> list[str]:
+        folder, files = self._files(path)
+        return [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+
+    def _committed(self, path: str) -> bool:
+        folder, files = self._files(path)
+        return any(files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(folder, m)) for m in COMMIT_MARKERS)
+
     def _newest(self, name: str, pattern: str) -> re.Match | None:
         """The highest committed folder of a table whose name fits the pattern."""
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        files = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not files.exists(folder):
-            return None
-        names = [status.getPath().getName() for status in files.listStatus(folder)]
-        for found in sorted(filter(None, (re.fullmatch(pattern, n) for n in names)), key=lambda m: m[0], reverse=True):
-            if any(files.exists(jvm.org.apache.hadoop.fs.Path(folder, f"{found[0]}/{m}")) for m in COMMIT_MARKERS):
+        fitting = filter(None, (re.fullmatch(pattern, n) for n in self._names(f"{self.root}/{name}")))
+        for found in sorted(fitting, key=lambda m: m[0], reverse=True):
+            if self._committed(f"{self.root}/{name}/{found[0]}"):
                 return found
         return None
 
+    def _claim(self, folder: str) -> int:
+        """The next number of a series. Making its file succeeds for one writer only; the others go on to the next."""
+        names = [*self._names(f"{folder}/claims"), *self._names(folder)]
+        taken = [int(m[1]) for m in (re.fullmatch(r"[ve]?(\d+)(-e\d+)?", n) for n in names) if m]
+        number = max(taken, default=0) + 1
+        while True:
+            path, files = self._files(f"{folder}/claims/{number:08d}")
+            if files.createNewFile(path):
+                return number
+            number += 1
+
+    def _save(self, rows: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
+        """Write files that no reader takes for a table yet; returns them as read back."""
+        writer = rows.write.format(self.file_format).mode("errorifexists")
+        if self.file_format != "delta":
+            writer = writer.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.save(path)
+        return self.spark.read.format(self.file_format).schema(rows.schema).load(path)
+
+    def _commit(self, path: str) -> None:
+        folder, files = self._files(path)
+        if not self._committed(path):
+            files.createNewFile(self.spark._jvm.org.apache.hadoop.fs.Path(folder, COMMIT_MARKERS[0]))
+
     def _current(self, name: str) -> tuple[int, int] | None:
         """Version number and the last edit it contains."""
         found = self._newest(name, r"v(\d+)-e(\d+)")
         return (int(found[1]), int(found[2])) if found else None
 
+    def _edits(self, name: str) -> list[int]:
+        """Numbers of the committed edits, rising."""
+        folder = f"{self.root}/{name}/edits"
+        numbers = sorted(int(n[1:]) for n in self._names(folder) if re.fullmatch(r"e\d+", n))
+        return [n for n in numbers if self._committed(f"{folder}/e{n:08d}")]
+
     def _last_edit(self, name: str) -> int:
-        found = self._newest(f"{name}/edits", r"e(\d+)")
-        return int(found[1]) if found else 0
+        """The last edit before which none is still being written, so that folding up to it forgets none."""
+        done, last = set(self._edits(name)), 0
+        for number in sorted(int(n) for n in self._names(f"{self.root}/{name}/edits/claims") if n.isdigit()):
+            if number not in done:
+                break
+            last = number
+        return last
 
     def version(self, name: str) -> int | None:
         """The current version, or None before the first write."""
@@ -77,18 +121,25 @@ class TableStore:
     def is_empty(self, name: str) -> bool:
         return not self.exists(name) or self.read(name).limit(1).isEmpty()
 
-    def write(self, name: str, rows: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    def write(
+        self, name: str, rows: DataFrame, partition_by: Sequence[str] = (), check: Callable[[DataFrame], object] | None = None
+    ) -> DataFrame:
         """Publish a new version and read it back, which also cuts the lineage.
 
-        The new rows are the whole table: edits recorded so far no longer apply.
+        The new rows are the whole table: edits recorded so far no longer apply. ``check``
+        sees the written rows before they become the table, and raises to keep them out.
         """
-        return self._publish(name, rows, self._last_edit(name), partition_by)
-
-    def _publish(self, name: str, rows: DataFrame, edit: int, partition_by: Sequence[str] = ()) -> DataFrame:
-        writer = rows.write.format(self.file_format).mode("overwrite")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.save(self._folder(name, (self.version(name) or 0) + 1, edit))
+        return self._publish(name, rows, self._last_edit(name), partition_by, check)
+
+    def _publish(
+        self, name: str, rows: DataFrame, edit: int, partition_by: Sequence[str] = (),
+        check: Callable[[DataFrame], object] | None = None,
+    ) -> DataFrame:
+        path = self._folder(name, self._claim(f"{self.root}/{name}"), edit)
+        saved = self._save(rows, path, partition_by)
+        if check:
+            check(saved)
+        self._commit(path)
         return self.read(name)
 
     # ---- row edits ---------------------------------------------------------------------
@@ -98,22 +149,31 @@ class TableStore:
 
         ``rows`` hold each key once: whole rows for a put, keys for a delete.
         """
-        number = self._last_edit(name) + 1
-        columns = [
-            (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in self.read(name).schema
-        ]
-        marked = rows.select(*columns, F.lit(delete).alias("_deleted"), F.lit(number).alias("_edit"))
-        marked.write.format(self.file_format).mode("overwrite").save(f"{self.root}/{name}/edits/e{number:08d}")
-
-    def current(self, name: str, key: str = "id") -> DataFrame:
+        self.edit_all({name: rows}, delete)
+
+    def edit_all(self, edits: dict[str, DataFrame], delete: bool = False) -> None:
+        """Edits of several tables: all are written before the first becomes visible."""
+        paths = []
+        for name, rows in edits.items():
+            number = self._claim(f"{self.root}/{name}/edits")
+            columns = [
+                (F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                for f in self.read(name).schema
+            ]
+            paths.append(f"{self.root}/{name}/edits/e{number:08d}")
+            self._save(rows.select(*columns, F.lit(delete).alias("_deleted"), F.lit(number).alias("_edit")), paths[-1])
+        for path in paths:
+            self._commit(path)
+
+    def current(self, name: str, key: str = "id", upto: int | None = None) -> DataFrame:
         """The table with its open edits applied, the latest edit of a key deciding.
 
         Few edits are broadcast against the table by their measured size, so reading
         does not shuffle it; :meth:`compact` folds them in when they grow.
         """
         base = self.read(name)
-        open_edits = range(self._current(name)[1] + 1, self._last_edit(name) + 1)
+        folded = self._current(name)[1]
+        open_edits = [n for n in self._edits(name) if n > folded and (upto is None or n <= upto)]
         if not open_edits:
             return base
         paths = [f"{self.root}/{name}/edits/e{n:08d}" for n in open_edits]
@@ -122,26 +182,30 @@ class TableStore:
         return base.join(changed.select(key), key, "left_anti").select(*base.columns).unionByName(puts)
 
     def compact(self, name: str, key: str = "id") -> DataFrame:
-        """Write the table with its edits folded in as the next version."""
-        return self._publish(name, self.current(name, key), self._last_edit(name))
+        """Write the table with its edits folded in as the next version; edits that arrive meanwhile stay open."""
+        last = self._last_edit(name)
+        return self._publish(name, self.current(name, key, last), last)
 
     # ---- append-only tables ---------------------------------------------------------------
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        """Add rows to an append-only table, kept beside the versioned ones."""
-        rows.write.format(self.file_format).mode("append").save(f"{self.root}/{name}/appended")
+    def append(self, name: str, rows: DataFrame, run: str) -> None:
+        """Add the rows of one run to an append-only table; a repeated run replaces its rows."""
+        rows.write.format(self.file_format).mode("overwrite").save(f"{self.root}/{name}/appended/run={run}")
 
     def read_appended(self, name: str) -> DataFrame:
-        return self.spark.read.format(self.file_format).load(f"{self.root}/{name}/appended")
+        """All runs, the name of each in the column ``run``."""
+        path = f"{self.root}/{name}/appended"
+        return self.spark.read.format(self.file_format).option("basePath", path).load(path)
 
 
 def load_once(
-    store: TableStore, name: str, rows: Callable[[], DataFrame], force: bool = False
+    store: TableStore, name: str, rows: Callable[[], DataFrame], force: bool = False,
+    check: Callable[[DataFrame], object] | None = None,
 ) -> tuple[DataFrame, bool]:
     """Write the table unless it already holds rows; says whether it was written."""
     if not force and not store.is_empty(name):
         return store.read(name), False
-    return store.write(name, rows()), True
+    return store.write(name, rows(), check=check), True
 
 
 def require_rows(df: DataFrame, least: int = MIN_ROWS) -> DataFrame:
@@ -169,18 +233,24 @@ def read_jdbc(
     url: str,
     table: str = "sales_raw",
     columns: Sequence[str] = tuple(SALES_COLUMNS),
-    splits: int = 64,
-    hash_expression: str = "abs(hashtext(id))",
+    bounds: Sequence[str] = (),
     properties: dict[str, str] | None = None,
+    key: str = "id",
 ) -> DataFrame:
     """Read the columns of a database table in parallel.
 
-    Each task fetches the rows of one hash class of the key, so the reads are even
-    however the keys are spread. Needs the database's JDBC driver on the classpath.
+    ``bounds`` are rising keys; each task fetches the keys between two of them, which the
+    database finds by its key index, and the first one those without a key as well. Needs
+    the database's JDBC driver on the classpath.
     """
     source = f"(SELECT {', '.join(columns)} FROM {table}) AS t"
-    classes = [f"{hash_expression} % {splits} = {i}" for i in range(splits)]
-    return spark.read.jdbc(url, source, predicates=classes, properties=properties or {})
+    if not bounds:
+        return spark.read.jdbc(url, source, properties=properties or {})
+    quoted = ["'" + b.replace("'", "''") + "'" for b in bounds]
+    ranges = [f"{key} < {quoted[0]} OR {key} IS NULL"]
+    ranges += [f"{key} >= {a} AND {key} < {b}" for a, b in zip(quoted, quoted[1:], strict=False)]
+    ranges.append(f"{key} >= {quoted[-1]}")
+    return spark.read.jdbc(url, source, predicates=ranges, properties=properties or {})
 
 
 def reset_schema(spark: SparkSession, database: str, force: bool = False) -> list[str]:

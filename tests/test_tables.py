@@ -5,7 +5,7 @@ from decimal import Decimal
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from lakesight import schema, session
 from lakesight.operators import keyed, rollups as R
@@ -172,19 +172,27 @@ def test_changed_rows_and_refresh(spark):
     assert keys(fresh) == [(1, "old"), (2, "new"), (3, "new")]
 
 
-def test_pages(spark, monkeypatch):
+def test_pages(spark):
     ids = [str(i) for i in range(300)]
     df = spark.createDataFrame([(i,) for i in ids], "id string")
     expected = sorted(ids)
-    got = [r["id"] for o in range(0, 300, 70) for r in keyed.page(df, "id", 70, o).collect()]
+    got = [r["id"] for o in range(0, 300, 70) for r in keyed.page(df, "id", 70, o).rows.collect()]
     assert got == expected
     assert [r["id"] for r in keyed.page_after(df, "id", expected[9], 5).collect()] == expected[10:15]
-    assert keyed.page(df, "id", 9999, -3).count() == 300
+    assert keyed.page(df, "id", 9999, -3).rows.count() == 300 == keyed.page(df, "id", 1).total
     with pytest.raises(ValueError):
         keyed.page(df, "id", -1)
-    monkeypatch.setattr(keyed, "SKIP_MAX", 4)
     for offset in (5, 111, 222, 297, 300, 900):
-        assert [r["id"] for r in keyed.page(df, "id", 3, offset).collect()] == expected[offset:offset + 3]
+        assert [r["id"] for r in keyed.page(df, "id", 3, offset).rows.collect()] == expected[offset:offset + 3]
+
+
+def test_pages_with_nulls_and_ties(spark):
+    values = ["ca", None, "cb", "bc", "ca", None, "ab", "bc", "ca"]
+    df = spark.createDataFrame([(v,) for v in values], "id string")
+    expected = sorted(values, key=lambda v: (v is None, v or ""))
+    for offset in range(10):
+        found = keyed.page(df, "id", 2, offset)
+        assert [r["id"] for r in found.rows.collect()] == expected[offset:offset + 2] and found.total == 9
 
 
 # ---- rollups and snapshots ----------------------------------------------------------------------
@@ -215,14 +223,12 @@ def test_totals_of_nothing(spark):
     assert tuple(R.totals(sales(spark, [])).first()) == (0, Decimal("0.00"), 0.0, 0.0, 0.0)
 
 
-def test_dimension_too_large_to_broadcast(spark, monkeypatch):
+def test_dimension_join_equals_the_direct_fold(spark):
     facts = spark.createDataFrame([(i % 3, Decimal(i)) for i in range(30)], "k int, price decimal(18,2)")
     dimension = spark.createDataFrame([(0, "x"), (1, "x"), (2, "y")], "k int, brand string")
-    small = R.by_dimension(facts, dimension, "k", "brand")
-    monkeypatch.setattr(R, "fits_broadcast", lambda df: False)
-    large = R.by_dimension(facts, dimension, "k", "brand")
-    assert keys(small, "brand", "n", "revenue", "low", "high") == keys(large, "brand", "n", "revenue", "low", "high")
-    assert not R.fits_broadcast(dimension) and "Broadcast" in small._jdf.queryExecution().toString()
+    folded = R.by_dimension(facts, dimension, "k", "brand")
+    direct = R.partials(facts.join(dimension, "k"), "brand")
+    assert keys(folded, "brand", "n", "revenue", "low", "high") == keys(direct, "brand", "n", "revenue", "low", "high")
 
 
 def test_batch_run(spark, tmp_path):
@@ -236,26 +242,29 @@ def test_batch_run(spark, tmp_path):
     served = snap.serve(snapshots, 30).first()
     assert served["total_records"] == 30 and served["updated_by_scope"] is None
     assert served["last_updated_at"] == "2026-01-02T09:30:00Z" and served["analytics_run_interval_minutes"] == 1
-    assert len(served["sales_by_brand"]) == 8 and len(served["feedback_analysis"]) == 12
+    assert len(served["sales_by_brand"]) == 8
+    feedback = snap.latest_feedback(store, snapshots)
+    assert feedback.count() == 12 and feedback.agg(F.sum("count")).first()[0] == 30
     assert [b["brand"] for b in served["sales_by_brand"]][:3] == ["B00", "B01", "B02"]
     assert len(snap.parsed(snap.latest(snapshots)).first()["top_models"]) == 20
     assert store.read_appended(snap.FEEDBACK).count() == 24
+    # A repeated run replaces what it left the first time.
+    snapshots = snap.run_batch(store, sales(spark, rows), dt.datetime(2026, 1, 2, 9, 30), None)
+    assert snapshots.count() == 2 and store.read_appended(snap.FEEDBACK).count() == 24
     with pytest.raises(RuntimeError, match="self-check failed"):
         snap.verify_saved_total(snapshots, 31)
     with pytest.raises(RuntimeError, match="no snapshot"):
         snap.verify_saved_total(snapshots.limit(0), 1)
 
 
-def test_feedback_beyond_one_cell_stays_in_its_table(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(snap, "CELL_ROWS", 2)
-    store = TableStore(spark, str(tmp_path))
-    snapshots = snap.run_batch(store, sales(spark, ROWS * 2), dt.datetime(2026, 1, 1))
-    assert snap.serve(snapshots, 60).first()["feedback_analysis"] is None
-    assert store.read_appended(snap.FEEDBACK).count() == 5
+def test_sections_are_folded_without_expansion(spark):
+    parts = snap.section_parts(sales(spark, ROWS))
+    plans = parts.models._jdf.queryExecution().toString() + parts.stores._jdf.queryExecution().toString()
+    assert "Expand" not in plans
 
 
 def test_serving_fills_missing_totals(spark):
-    row = spark.createDataFrame([(dt.datetime(2026, 1, 1), "", None, None) + (None,) * 5], schema.SNAPSHOT)
+    row = spark.createDataFrame([(dt.datetime(2026, 1, 1), "", None, None) + (None,) * 4 + ("r1",)], T.StructType([*schema.SNAPSHOT.fields, T.StructField("run", T.StringType())]))
     served = snap.serve(row, 60).first()
     assert (served["total_records"], served["total_revenue"], served["updated_by_scope"]) == (0, Decimal("0.00"), None)
 
@@ -321,4 +330,39 @@ def test_unfinished_version_is_ignored(spark, tmp_path):
     store.write("t", spark.range(3))
     (tmp_path / "t" / "v00000002-e00000000").mkdir()
     assert store.version("t") == 1 and store.read("t").count() == 3
-    assert store.write("t", spark.range(4)).count() == 4 and store.version("t") == 2
+    assert store.write("t", spark.range(4)).count() == 4 and store.version("t") == 3
+
+
+def test_writers_never_share_a_number(spark, tmp_path):
+    first, second = TableStore(spark, str(tmp_path)), TableStore(spark, str(tmp_path))
+    first.write("t", spark.range(3))
+    numbers = [store._claim(f"{tmp_path}/t/edits") for store in (first, second, first)]
+    assert numbers == [1, 2, 3]
+
+
+def test_compaction_waits_for_edits_being_written(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    store.write("t", spark.createDataFrame([("a", 1), ("b", 1)], "id string, v int"))
+    slow = store._claim(f"{tmp_path}/t/edits")
+    store.edit("t", spark.createDataFrame([("a", 2)], "id string, v int"))
+    # Edit 1 is claimed but not committed: edit 2 is visible, but not folded in before it.
+    assert keys(store.current("t"), "id", "v") == [("a", 2), ("b", 1)]
+    assert keys(store.compact("t"), "id", "v") == [("a", 1), ("b", 1)]
+    path = f"{tmp_path}/t/edits/e{slow:08d}"
+    late = spark.createDataFrame([("b", 9, False, slow)], "id string, v int, _deleted boolean, _edit int")
+    store._save(late, path)
+    store._commit(path)
+    assert keys(store.compact("t"), "id", "v") == [("a", 2), ("b", 9)]
+
+
+def test_failed_check_publishes_nothing(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    raw = spark.createDataFrame([tuple(["x"] + [None] * 11)], schema.SALES_RAW)
+    store.write(lane.RAW, raw)
+    short = lambda texts: [[0.0, 1.0] for _ in texts]
+    for _ in range(2):
+        with pytest.raises(ValueError, match="do not have length 4"):
+            lane.load_vectors(store, short, dimension=4)
+        assert not store.exists(lane.VECTORS)
+    right = lambda texts: [[0.0] * 4 for _ in texts]
+    assert lane.load_vectors(store, right, dimension=4)[1] and store.read(lane.VECTORS).count() == 1
