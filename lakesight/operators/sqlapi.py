@@ -17,9 +17,15 @@ REFUSED_WORDS = [
 ]
 # Refused in addition when guarding by whole words: Spark constructs that run outside code.
 REFUSED_CALLS = ["TRANSFORM", "REFLECT", "JAVA_METHOD", "TRY_REFLECT"]
+# Formats whose name before a path makes a relation of a file.
+FILE_FORMATS = ["TEXT", "CSV", "JSON", "PARQUET", "ORC", "AVRO", "BINARYFILE", "DELTA"]
+FILE_RELATION = rf"\b(FROM|JOIN|,)\s*({'|'.join(FILE_FORMATS)})\s*\."
+# Plan nodes and expressions that run outside code.
+REFUSED_CLASSES = ["CallMethodViaReflection", "TryReflect", "ScriptTransformation"]
 
 ERROR_EMPTY = "SQL query is required"
 ERROR_NOT_SELECT = "Only SELECT queries are allowed"
+ERROR_FILE = "Reading files is not allowed"
 
 
 def _word_error(word: str) -> str:
@@ -34,7 +40,9 @@ def guard_error(sql: Column, mode: str = "words") -> Column:
     """Why a statement is refused, NULL when it may run.
 
     ``substring`` looks for the words as substrings, so that a column named
-    ``created_at`` is refused; ``words`` looks for whole words.
+    ``created_at`` is refused; ``words`` looks for whole words, and also refuses calls of
+    outside code and files as relations, quoted or not. Texts can hide such calls;
+    :func:`run_select` judges the plan as well.
     """
     upper = strip(F.upper(sql))
     rule = F.when(F.coalesce(sql == "", F.lit(True)), ERROR_EMPTY)
@@ -43,8 +51,10 @@ def guard_error(sql: Column, mode: str = "words") -> Column:
         rule = rule.when(hit, _word_error(word))
     rule = rule.when(~upper.startswith("SELECT"), ERROR_NOT_SELECT)
     if mode != "substring":
+        bare = F.replace(upper, F.lit("`"), F.lit(""))
         for word in REFUSED_CALLS:
-            rule = rule.when(upper.rlike(rf"\b{word}\s*\("), _call_error(word))
+            rule = rule.when(bare.rlike(rf"\b{word}\b"), _call_error(word))
+        rule = rule.when(bare.rlike(FILE_RELATION), ERROR_FILE)
     return rule
 
 
@@ -59,15 +69,46 @@ def check_statement(sql: str | None, mode: str = "words") -> str | None:
     if not upper.startswith("SELECT"):
         return ERROR_NOT_SELECT
     if mode != "substring":
+        bare = upper.replace("`", "")
         for word in REFUSED_CALLS:
-            if re.search(rf"\b{word}\s*\(", upper):
+            if re.search(rf"\b{word}\b", bare):
                 return _call_error(word)
+        if re.search(FILE_RELATION, bare):
+            return ERROR_FILE
     return None
 
 
+def check_plan(rows: DataFrame) -> str | None:
+    """Why an analysed statement is refused: it runs outside code or reads something that is no registered view."""
+    plan = rows._jdf.queryExecution().analyzed()
+
+    def walk(node, in_view: bool) -> str | None:
+        name = node.nodeName()
+        expressions = node.expressions()
+        shown = [name, *[expressions.apply(i).toJSON() for i in range(expressions.size())]]
+        for refused in REFUSED_CLASSES:
+            if any(refused in text for text in shown):
+                return f"{refused} is not allowed"
+        in_view = in_view or name == "View"
+        children, queries = node.children(), node.subqueries()
+        if children.isEmpty() and not in_view and name not in ("OneRowRelation", "LocalRelation", "Range", "CTERelationRef"):
+            return f"{name} is no registered view"
+        for below in (children, queries):
+            for i in range(below.size()):
+                refused = walk(below.apply(i), in_view)
+                if refused:
+                    return refused
+        return None
+
+    return walk(plan, False)
+
+
 @dataclass
 class Result:
-    """Outcome of one statement; the rows stay distributed until asked for."""
+    """Outcome of one statement; the rows stay distributed until asked for.
+
+    An error that only shows when the rows are made turns the outcome into a failure.
+    """
 
     success: bool
     sql: str | None
@@ -75,23 +116,45 @@ class Result:
     columns: list[str] | None = None
     error: str | None = None
 
+    def _run(self, action, none):
+        if self.rows is None:
+            return none
+        try:
+            return action(self.rows)
+        except PySparkException as error:
+            self.success, self.rows, self.error = False, None, f"Database error: {error}"
+            return none
+
     def row_count(self) -> int:
-        return self.rows.count() if self.rows is not None else 0
+        return self._run(lambda rows: rows.count(), 0)
 
     def payload(self, n: int = 10) -> list[str]:
         """The first rows as JSON texts."""
-        return [] if self.rows is None else [r[0] for r in json_rows(self.rows.limit(n)).collect()]
+        return self._run(lambda rows: [r[0] for r in json_rows(rows.limit(n)).collect()], [])
+
+
+FILES_SETTING = "spark.sql.runSQLOnFiles"
 
 
 def run_select(spark: SparkSession, sql: str | None, mode: str = "words") -> Result:
-    """Run a statement that passes the guard; errors are returned, not raised."""
+    """Run a statement that passes the guard; errors are returned, not raised.
+
+    Analysing a SELECT runs nothing; its plan is judged before anything does.
+    """
     refused = check_statement(sql, mode)
     if refused:
         return Result(False, sql, error=refused)
+    files = spark.conf.get(FILES_SETTING)
+    spark.conf.set(FILES_SETTING, "false")
     try:
         rows = spark.sql(sql.strip())
+        refused = check_plan(rows)
     except PySparkException as error:
         return Result(False, sql, error=f"Database error: {error}")
+    finally:
+        spark.conf.set(FILES_SETTING, files)
+    if refused:
+        return Result(False, sql, error=refused)
     return Result(True, sql, rows=rows, columns=rows.columns)
 
 

@@ -49,7 +49,8 @@ STATEMENTS_SQL = D.shaped_sql("events", D.STATEMENTS)
 def guard_sql(hit: Callable[[str], str], calls: bool) -> str:
     rules = " ".join(f"WHEN {hit(w)} THEN 'Dangerous SQL keyword ''{w}'' is not allowed'" for w in Q.REFUSED_WORDS)
     tail = (
-        " ".join(f"WHEN regexp_matches(u, '\\b{w}\\s*\\(') THEN 'Function ''{w}'' is not allowed'" for w in Q.REFUSED_CALLS)
+        " ".join(f"WHEN regexp_matches(replace(u, '`', ''), '\\b{w}\\b') THEN 'Function ''{w}'' is not allowed'" for w in Q.REFUSED_CALLS)
+        + f" WHEN regexp_matches(replace(u, '`', ''), '{Q.FILE_RELATION}') THEN '{Q.ERROR_FILE}'"
         if calls else ""
     )
     return f"""SELECT stmt_id, CASE WHEN sql = '' THEN 'SQL query is required' {rules}

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lakesight.session import materialize
-from lakesight.sources.tables import table, wide_table
+from lakesight.sources.tables import table
 
 K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"
 
@@ -74,12 +74,14 @@ PHASES = {
 
 STATEMENTS = {
     "stmt_id": "event_id",
-    "sql": f"CASE event_type WHEN 'view' THEN concat('  select count(*) from sales where k = ', {K}) "
+    "sql": f"CASE WHEN {K} % 11 = 0 THEN 'SELECT `reflect`(''java.util.UUID'', ''randomUUID'')' "
+           f"WHEN {K} % 11 = 1 THEN 'SELECT reflect/**/(''java.lang.System'', ''exit'')' "
+           f"WHEN {K} % 11 = 2 THEN 'SELECT * FROM text.`/etc/passwd`' ELSE CASE event_type WHEN 'view' THEN concat('  select count(*) from sales where k = ', {K}) "
            f"WHEN 'click' THEN 'SELECT created_at, updated FROM sales' "
            f"WHEN 'purchase' THEN 'WITH x AS (SELECT 1) SELECT * FROM x' "
            f"WHEN 'signup' THEN CASE {K} % 4 WHEN 0 THEN 'drop table sales' WHEN 1 THEN 'SELECT 1; delete from sales' "
            f"WHEN 2 THEN 'INSERT INTO sales VALUES (1)' ELSE 'EXECUTE plan' END "
-           f"ELSE CASE WHEN {K} < 50 THEN '' ELSE 'SELECT reflect(''java.lang.System'', ''exit'')' END END",
+           f"ELSE CASE WHEN {K} < 50 THEN '' ELSE 'SELECT reflect(''java.lang.System'', ''exit'')' END END END",
 }
 
 ERRORS = {
@@ -183,11 +185,8 @@ def inventory_columns(spark: bool) -> dict[str, str]:
     }
 
 
-def shaped(
-    spark: SparkSession, folder: str, source: str, columns: dict[str, str], wide: bool = False
-) -> DataFrame:
-    rows = wide_table(spark, folder, source) if wide else table(spark, folder, source)
-    return rows.selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
+def shaped(spark: SparkSession, folder: str, source: str, columns: dict[str, str]) -> DataFrame:
+    return table(spark, folder, source).selectExpr(*[f"{e} AS {c}" for c, e in columns.items()])
 
 
 def shaped_sql(source: str, columns: dict[str, str]) -> str:
