@@ -1,7 +1,10 @@
-"""Approximate search: rows are stored by cell, and a query reads the nearest cells only.
+"""Search by cells: rows are stored by cell, and a query reads the cells that can matter.
 
-Cosine cells over unit vectors rank like Euclidean distance. Exact search stays the
-rule; this is an accelerator to opt into, with its recall measured against it.
+Each cell keeps its centre and the distance of its farthest row. By the triangle
+inequality no row of a cell is closer to a query than the distance to the centre less that
+radius, so cells whose bound exceeds the k-th distance found need not be read, and the
+result is exact whatever the centres are. Reading only the nearest cells instead is faster
+and approximate; its recall can be measured.
 """
 
 from __future__ import annotations
@@ -14,46 +17,61 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from lakesight.operators.search import nearest
+from lakesight.functions.vectors import l2_distance
+from lakesight.operators.search import DECIMALS, nearest
 from lakesight.sources.store import TableStore
 
 LISTS = 100
-# Rows per cell the centres are trained on; every row is assigned to a cell.
-TRAIN_PER_LIST = 1_000
+#: Distances are rounded, and radii are sums of rounded terms.
+SLACK = 10.0 ** (1 - DECIMALS)
 
 
 @dataclass
 class CellIndex:
     table: DataFrame
+    cells: list[int]
     centers: np.ndarray
+    radii: np.ndarray
+
+    def bounds(self, query: Sequence[float]) -> np.ndarray:
+        """For each cell, a distance that none of its rows falls below."""
+        distance = np.linalg.norm(self.centers - np.asarray(query, dtype=np.float64), axis=1)
+        return np.maximum(distance - self.radii - SLACK, 0.0)
 
     def cells_near(self, query: Sequence[float], probes: int) -> list[int]:
-        q = np.asarray(query, dtype=np.float64)
-        cosine = self.centers @ q / (np.linalg.norm(self.centers, axis=1) * np.linalg.norm(q) + 1e-30)
-        return [int(i) for i in np.argsort(-cosine, kind="stable")[:probes]]
+        distance = np.linalg.norm(self.centers - np.asarray(query, dtype=np.float64), axis=1)
+        return [self.cells[i] for i in np.argsort(distance, kind="stable")[:probes]]
 
-    def search(self, query: Sequence[float], k: int, probes: int = 10, **options) -> DataFrame:
+    def probe(self, query: Sequence[float], k: int, probes: int = 10, **options) -> DataFrame:
         """The k closest rows among the nearest cells; the other cells are not read."""
-        near = self.table.where(F.col("cell").isin(self.cells_near(query, probes)))
-        return nearest(near, query, k, **options)
+        return nearest(self.table.where(F.col("cell").isin(self.cells_near(query, probes))), query, k, **options)
+
+    def search(self, query: Sequence[float], k: int, probes: int = 10, **options) -> DataFrame:
+        """The k closest rows of all, from the cells that can hold them.
+
+        A first look at the nearest cells gives a distance that the k-th row does not
+        exceed; then the cells whose bound is no farther are read.
+        """
+        first = self.probe(query, k, probes, **{**options, "columns": ["distance"]}).collect()
+        reach = max(r["distance"] for r in first) if len(first) == k else np.inf
+        near = [c for c, b in zip(self.cells, self.bounds(query), strict=True) if b <= reach]
+        return nearest(self.table.where(F.col("cell").isin(near)), query, k, **options)
 
 
 def build_cells(
     store: TableStore, name: str, corpus: DataFrame, lists: int = LISTS, vector: str = "embedding", seed: int = 42
 ) -> CellIndex:
-    """Train the centres, assign every row to its cell and store the rows by cell."""
+    """Train the centres on all rows, assign every row to its cell and store the rows by cell."""
     features = corpus.withColumn("_features", array_to_vector(F.col(vector).cast("array<double>")))
-    n = corpus.count()
-    fraction = min(1.0, lists * TRAIN_PER_LIST / max(n, 1))
-    training = features.select("_features")
-    if fraction < 1.0:
-        training = training.sample(fraction=fraction, seed=seed)
-    kmeans = KMeans(
-        k=min(lists, max(2, n)), seed=seed, featuresCol="_features", predictionCol="cell", distanceMeasure="cosine"
-    )
-    model = kmeans.fit(training)
+    kmeans = KMeans(k=max(2, lists), seed=seed, featuresCol="_features", predictionCol="cell")
+    model = kmeans.fit(features.select("_features"))
     table = store.write(name, model.transform(features).drop("_features"), partition_by=["cell"])
-    return CellIndex(table, np.array(model.clusterCenters()))
+    centers = np.array(model.clusterCenters())
+    home = F.create_map(*[x for i, c in enumerate(centers) for x in (F.lit(i), F.array(*[F.lit(float(v)) for v in c]))])[F.col("cell")]
+    # One row per cell, of which there are ``lists`` at most.
+    radii = {r["cell"]: r["radius"] for r in table.groupBy("cell").agg(F.max(l2_distance(F.col(vector), home)).alias("radius")).collect()}
+    cells = sorted(radii)
+    return CellIndex(table, cells, centers[cells], np.array([radii[c] for c in cells]))
 
 
 def recall(approximate: DataFrame, exact: DataFrame, key: str = "id") -> DataFrame:

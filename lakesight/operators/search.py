@@ -17,8 +17,7 @@ from lakesight.functions.vectors import l2_distance, vector_literal
 
 TOP_K = 50
 FALLBACK_K = 30
-# Most questions a task holds in memory; more are searched in blocks.
-QUESTION_BLOCK = 4_096
+# Rows of the corpus that a task holds in memory.
 CORPUS_CHUNK = 50_000
 DECIMALS = 9
 
@@ -94,12 +93,6 @@ def nearest(
     )
 
 
-def with_details(found: DataFrame, details: DataFrame, key: str, detail_key: str, columns: Sequence[str]) -> DataFrame:
-    """Look up the found rows, at most k of them, in a wider table; closest first."""
-    joined = details.join(F.broadcast(found), details[detail_key] == found[key])
-    return joined.orderBy("distance", key).select(*columns)
-
-
 # ---- many questions at once -----------------------------------------------------------------
 
 class _Best:
@@ -170,52 +163,52 @@ def nearest_batch(
     key: str = "id",
     question: str = "question_id",
     vector: str = "embedding",
-    block: int = QUESTION_BLOCK,
     chunk: int = CORPUS_CHUNK,
 ) -> DataFrame:
     """The ``k`` closest rows for every question: ``question, key, distance, rank``.
 
-    Up to ``block`` questions travel to every task, which reads its part of the
-    corpus once and sends on ``k`` rows per question. More questions are cut into
-    blocks and the corpus into chunks of bounded size, by hash of their keys, and
-    each block meets each chunk in a task of its own. No pairs are shuffled.
+    The corpus is dealt once, by hash of its keys, into chunks that a task can hold; the
+    questions are copied to every chunk and stream past it block by block, each leaving
+    its k best rows of the chunk. Neither side is gathered anywhere, and no pairs are
+    shuffled.
     """
     kinds = {f.name: f.dataType.simpleString() for f in (questions.schema[question], corpus.schema[key])}
     schema = f"{question} {kinds[question]}, {key} {kinds[key]}, distance double"
     rows = corpus.select(key, vector).where(F.col(vector).isNotNull())
-    asked = questions.select(question, F.col(vector).alias("q_vector")).where(F.col("q_vector").isNotNull())
-
-    held = asked.limit(block + 1).collect()
-    if not held:
-        partial = corpus.sparkSession.createDataFrame([], schema)
-    elif len(held) <= block:
-        ids = [r[question] for r in held]
-        vectors = np.array([r["q_vector"] for r in held], dtype=np.float64)
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = _Best(ids, vectors, k)
-            for batch in batches:
-                if len(batch):
-                    best.add(batch[key].to_numpy(dtype=object), _matrix(batch[vector]))
-            yield best.frame(question, key)
-
-        partial = rows.mapInPandas(scan, schema)
-    else:
-        n_blocks = math.ceil(asked.count() / (block / 2))
-        n_chunks = max(1, math.ceil(rows.count() / (chunk / 2)))
-        part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = rows.withColumn("_c", part(key, n_chunks)).withColumn("_b", every(n_blocks))
-        right = asked.withColumn("_b", part(question, n_blocks)).withColumn("_c", every(n_chunks))
-
-        def meet(some: pd.DataFrame, those: pd.DataFrame) -> pd.DataFrame:
-            if not len(some) or not len(those):
-                return _frame(question, [], key, [], [])
-            best = _Best(those[question].tolist(), _matrix(those["q_vector"]), k)
-            best.add(some[key].to_numpy(dtype=object), _matrix(some[vector]))
-            return best.frame(question, key)
-
-        partial = left.groupBy("_b", "_c").cogroup(right.groupBy("_b", "_c")).applyInPandas(meet, schema)
+    asked = questions.select(question, vector).where(F.col(vector).isNotNull())
+    n_chunks = max(corpus.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / (chunk / 2)))
+
+    held = rows.select(
+        F.pmod(F.xxhash64(key), F.lit(n_chunks)).cast("int").alias("_chunk"), F.lit(False).alias("_asks"),
+        F.col(key).alias("_row"), F.lit(None).cast(kinds[question]).alias("_question"),
+        F.col(vector).cast("array<double>").alias("_vector"),
+    )
+    copied = asked.select(
+        F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("_chunk"), F.lit(True).alias("_asks"),
+        F.lit(None).cast(kinds[key]).alias("_row"), F.col(question).alias("_question"),
+        F.col(vector).cast("array<double>").alias("_vector"),
+    )
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, parts, keys, vectors = None, [], None, None
+        for batch in batches:
+            for at, group in batch.groupby("_chunk", sort=True):
+                if at != number:
+                    number, parts, keys = at, [], None
+                asks = group["_asks"].to_numpy(dtype=bool)
+                if not asks.all():
+                    parts.append(group[~asks])
+                if asks.any() and parts:
+                    if keys is None:
+                        chunk_rows = pd.concat(parts)
+                        keys, vectors = chunk_rows["_row"].to_numpy(dtype=object), _matrix(chunk_rows["_vector"])
+                    some = group[asks]
+                    best = _Best(some["_question"].tolist(), _matrix(some["_vector"]), k)
+                    best.add(keys, vectors)
+                    yield best.frame(question, key)
+
+    dealt = held.unionByName(copied).repartition("_chunk").sortWithinPartitions("_chunk", "_asks")
+    partial = dealt.mapInPandas(meet, schema)
 
     closest = Window.partitionBy(question).orderBy("distance", key)
     return partial.withColumn("rank", F.row_number().over(closest)).where(F.col("rank") <= k)

@@ -6,27 +6,32 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from lakesight.functions.messages import is_visible, message_block
-from lakesight.functions.text import WHITESPACE, rstrip
+from lakesight.functions.messages import body_text, is_visible, message_block
+from lakesight.functions.text import WHITESPACE, rstrip, strip
 from lakesight.operators.ordered import carry_last
 from lakesight.session import materialize
 
-TURNS_PER_PART = 1_000
+def with_bodies(messages: DataFrame) -> DataFrame:
+    """Messages with their body as ``text``: out of their parts where they have some, trimmed, NULL if blank."""
+    if "parts" in messages.columns:
+        body = body_text(F.col("content_type"), F.col("context"), F.col("parts"), F.col("attachments"))
+    else:
+        body = F.nullif(strip(F.col("text")), F.lit(""))
+    return messages.withColumn("text", body)
 
 
 def visible_messages(messages: DataFrame) -> DataFrame:
-    """Messages a reader sees: no system role, not hidden, not empty."""
+    """Messages a reader sees, with their body text: no system role, not hidden, not blank."""
     hidden = F.col("hidden") if "hidden" in messages.columns else None
-    shown = is_visible(F.col("role"), hidden) & (F.coalesce(F.col("text"), F.lit("")) != "")
-    return messages.where(shown)
+    return with_bodies(messages).where(is_visible(F.col("role"), hidden) & F.col("text").isNotNull())
 
 
-def transcripts(messages: DataFrame, markdown: bool = False, turns: int = TURNS_PER_PART) -> DataFrame:
-    """Text of every conversation, cut into parts of at most ``turns`` turns.
+def transcripts(messages: DataFrame, turns: int, markdown: bool = False) -> DataFrame:
+    """Text of every conversation, one row per part of ``turns`` turns that has a message.
 
-    Reading the parts of a conversation in order gives its exact transcript. Nearly
-    all have one part; a very long one is spread over many, so that no task and no
-    cell holds all of it.
+    The part size is the caller's and part of the result: turns 0 to ``turns`` - 1 are
+    part 0, and so on. Reading the parts of a conversation in order gives its exact
+    transcript, and no cell holds more than one part.
     """
     shown = visible_messages(messages)
     role = F.coalesce(F.nullif(F.col("role"), F.lit("")), F.lit("unknown"))

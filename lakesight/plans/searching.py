@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lakesight.functions import vectors as V
 from lakesight.operators import ann, embed as B, keyed, search as N
 from lakesight.plans.registry import Registry
-from lakesight.session import scratch_folder
+from lakesight.session import materialize, scratch_folder
 from lakesight.sources import tables as S
 from lakesight.sources.store import TableStore
 
@@ -21,13 +21,13 @@ def example(spark: SparkSession, folder: str) -> list[float]:
     return keyed.lookup(S.table(spark, folder, "embeddings"), "vec_id", 0).select("embedding").first()[0]
 
 
+def corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts paired with their vectors, as the load lane stores them: a search reads one table and joins nothing."""
+    return materialize(S.feedback(spark, folder).select(*FOUND, "embedding"), "corpus")
+
+
 def search(spark: SparkSession, folder: str, k: int) -> DataFrame:
-    """Vectors alone decide an unfiltered search; the texts are looked up for the k rows found."""
-    vectors, documents = S.table(spark, folder, "embeddings"), S.table(spark, folder, "documents")
-    # Keys and distances alone meet the texts, to leave out vectors that have none.
-    distances = N.scored(vectors, example(spark, folder)).select("vec_id", "distance")
-    owned = distances.join(documents.select("doc_id"), distances.vec_id == documents.doc_id, "left_semi")
-    return N.with_details(owned.orderBy("distance", "vec_id").limit(k), documents, "vec_id", "doc_id", FOUND)
+    return N.nearest(corpus(spark, folder), example(spark, folder), k, key="doc_id", columns=FOUND)
 
 
 DISTANCE = "round(list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 9)"
@@ -52,7 +52,7 @@ ORDER BY {DISTANCE}, doc_id LIMIT 50""")
 def filtered_search(spark: SparkSession, folder: str) -> DataFrame:
     """The closest texts of some languages and sources; other filter names are ignored."""
     filters = {"lang": ["en", "de"], "source": ["src1", "src2", "src3"], "n_chars": ["5"], "nothing": ["x"], "text": []}
-    return N.nearest(S.feedback(spark, folder), example(spark, folder), filters=filters, key="doc_id", columns=FOUND)
+    return N.nearest(corpus(spark, folder), example(spark, folder), filters=filters, key="doc_id", columns=FOUND)
 
 
 @searching.register(f"""WITH r AS ({FOUND_SQL} ORDER BY {DISTANCE}, doc_id LIMIT 50)
@@ -118,7 +118,7 @@ def places(vectors: DataFrame, key: str) -> DataFrame:
 FROM ({hashed_sql('documents', 'doc_id')}) WHERE value <> 0""")
 def text_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """The vector of every document's whole text, place by place."""
-    documents = S.wide_table(spark, folder, "documents").select("doc_id", "text")
+    documents = S.table(spark, folder, "documents").select("doc_id", "text")
     return places(B.embed_column(documents, "text", B.hashing_embedder()), "doc_id")
 
 
@@ -133,7 +133,7 @@ SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY distanc
 def benchmark_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The five documents closest to every benchmark text."""
     embed = B.hashing_embedder()
-    corpus = B.embed_column(S.wide_table(spark, folder, "documents").select("doc_id", "text"), "text", embed)
+    corpus = B.embed_column(S.table(spark, folder, "documents").select("doc_id", "text"), "text", embed)
     questions = B.embed_column(S.table(spark, folder, "benchmark"), "text", embed)
     return N.nearest_batch(corpus, questions, 5, key="doc_id", question="item_id").drop("distance")
 
@@ -145,27 +145,26 @@ SELECT doc_id, dim, CAST(round(CAST(value AS DOUBLE) * 1e6) AS BIGINT) AS value
 def refreshed_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors after an edit of the poor texts: only the changed rows are embedded again."""
     embed = lambda rows: B.embed_column(rows, "text", B.hashing_embedder())
-    before = S.wide_table(spark, folder, "documents").select("doc_id", "text")
+    before = S.table(spark, folder, "documents").select("doc_id", "text")
     poor = S.table(spark, folder, "labels").where("quality = 0").select("doc_id")
     edits = before.join(poor, "doc_id", "left_semi").withColumn("text", F.concat("text", F.lit(" recall")))
-    after = keyed.upsert(before, edits, "doc_id")
-    touched = keyed.changed_rows(before, after)
-    return places(keyed.refresh_vectors(embed(before), touched, embed, "doc_id"), "doc_id")
+    # The edits name the touched rows; nothing has to be compared.
+    return places(keyed.refresh_vectors(embed(before), edits, embed, "doc_id"), "doc_id")
 
 
-@searching.register("SELECT vec_id, true AS same, 64 AS dimension FROM embeddings")
+@searching.register("""SELECT vec_id, true AS same, len(embedding) AS dimension,
+len(string_split(CAST(embedding AS VARCHAR), ',')) AS places FROM embeddings""")
 def vector_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors written as text and read back unchanged."""
     rows = S.table(spark, folder, "embeddings")
     back = V.from_text(V.to_text(F.col("embedding")))
-    return rows.select("vec_id", (back == F.col("embedding")).alias("same"), F.size(back).alias("dimension"))
+    return rows.select("vec_id", (back == F.col("embedding")).alias("same"), F.size(back).cast("long").alias("dimension"),
+                       F.size(F.split(V.to_text(F.col("embedding")), ",")).cast("long").alias("places"))
 
 
-@searching.register()
+@searching.register(f"{FOUND_SQL} ORDER BY {DISTANCE}, doc_id LIMIT 50")
 def approximate_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Recall of a search over the nearest cells against the exact one."""
-    corpus, query = S.feedback(spark, folder), example(spark, folder)
+    """The fifty closest texts through cells, of which only those that can hold one are read."""
     store = TableStore(spark, scratch_folder(spark, "cells"))
-    index = ann.build_cells(store, "cells", corpus, lists=16)
-    found = index.search(query, 50, probes=6, key="doc_id", columns=["doc_id"])
-    return ann.recall(found, N.nearest(corpus, query, 50, key="doc_id", columns=["doc_id"]), "doc_id")
+    index = ann.build_cells(store, "cells", S.feedback(spark, folder).select(*FOUND, "embedding"), lists=16)
+    return index.search(example(spark, folder), 50, probes=6, key="doc_id", columns=FOUND)

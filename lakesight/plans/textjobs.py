@@ -14,24 +14,27 @@ textjobs = Registry()
 TRANSCRIPT = """
 SELECT conv_id, CAST(0 AS BIGINT) AS part,
   trim(string_agg({block}, chr(10) ORDER BY turn), E' \\t\\n\\r') || chr(10) AS body
-FROM conversations WHERE role <> 'system' AND text <> '' GROUP BY conv_id"""
+FROM (SELECT conv_id, turn, role, trim(text, E' \\t\\n\\r') AS text FROM conversations)
+WHERE role <> 'system' AND text <> '' GROUP BY conv_id"""
+#: Turns of a transcript row; the tables' conversations are shorter.
+TURNS = 1_000
 
 
 @textjobs.register(TRANSCRIPT.format(
     block="chr(10) || '----- MESSAGE (role=' || role || ') -----' || chr(10) || text || chr(10)"))
 def transcripts(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation as plain text."""
-    return C.transcripts(S.table(spark, folder, "conversations"))
+    return C.transcripts(S.table(spark, folder, "conversations"), TURNS)
 
 
 @textjobs.register(TRANSCRIPT.format(
     block="chr(10) || '### ' || role || chr(10) || chr(10) || text || chr(10)"))
 def transcripts_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation as markdown."""
-    return C.transcripts(S.table(spark, folder, "conversations"), markdown=True)
+    return C.transcripts(S.table(spark, folder, "conversations"), TURNS, markdown=True)
 
 
-@textjobs.register("SELECT conv_id, turn FROM conversations WHERE role <> 'system' AND text <> '' AND turn % 7 <> 6")
+@textjobs.register("SELECT conv_id, turn FROM conversations WHERE role <> 'system' AND trim(text, E' \\t\\n\\r') <> '' AND turn % 7 <> 6")
 def visible_messages(spark: SparkSession, folder: str) -> DataFrame:
     """Messages a reader sees; some are marked hidden."""
     marked = S.table(spark, folder, "conversations").withColumn("hidden", F.col("turn") % 7 == 6)
@@ -88,7 +91,7 @@ def numbered_documents(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("## "), number(i), F.lit(". Part\n"), line, F.lit("\n### "), number(i), F.lit(".1   Sub\nend\n"),
     )
     text = F.concat(F.lit("# Title\n"), F.array_join(F.transform(F.split("text", "\n", -1), section), ""))
-    return S.wide_table(spark, folder, "documents").select("doc_id", text.alias("text"))
+    return S.table(spark, folder, "documents").select("doc_id", text.alias("text"))
 
 
 NUMBERED_SQL = r"""
