@@ -44,10 +44,10 @@ STATE_COLUMNS = ["query_id", "calls", "iterations", "execution_time_ms", "answer
 def stream_query_states(spark: SparkSession, folder: str) -> DataFrame:
     """Execution state of every query, folded from the event stream."""
     path = scratch_folder(spark, "states")
-    states = R.run_updated(
-        A.query_states(trace_stream(spark, folder)), f"{path}/out", f"{path}/checkpoint", "query_id"
+    parts = R.run_updated(
+        A.state_parts(trace_stream(spark, folder)), f"{path}/out", f"{path}/checkpoint", ["query_id", "window_start"]
     )
-    return states.select(*STATE_COLUMNS, F.col("last_ts").cast("timestamp_ntz").alias("last_ts"))
+    return A.query_states(parts).select(*STATE_COLUMNS, F.col("last_ts").cast("timestamp_ntz").alias("last_ts"))
 
 
 @streams.register(f"""

@@ -25,15 +25,15 @@ def read_events(spark: SparkSession, folder: str, files_per_batch: int | None =
     return reader.json(folder)
 
 
-def _state_columns() -> list[Column]:
-    """Counts and last values; the calls themselves stay in the event table.
+def _state_parts() -> list[Column]:
+    """Counts and last values, mergeable; the calls themselves stay in the event table.
 
-    A repeated terminal event replaces the answer, and arrival order does not
-    matter, because the highest sequence number decides.
+    A last value travels with its sequence number. A repeated terminal event replaces the
+    answer, and arrival order does not matter, because the highest number decides.
     """
     kind, seq = F.col("event_type"), F.col("seq")
     call = (kind == TOOL_CALL) & ~F.col("tool").eqNullSafe(F.lit(SYNTHESIS))
-    last = lambda c, event: F.max_by(F.when(kind == event, c), F.when(kind == event, seq))
+    last = lambda c, event: F.max(F.when(kind == event, F.struct(seq.alias("seq"), c.alias("value"))))
     return [
         last(F.col("question"), QUESTION).alias("question"),
         F.count_if(call).alias("calls"),
@@ -46,18 +46,31 @@ def _state_columns() -> list[Column]:
     ]
 
 
+LAST_VALUES = ["question", "iterations", "execution_time_ms", "answer", "error"]
+
+
 def _with_status(states: DataFrame, unfinished: str) -> DataFrame:
     status = F.when(F.col("_end") == 2, "complete").when(F.col("_end") == 1, "error").otherwise(unfinished)
-    return states.withColumn("status", status).drop("_end")
+    values = {c: F.col(c)["value"] for c in LAST_VALUES}
+    return states.withColumns({**values, "status": status}).drop("_end")
 
 
-def query_states(events: DataFrame) -> DataFrame:
-    """The current state of every query, written again whenever it changes (update mode).
+def state_parts(events: DataFrame, window: str = "1 day", late: str = LATE) -> DataFrame:
+    """Parts of each query's state per window, written again whenever they change (update mode).
 
-    States are kept for the life of the stream; see :func:`closed_queries` for
-    endless ones.
+    A part is forgotten once its window has passed, so the stream's state is bounded by
+    the queries of a window; :func:`query_states` folds the parts that were kept.
     """
-    return _with_status(events.groupBy("query_id").agg(*_state_columns()), "running")
+    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    parts = timed.groupBy("query_id", F.window("ts", window).alias("w")).agg(*_state_parts())
+    return parts.withColumn("window_start", F.col("w.start")).drop("w")
+
+
+def query_states(parts: DataFrame) -> DataFrame:
+    """The current state of every query out of its parts."""
+    folds = {**{c: F.max(c) for c in LAST_VALUES}, "calls": F.sum("calls"), "_end": F.max("_end"), "last_ts": F.max("last_ts")}
+    states = parts.groupBy("query_id").agg(*[c.alias(n) for n, c in folds.items()])
+    return _with_status(states, "running")
 
 
 def closed_queries(events: DataFrame, timeout: str = TIMEOUT, late: str = LATE) -> DataFrame:
@@ -67,7 +80,7 @@ def closed_queries(events: DataFrame, timeout: str = TIMEOUT, late: str = LATE)
     it counts as ``abandoned``.
     """
     timed = events.withWatermark("ts", late) if events.isStreaming else events
-    sessions = timed.groupBy("query_id", F.session_window("ts", timeout).alias("w")).agg(*_state_columns())
+    sessions = timed.groupBy("query_id", F.session_window("ts", timeout).alias("w")).agg(*_state_parts())
     return _with_status(sessions, "abandoned").withColumn("closed_at", F.col("w.end")).drop("w")
 
 

@@ -49,9 +49,9 @@ def batch(spark, folder):
 
 def test_states_survive_a_restart(spark, tmp_path):
     folder = tmp_path / "events"
-    run = lambda: R.run_updated(
-        A.query_states(A.read_events(spark, str(folder), 1)), str(tmp_path / "out"), str(tmp_path / "cp"), "query_id"
-    )
+    run = lambda: A.query_states(R.run_updated(
+        A.state_parts(A.read_events(spark, str(folder), 1)), str(tmp_path / "out"), str(tmp_path / "cp"), ["query_id", "window_start"]
+    ))
     drop(folder, "1.json", FIRST)
     assert rows(run(), "query_id", "calls", "status") == [("a", 1, "running"), ("b", 1, "running"), ("c", 0, "running")]
     drop(folder, "2.json", SECOND)
@@ -60,7 +60,7 @@ def test_states_survive_a_restart(spark, tmp_path):
         ("a", "why", 1, 1, "second", None, "complete"), ("b", "how many", 1, None, None, "boom", "error"),
         ("c", "lost", 0, None, None, None, "running"),
     ]
-    assert rows(states, *STATES) == rows(A.query_states(batch(spark, folder)), *STATES)
+    assert rows(states, *STATES) == rows(A.query_states(A.state_parts(batch(spark, folder))), *STATES)
 
 
 def test_queries_close_after_the_timeout(spark, tmp_path):
