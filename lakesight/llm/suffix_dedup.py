@@ -1,8 +1,8 @@
 """Repeated byte strings by a Burrows-Wheeler transform.
 
-Every string of ``LENGTH`` bytes has an anchor, the least hash of its grams; equal strings
-have equal anchors. Strings whose anchor occurs once cannot be repeated. The others are cut
-into pieces by anchor, and pieces of one anchor meet in a task. There a breadth-first backward
+Every string of ``LENGTH`` bytes has two anchors, the least and the greatest hash of its
+grams; equal strings have equal anchors. Strings with an anchor that occurs once cannot be
+repeated. The others are cut into pieces by the least, and pieces of one anchor meet in a task. There a breadth-first backward
 extension on the transform of the pieces derives common prefixes by increasing value: it
 starts from the intervals of short strings, extends them to the left one byte at a time, and
 each string that ends an interval where no boundary was known fixes one common prefix. It
@@ -29,13 +29,17 @@ GRAM = 32
 CELLS = 1 << 27
 #: Bytes that are hashed, and bytes that are transformed, at once.
 CHUNK, TRANSFORM = 1 << 20, 1 << 21
-#: Beyond so many pieces or bytes an anchor's strings are told apart by digests of each, which spreads them over tasks.
+#: Beyond so many pieces or bytes an anchor's pieces are first cut down to strings whose digest is repeated.
 CROWD_PIECES, CROWD_BYTES = 500, 1 << 21
+#: Digests are dealt over so many parts of the bit set, and sent on when a task holds so many.
+PARTS, HELD = 256, 1 << 20
 OUTPUT = ["n_bytes", "n_removed", "n_spans", "kept"]
 INNER = ["_row", "_text", "_key", "_cover"]
 
 _TABLE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Tells the greatest hashes from the least ones in one bit set.
+_GREATEST = np.uint64(0x5851F42D4C957F2D)
 
 
 def rolling(data: np.ndarray, length: int, base: int) -> np.ndarray:
@@ -84,29 +88,42 @@ def chunks(rows: np.ndarray, texts: list[bytes]) -> Iterator[tuple[np.ndarray, l
         yield np.frombuffer(b"".join(parts), np.uint8), held
 
 
-def anchors(data: np.ndarray, held: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gram hashes, the anchor of each string, and whether the string lies in one text."""
+def anchors(data: np.ndarray, held: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Gram hashes, the least and the greatest anchor of each string, and whether the string lies in one text."""
     grams = rolling(data, GRAM, _BASES[0])
-    least = _over(grams, LENGTH - GRAM + 1, np.minimum)
+    width = LENGTH - GRAM + 1
+    least, greatest = _over(grams, width, np.minimum), _over(grams, width, np.maximum)
     inside = np.zeros(len(least) + 1, np.int32)
     for _, _, start, end in held:
         inside[start] += 1
         inside[end - LENGTH + 1] -= 1
-    return grams, least, np.cumsum(inside[:-1]) > 0
+    return grams, least, greatest, np.cumsum(inside[:-1]) > 0
+
+
+def _chosen(grams: np.ndarray, anchor: np.ndarray, inside: np.ndarray, least) -> np.ndarray:
+    """The grams that are the anchor of some string, once for each place."""
+    width = LENGTH - GRAM + 1
+    none = np.uint64(0) if least is np.maximum else ~np.uint64(0)
+    padded = np.full(len(anchor) + 2 * (width - 1), none)
+    padded[width - 1 : width - 1 + len(anchor)][inside] = anchor[inside]
+    return grams[grams == _over(padded, width, least)]
 
 
 def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, text) → one row per place of an anchor."""
     for batch in batches:
         for data, held in chunks(batch.column(0).to_numpy(), batch.column(1).to_pylist()):
-            grams, least, inside = anchors(data, held)
-            width = LENGTH - GRAM + 1
-            padded = np.zeros(len(least) + 2 * (width - 1), np.uint64)
-            padded[width - 1 : width - 1 + len(least)][inside] = least[inside]
-            chosen = grams[grams == _over(padded, width, np.maximum)]
+            grams, least, greatest, inside = anchors(data, held)
+            chosen = np.concatenate([
+                _chosen(grams, least, inside, np.maximum), _chosen(grams, greatest, inside, np.minimum) ^ _GREATEST])
             yield pa.RecordBatch.from_arrays([pa.array(chosen.view(np.int64))], ["anchor"])
 
 
+def _is_set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    cell = (hashes & np.uint64(CELLS - 1)).astype(np.int64)
+    return ((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def _runs(keep: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends (exclusive) of runs of kept places with one value."""
     at = np.flatnonzero(keep)
@@ -119,15 +136,14 @@ def _runs(keep: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def piece_rows(bits: Broadcast):
-    """(row, text) → (anchor, piece, row, start, bytes): maximal runs of strings with one repeated anchor."""
+    """(row, text) → (anchor, piece, row, start, bytes): maximal runs of strings with one least anchor, both repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
             for data, held in chunks(batch.column(0).to_numpy(), batch.column(1).to_pylist()):
-                _, least, inside = anchors(data, held)
-                cell = (least & np.uint64(CELLS - 1)).astype(np.int64)
-                starts, ends = _runs(inside & ((cells[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1).astype(bool), least)
+                _, least, greatest, inside = anchors(data, held)
+                starts, ends = _runs(inside & _is_set(cells, least) & _is_set(cells, greatest ^ _GREATEST), least)
                 of = np.searchsorted([h[2] for h in held], starts, side="right") - 1
                 raw = data.tobytes()
                 pieces = [raw[s : e + LENGTH - 1] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
@@ -272,24 +288,98 @@ def transform_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces of crowded anchors → (one, two, piece, at, weight): a 128-bit digest of each string."""
+    """Pieces → (part, digests, again): distinct digests of their strings, and whether the task met them twice."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        digests, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+        counts = np.bincount(at, weights=np.concatenate([w for _, w in held]))
+        part = (digests & np.uint64(CELLS - 1)) // np.uint64(CELLS // PARTS)
+        order = np.argsort(part, kind="stable")
+        starts = np.searchsorted(part[order], np.arange(PARTS + 1))
+        lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), values) for values in (
+            pa.array(digests[order].view(np.int64)), pa.array(counts[order] > 1))]
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS), pa.int32()), *lists], ["part", "digests", "again"])
+
+    for batch in batches:
+        for raw, weight in zip(batch.column("bytes").to_pylist(), batch.column("weight").to_pylist(), strict=True):
+            digests = rolling(np.frombuffer(raw, np.uint8), LENGTH, _BASES[1])
+            held.append((digests, np.full(len(digests), weight)))
+            size += len(digests)
+        if size >= HELD:
+            yield flush()
+            held.clear()
+            size = 0
+    if held:
+        yield flush()
+
+
+def repeated_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by part → (word, bits) of the bit set: cells of digests that were met twice."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    last = None
+
+    def flush() -> pa.RecordBatch:
+        digests, at = np.unique(np.concatenate([d for d, _ in held]), return_inverse=True)
+        counts = np.bincount(at, weights=np.concatenate([1 + a.astype(np.int64) for _, a in held]))
+        cell = np.unique(digests[counts > 1].view(np.uint64) & np.uint64(CELLS - 1))
+        word, starts = np.unique(cell >> np.uint64(6), return_index=True)
+        bit = np.left_shift(np.uint64(1), cell & np.uint64(63))
+        bits = np.bitwise_or.reduceat(bit, starts) if len(starts) else bit
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(bits.view(np.int64))], ["word", "bits"])
+
     for batch in batches:
-        for _, key, raw, weight in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            data = np.frombuffer(raw, np.uint8)
-            one, two = (rolling(data, LENGTH, b).view(np.int64) for b in _BASES)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(one), pa.array(two), pa.array([key] * len(one), pa.binary()), pa.array(np.arange(len(one))),
-                pa.array(np.full(len(one), weight))], ["one", "two", "piece", "at", "weight"])
+        for i in range(batch.num_rows):
+            part = batch.column(0)[i].as_py()
+            if part != last and held:
+                yield flush()
+                held.clear()
+            last = part
+            held.append((batch.column(1)[i].values.to_numpy(), batch.column(2)[i].values.to_numpy(zero_copy_only=False)))
+    if held:
+        yield flush()
+
+
+def trim_rows(bits: Broadcast):
+    """Pieces → (anchor, piece, cut, at, bytes, weight): their runs of strings with a repeated digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.frombuffer(bits.value, np.uint8)
+        for batch in batches:
+            out: list[tuple] = []
+            for anchor, piece, raw, weight in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                keep = _is_set(cells, rolling(np.frombuffer(raw, np.uint8), LENGTH, _BASES[1]))
+                starts, ends = _runs(keep, keep)
+                for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+                    cut = raw[s : e + LENGTH - 1]
+                    out.append((anchor, piece, hashlib.md5(cut).digest(), s, cut, weight))
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.int64()]
+            names = ["anchor", "piece", "cut", "at", "bytes", "weight"]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names)
+
+    return run
+
+
+def _collected(words: DataFrame) -> bytes:
+    """The bit set out of (word, bits), at most ``CELLS`` / 64 rows."""
+    rows = words.toArrow()
+    cells = np.zeros(CELLS // 64, np.int64)
+    cells[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return cells.astype("<i8").tobytes()
 
 
 def anchor_bits(texts: DataFrame) -> bytes:
     """The bit set of anchors with two places or more; ``CELLS`` / 64 words come to the driver at most."""
     again = texts.mapInArrow(anchor_rows, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    words = again.select(F.col("anchor").bitwiseAND(CELLS - 1).alias("c")).groupBy(F.expr("c div 64").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, int(c % 64))")).alias("bits")).toArrow()
-    cells = np.zeros(CELLS // 64, np.int64)
-    cells[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    return cells.astype("<i8").tobytes()
+    return _collected(again.select(F.col("anchor").bitwiseAND(CELLS - 1).alias("c")).groupBy(F.expr("c div 64").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, int(c % 64))")).alias("bits")))
+
+
+def digest_bits(pieces: DataFrame) -> bytes:
+    """The bit set of string digests that occur twice in the pieces; digests travel in lists, not as rows."""
+    dealt = pieces.mapInArrow(digest_rows, "part int, digests array<long>, again array<boolean>")
+    return _collected(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(repeated_words, "word long, bits long"))
 
 
 def repeated_cover(texts: DataFrame) -> DataFrame:
@@ -306,18 +396,18 @@ def repeated_cover(texts: DataFrame) -> DataFrame:
     # An anchor with one short piece that occurs once was let through by the bit set and repeats nothing.
     groups = materialize(groups.filter((F.col("w") > 1) | (F.col("most") > LENGTH)).select(F.col("anchor").alias("_a"), crowd.alias("crowd")), "groups")
     joined = distinct.join(groups, F.col("anchor") == F.col("_a")).select("anchor", "piece", "bytes", "weight", "crowd")
-    few = joined.filter(~F.col("crowd")).drop("crowd").repartition("anchor").sortWithinPartitions("anchor")
-    ranges = few.mapInArrow(transform_rows, "piece binary, low long, high long")
-    strings = joined.filter("crowd").drop("crowd").mapInArrow(digest_rows, "one long, two long, piece binary, at long, weight long")
-    strings = materialize(strings, "strings")
-    again = materialize(
-        strings.groupBy("one", "two").agg(F.sum("weight").alias("n")).filter("n > 1")
-        .select(F.col("one").alias("_one"), F.col("two").alias("_two")), "again")
-    spread = strings.join(again, (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two"))).select(
-        "piece", F.col("at").alias("low"), (F.col("at") + LENGTH).alias("high"))
-    merged = spread.groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("r")).select(
-        "piece", F.explode(_merged(F.col("r"))).alias("x")).select("piece", "x.low", "x.high")
-    covered = materialize(ranges.unionByName(merged), "ranges").withColumnRenamed("piece", "_piece")
+    few, crowded = joined.filter(~F.col("crowd")).drop("crowd"), joined.filter("crowd").drop("crowd")
+    trimmed = materialize(crowded.mapInArrow(
+        trim_rows(spark.sparkContext.broadcast(digest_bits(crowded))),
+        "anchor long, piece binary, cut binary, at long, bytes binary, weight long"), "trimmed")
+    cuts = trimmed.groupBy("anchor", F.col("cut").alias("piece")).agg(F.first("bytes").alias("bytes"), F.sum("weight").alias("weight"))
+    sort = few.unionByName(cuts.select(*few.columns)).repartition("anchor").sortWithinPartitions("anchor")
+    ranges = materialize(sort.mapInArrow(transform_rows, "piece binary, low long, high long"), "ranges").withColumnRenamed("piece", "_piece")
+    # Ranges of a cut are put back where it was cut out; a piece that was not cut stands for itself.
+    whole_ = ranges.join(few.select(F.col("piece").alias("_few")), F.col("_piece") == F.col("_few"), "left_semi")
+    inside = trimmed.select("piece", "cut", "at").join(ranges, F.col("cut") == F.col("_piece")).select(
+        F.col("piece").alias("_piece"), (F.col("low") + F.col("at")).alias("low"), (F.col("high") + F.col("at")).alias("high"))
+    covered = materialize(whole_.unionByName(inside), "covered")
     places = found.select("piece", "row", "start").join(covered, F.col("piece") == F.col("_piece"))
     return places.groupBy(F.col("row").alias("_key")).agg(
         _merged(F.array_sort(F.collect_list(F.struct(
