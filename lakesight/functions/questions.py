@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, functions as F
 
 from lakesight.functions.text import any_of, first_group, is_blank, strip
@@ -27,6 +29,7 @@ DATA_PHRASES = [
     "based on query results", "according to the data", "the query results show",
     "from the database", "the data indicates", "based on the information",
 ]
+# Tags of tools left in an answer.
 TOOL_TAGS = ["<generate_sql>", "<execute_sql>", "<semantic_search>"]
 
 # Answers given when a query found nothing.
@@ -115,6 +118,42 @@ def tool_calls(reply: Column) -> Column:
     return F.filter(F.zip_with(tools, inputs, call), lambda c: c["tool"].isNotNull())
 
 
+# For each tool, the field it reads and the names that callers use for it, in order.
+INPUT_NAMES = {
+    "semantic_search": ("query_text", ["query_text", "question", "query"]),
+    "execute_sql": ("sql", ["sql", "sql_query", "query"]),
+    "generate_sql": ("question", ["question", "query"]),
+}
+
+
+def normalized_input(tool: Column, given: Column, question: Column, filterable: Sequence[str]) -> Column:
+    """A call's input as its tool reads it: ``struct<query_text, sql, question, filters>``.
+
+    Fields under another of their names are moved; a search without a text searches for the
+    question asked. Filterable columns named directly join the ``filters`` map, where a
+    single value becomes a list; the map itself wins over them. Of other tools nothing is read.
+    """
+    fields = F.from_json(given, "map<string,string>")
+    field = lambda name: F.try_element_at(fields, F.lit(name))
+    taken = {}
+    for name, (target, names) in INPUT_NAMES.items():
+        value = F.coalesce(*[field(n) for n in names], *([question] if target == "query_text" else []))
+        taken[target] = F.when(tool == name, value)
+    named = F.coalesce(F.from_json(field("filters"), "map<string,array<string>>"), F.create_map().cast("map<string,array<string>>"))
+    direct = F.array_compact(F.array(*[
+        F.when(field(c).isNotNull() & ~F.map_contains_key(named, c), F.struct(
+            F.lit(c).alias("key"),
+            F.coalesce(F.when(field(c).startswith("["), F.from_json(field(c), "array<string>")), F.array(field(c))).alias("value"),
+        )) for c in filterable
+    ]))
+    filters = F.map_concat(named, F.map_from_entries(direct))
+    return F.struct(
+        *[taken[c].alias(c) for c in ("query_text", "sql", "question")],
+        F.when((tool == "semantic_search") & (F.size(filters) > 0), filters).alias("filters"),
+    )
+
+
+
 def answer_has_number(answer: Column) -> Column:
     """Two digits at least: a lone digit does not count."""
     return answer.rlike(r"\d+\.?\d+")

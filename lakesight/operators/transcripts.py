@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -88,27 +89,31 @@ def preorder(
         F.lit(0).cast("long").alias("entered"), F.lit(-1).cast("long").alias("level"),
     )
     open_steps = materialize(enter.unionByName(leave).withColumn("done", F.col("n_id").isNull()), "walk")
-    steps = open_steps
+    # Finished steps stay where they were written; a round carries on the open ones only.
+    finished, running = [open_steps.where("done")], open_steps.where(~F.col("done"))
 
     longest = nodes.groupBy(tree).count().agg(F.max("count")).first()[0] or 0
     for _ in range(math.ceil(math.log2(2 * longest + 2)) if longest else 0):
+        steps = reduce(DataFrame.unionByName, [*finished, running])
         ahead = steps.select(
             "t", F.col("id").alias("n_id"), F.col("side").alias("n_side"), F.col("n_id").alias("a_id"),
             F.col("n_side").alias("a_side"), F.col("entered").alias("a_entered"), F.col("level").alias("a_level"),
             F.col("done").alias("a_done"),
         )
         # A link to a node that does not exist drops out here, with all that lead to it.
-        moved = steps.where(~F.col("done")).join(ahead, ["t", "n_id", "n_side"]).select(
+        moved = running.join(ahead, ["t", "n_id", "n_side"]).select(
             "t", "id", "side", F.col("a_id").alias("n_id"), F.col("a_side").alias("n_side"),
             (F.col("entered") + F.col("a_entered")).alias("entered"),
             (F.col("level") + F.col("a_level")).alias("level"),
             F.col("a_done").alias("done"),
         )
-        steps = materialize(steps.where("done").unionByName(moved), "walk")
-        if steps.where(~F.col("done")).isEmpty():
+        moved = materialize(moved, "walk")
+        finished.append(moved.where("done"))
+        running = moved.where(~F.col("done"))
+        if running.isEmpty():
             break
 
-    reached = steps.where("done AND side = 0")
+    reached = reduce(DataFrame.unionByName, finished).where("side = 0")
     size = reached.groupBy("t").agg(F.max("entered").alias("size"))
     return reached.join(size, "t").select(
         F.col("t").alias(tree),

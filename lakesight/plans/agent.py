@@ -332,6 +332,19 @@ def tool_calls(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@agent.register(f"""WITH i AS (SELECT event_id, tool, {D.K} % 4 AS c, {D.K} AS k FROM ({D.shaped_sql('events', {**D.TOOL_INPUTS, 'props': 'props'})}))
+SELECT event_id, tool, CASE c WHEN 0 THEN concat('q ', k) WHEN 3 THEN concat('asked ', event_id) END AS query_text,
+  CASE c WHEN 1 THEN concat('SELECT ', k) END AS sql, CASE c WHEN 2 THEN concat('q ', k) END AS question,
+  CASE c WHEN 0 THEN 'brand=B;store_name=a|b' WHEN 3 THEN 'brand=z;store_name=5' END AS filters FROM i""")
+def tool_inputs(spark: SparkSession, folder: str) -> DataFrame:
+    """Inputs of tool calls under the names their tools read."""
+    rows = D.shaped(spark, folder, "events", D.TOOL_INPUTS)
+    asked = F.concat(F.lit("asked "), "event_id")
+    read = rows.withColumn("i", Q.normalized_input(F.col("tool"), F.col("input"), asked, ["brand", "store_name"]))
+    entries = F.transform(F.array_sort(F.map_entries("i.filters")), lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "|")))
+    return read.select("event_id", "tool", "i.query_text", "i.sql", "i.question", F.array_join(entries, ";").alias("filters"))
+
+
 @agent.register(f"""SELECT event_id, CASE
 WHEN regexp_matches(lower(message), 'overloaded_error|rate_limit|throttl|api_error|internal server error') THEN false
 WHEN contains(lower(message), 'not_found_error') OR (contains(lower(message), 'model:') AND contains(message, '404')) THEN true

@@ -123,6 +123,15 @@ AGENT_REPLIES = {
              f"chr(10), 'tool: semantic_search', chr(10), CASE WHEN {K} < 50 THEN 'INPUT: {{}}' ELSE '' END)",
 }
 
+# Inputs of tool calls under the names that callers use.
+TOOL_INPUTS = {
+    "event_id": "event_id",
+    "tool": f"CASE {K} % 4 WHEN 1 THEN 'execute_sql' WHEN 2 THEN 'generate_sql' ELSE 'semantic_search' END",
+    "input": f"CASE {K} % 4 WHEN 0 THEN concat('{{\"question\": \"q ', {K}, '\", \"brand\": \"B\", \"store_name\": [\"a\", \"b\"], \"customer_feedback\": \"x\"}}') "
+             f"WHEN 1 THEN concat('{{\"sql_query\": \"SELECT ', {K}, '\"}}') WHEN 2 THEN concat('{{\"query\": \"q ', {K}, '\"}}') "
+             f"ELSE '{{\"brand\": 7, \"store_name\": 5, \"filters\": {{\"brand\": [\"z\"]}}}}' END",
+}
+
 PATHS = {
     "page_id": "page_id",
     "path": "CASE page_id % 5 WHEN 0 THEN concat('stacks/nonkube/', page_id) WHEN 1 THEN concat('stacks/kube/', page_id) "

@@ -198,3 +198,15 @@ def test_event_texts(spark):
 def test_builtin_names(spark):
     rows = [("vpc:default (10.0.0.0/16) [x]",), ("iam:AWSServiceRoleFor",), ("s3:acme-data",), ("cdk-assets",), ("x:my-default",)]
     assert one(spark, rows, "d string", resources.is_builtin(F.col("d"))) == [True, True, False, True, False]
+
+
+def test_inputs_under_the_names_of_their_tools(spark):
+    rows = [
+        ("semantic_search", '{"query": "a", "question": "b", "brand": "x", "id": "1"}'), ("semantic_search", '{"filters": "no", "brand": ["x", "y"]}'),
+        ("execute_sql", '{"query": "q", "sql": "s"}'), ("generate_sql", '{"query": "q"}'), ("other", '{"query": "q"}'), ("semantic_search", "{}"),
+    ]
+    got = one(spark, rows, "t string, i string", Q.normalized_input(F.col("t"), F.col("i"), F.lit("asked"), ["brand", "store_name"]))
+    assert [tuple(g) for g in got] == [
+        ("b", None, None, {"brand": ["x"]}), ("asked", None, None, {"brand": ["x", "y"]}), (None, "s", None, None),
+        (None, None, "q", None), (None, None, None, None), ("asked", None, None, None),
+    ]
