@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lakesight.llm.common import bounded_batches, documents, whole, without
 
 #: Steps, checked token pairs and remembered words a worker keeps; each table is started anew beyond.
-MOST_STEPS, MOST_PAIRS, MOST_WORDS = 400_000, 500_000, 200_000
+MOST_STEPS, MOST_PAIRS, MOST_WORDS = 400_000, 500_000, 300_000
 #: Bytes read before the first look at what is certain.
 LOOKAHEAD = 256
 #: Texts of more characters are cut into words one by one.
@@ -135,8 +135,30 @@ class Transducer:
 
     def encode(self, text: bytes) -> list[int]:
         out: list[int] = []
-        for certain in self.stream(text):
-            out += certain
+        if len(text) >= LOOKAHEAD:
+            for certain in self.stream(text):
+                out += certain
+            return out
+        # A short text needs no look at what is certain before its end.
+        if len(self.steps) >= MOST_STEPS:
+            self._reset()
+        step_of, fit_of, ends, sizes, width = self.steps.get, self.fits.get, self.ends, self.sizes, self.size
+        state, last = 0, [-1]
+        for at, byte in enumerate(text, 1):
+            known = step_of(state << 8 | byte)
+            state = self.step(state, byte) if known is None else known
+            for token, size in ends[state]:
+                before = last[at - size]
+                fit = fit_of(before * width + token)
+                if self.neighbours(before, token) if fit is None else fit:
+                    last.append(token)
+                    break
+        at = len(text)
+        while at:
+            token = last[at]
+            out.append(token)
+            at -= sizes[token]
+        out.reverse()
         return out
 
 
