@@ -44,11 +44,6 @@ STORE_ROW = T.StructType([
     T.StructField("positive_feedback_count", T.LongType()),
     T.StructField("negative_feedback_rate", T.DecimalType(5, 2)),
 ])
-FEEDBACK_ROW = T.StructType([
-    T.StructField("brand", TEXT),
-    T.StructField("feedback_sentiment_category", TEXT),
-    T.StructField("count", T.LongType()),
-])
 MODEL_ROW = T.StructType([
     T.StructField("brand", TEXT),
     T.StructField("fridge_model", TEXT),
