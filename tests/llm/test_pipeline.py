@@ -27,7 +27,7 @@ def test_stages(spark, folder):
         after = result.collect()
         if name != "encode":
             assert result.columns == docs.columns
-        rows = Counter(map(tuple, after))
+        rows = Counter(map(tuple, after)) if name != "encode" else None
         if name == "language":
             network = language.fit(docs)
             texts = [r for r in before if any(c.isalpha() for c in r.text or "")]
