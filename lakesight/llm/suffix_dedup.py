@@ -263,12 +263,43 @@ def repeated_ranges(pieces: list[bytes], weights: np.ndarray, length: int = LENG
         yield int(owner[s]), s - int(base[owner[s]]), e - int(base[owner[s]])
 
 
+def cut_down(pieces: list[bytes], weights: list[int]) -> tuple[list[bytes], np.ndarray, list[tuple[int, int, int]]]:
+    """Distinct cuts of the pieces, their weights, and (piece, offset, cut) for each cut's places.
+
+    A cut is a run of strings whose digest occurs twice in the pieces; other strings are not
+    repeated, and a transform need not see them. Equal cuts are transformed once.
+    """
+    digests = [rolling(np.frombuffer(p, np.uint8), LENGTH, _BASES[1]) for p in pieces]
+    _, at = np.unique(np.concatenate(digests), return_inverse=True)
+    counts = np.bincount(at, weights=np.repeat(weights, [len(d) for d in digests]))
+    again, offset = counts[at] > 1, 0
+    numbers: dict[bytes, int] = {}
+    totals: list[int] = []
+    places = []
+    for i, (piece, own) in enumerate(zip(pieces, digests, strict=True)):
+        keep = again[offset : offset + len(own)]
+        offset += len(own)
+        starts, ends = _runs(keep, keep)
+        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+            number = numbers.setdefault(piece[s : e + LENGTH - 1], len(numbers))
+            if number == len(totals):
+                totals.append(0)
+            totals[number] += weights[i]
+            places.append((i, s, number))
+    return list(numbers), np.array(totals, np.int64), places
+
+
 def transform_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces sorted by anchor → covered (piece, low, high); whole anchors are transformed together."""
     keys, pieces, weights, size, last = [], [], [], 0, None
 
     def flush() -> pa.RecordBatch:
-        found = list(repeated_ranges(pieces, np.array(weights, np.int64)))
+        cuts, totals, places = cut_down(pieces, weights)
+        ranges: dict[int, list[tuple[int, int]]] = {}
+        if cuts:
+            for number, start, end in repeated_ranges(cuts, totals):
+                ranges.setdefault(number, []).append((start, end))
+        found = [(i, at + s, at + e) for i, at, number in places for s, e in ranges.get(number, ())]
         return pa.RecordBatch.from_arrays([
             pa.array([keys[i] for i, _, _ in found], pa.binary()),
             pa.array([s for _, s, _ in found], pa.int64()), pa.array([e for _, _, e in found], pa.int64())], ["piece", "low", "high"])
