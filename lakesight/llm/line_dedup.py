@@ -1,8 +1,8 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap if they share a rare line, or two lines in a row of any frequency. Each
-such line or pair of lines links its documents to the first that has it, so that a passage of
-n documents makes n - 1 links and not n². Linked documents are aligned by patience diff over
+Documents overlap if they share a line, or two lines in a row, however many documents have
+them. Each such line or pair of lines links its documents to the first that has it, so that a
+passage of n documents makes n - 1 links and not n². Linked documents are aligned by patience diff over
 their line hashes, and the aligned common blocks are deleted from the later one.
 """
 
@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lakesight.llm.common import bounded_batches, documents, whole, without
 from lakesight.session import materialize
 
-#: A line of at most so many documents is rare.
-RARE = 50
+#: A caller may set a number here: lines of more documents then link by pairs of lines only. None: every line links.
+RARE: int | None = None
 #: Lines of fewer characters link nothing, and a block of such lines alone is not deleted.
 LEAST_CHARS = 24
 OUTPUT = ["kept_text", "n_lines", "n_removed", "n_partners"]
@@ -111,7 +111,7 @@ def _lines(text: Column) -> Column:
 
 
 def overlaps(lined: DataFrame) -> DataFrame:
-    """(later, earlier) rows that share a rare line or two lines in a row, each with the first that has them."""
+    """(later, earlier) rows that share a line or two lines in a row, each with the first that has them."""
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("_row"))
     n = F.size("lines")
     long_ = F.transform("sizes", lambda s: s >= LEAST_CHARS)
@@ -125,10 +125,12 @@ def overlaps(lined: DataFrame) -> DataFrame:
         F.struct(F.lit(1).alias("run"), F.col("s.one").alias("seed")), F.struct(F.lit(2).alias("run"), F.col("s.two").alias("seed")),
     )).alias("s")).select("_row", "order", "s.run", "s.seed").filter("seed is not null").distinct()
     postings = materialize(postings, "postings")
+    links = F.col("n") > 1
+    if RARE is not None:
+        links &= (F.col("n") <= RARE) | (F.col("run") == 2)
     firsts = materialize(
         postings.groupBy("run", "seed").agg(F.count(F.lit(1)).alias("n"), F.min("order").alias("first"))
-        .filter(F.col("n").between(2, RARE) | ((F.col("run") == 2) & (F.col("n") > 1)))
-        .select(F.col("run").alias("_run"), F.col("seed").alias("_seed"), F.col("first._row").alias("earlier")), "firsts")
+        .filter(links).select(F.col("run").alias("_run"), F.col("seed").alias("_seed"), F.col("first._row").alias("earlier")), "firsts")
     return postings.join(firsts, (F.col("run") == F.col("_run")) & (F.col("seed") == F.col("_seed"))).filter(
         F.col("_row") != F.col("earlier")
     ).select(F.col("_row").alias("later"), "earlier").distinct()

@@ -142,6 +142,14 @@ def test_frequent_lines_link_by_pairs(spark, monkeypatch):
     assert got == {**dict.fromkeys(range(6), 0), 6: 2, 7: 2, 8: 2}
 
 
+def test_a_line_of_very_many_documents_goes_from_all_but_the_first(spark):
+    passage = " ".join(f"word{i}" for i in range(55))
+    frame = spark.createDataFrame([(i, f"own opening line of document {i}\n{passage}\nown closing line of document {i}") for i in range(120)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_partners, r.kept_text) for r in line_dedup.line_dedup(frame).collect()}
+    assert got.pop(0)[:2] == (0, 0)
+    assert got == {i: (1, 1, f"own opening line of document {i}\nown closing line of document {i}") for i in range(1, 120)}
+
+
 # 2
 
 
