@@ -1,12 +1,15 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
-Every shingle hash below a fixed fraction of the hash range is kept. The sketch of a union
-is the union of the sketches, and the share of one sketch found in another estimates
-containment whatever the sizes of the two documents.
+Every shingle hash below a fixed fraction of the hash range is kept, and of a text with few
+such hashes its smallest ones, so that any text with words has a sketch. The sketch of a union
+follows from the sketches, and the share of one sketch found in another, over the range that
+both cover, estimates containment whatever the sizes of the two documents.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lakesight.llm.common import BLANK, documents, whole
@@ -14,41 +17,77 @@ from lakesight.llm.common import BLANK, documents, whole
 SHINGLE = 5
 #: One shingle in so many is kept.
 SCALE = 8
+#: A text keeps so many of its smallest shingle hashes at least, or all if it has fewer.
+LEAST = 16
 #: Rows of one range of doc_id, and the most ranges: their bounds go through the driver.
 RANGE_ROWS, MOST_RANGES = 1_000, 4_096
 
 
+def _bound(scale: int) -> int:
+    return -(1 << 63) + (1 << 64) // scale
+
+
+def _least(hashes: Column) -> Column:
+    """The ``LEAST`` smallest of the hashes, sorted."""
+    return F.slice(F.array_sort(F.array_distinct(hashes)), 1, LEAST)
+
+
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the value, which is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _kept(hashes: Column, scale: int) -> Column:
+    """Of all hashes those below 1/``scale`` of the range, or the ``LEAST`` smallest if there are fewer; sorted."""
+    return _bind(hashes, lambda every: _bind(
+        F.array_sort(F.array_distinct(F.filter(every, lambda h: h < _bound(scale)))),
+        lambda below: F.when(F.size(below) >= LEAST, below).otherwise(_least(every)),
+    ))
+
+
 def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
-    """Sorted distinct shingle hashes below 1/``scale`` of the range, as an array of longs.
+    """Sorted distinct shingle hashes below 1/``scale`` of the range, at least the ``LEAST`` smallest, as an array of longs.
 
     Words are runs of other characters than blanks, lower-cased; a text of fewer words than
-    a shingle is one shingle, a text of none has an empty sketch.
+    a shingle is one shingle. Only a text of no words has an empty sketch.
     """
-    bound = -(1 << 63) + (1 << 64) // scale
     words = F.filter(F.split(F.lower(text), f"[{BLANK}]+"), lambda w: w != "")
-    # The words are bound as a lambda variable, so that they are split once and not for each shingle.
-    hashed = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, F.filter(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(w) - (shingle - 1), F.lit(1))),
-            lambda i: F.xxhash64(F.slice(w, i, shingle)),
-        ),
-        lambda h: h < bound,
-    )).otherwise(F.array().cast("array<bigint>")))
-    return F.array_sort(F.array_distinct(F.element_at(hashed, 1)))
-
-
-def merged(a: Column, b: Column) -> Column:
+    return _bind(words, lambda w: F.when(F.size(w) > 0, _kept(F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(w) - (shingle - 1), F.lit(1))),
+        lambda i: F.xxhash64(F.slice(w, i, shingle)),
+    ), scale)).otherwise(F.array().cast("array<bigint>")))
+
+
+def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
     """The sketch of two documents together."""
-    return F.array_sort(F.array_union(a, b))
+    return _kept(F.array_union(a, b), scale)
+
+
+def _reach(sketched: Column, scale: int) -> Column:
+    """The greatest hash up to which a sketch has every hash of its text."""
+    return F.when(F.size(sketched) < LEAST, F.lit((1 << 63) - 1)).otherwise(
+        F.greatest(F.element_at(sketched, -1), F.lit(_bound(scale) - 1))
+    )
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of ``a``'s shingles that ``b`` has; null for an empty sketch."""
+def _common(a: Column, b: Column, scale: int) -> tuple[Column, Column]:
+    """Both sketches over the range that both cover."""
+    reach = F.least(_reach(a, scale), _reach(b, scale))
+    return F.filter(a, lambda h: h <= reach), F.filter(b, lambda h: h <= reach)
+
+
+def containment(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Estimated share of ``a``'s shingles that ``b`` has; null if ``a`` has none in the range that both cover."""
+    a, b = _common(a, b, scale)
     return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Containment of the smaller sketch in the other; of empty ones, 1 if both are."""
+def likeness(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """Containment of the smaller sketch in the other, over the range that both cover.
+
+    Without a hash of one of them there it is 0; of two texts without words it is 1.
+    """
+    a, b = _common(a, b, scale)
     least = F.least(F.size(a), F.size(b))
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(
         F.when(F.size(a) == F.size(b), 1.0).otherwise(0.0)
@@ -56,8 +95,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def printed(sketched: Column) -> Column:
-    """The hashes in hexadecimal, 16 digits each: those kept are negative and need no padding."""
-    return F.array_join(F.transform(sketched, lambda h: F.lower(F.hex(h))), "")
+    """The hashes in hexadecimal, 16 digits each."""
+    return F.array_join(F.transform(sketched, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
 def _range_of(bounds: list[int]) -> Column:

@@ -226,6 +226,25 @@ def test_sketch_is_a_scaled_sample(spark):
     assert abs(len(row.a) - 4_000 / sketches.SCALE) < 100 and set(row.b) <= set(row.a)
 
 
+def test_short_texts_have_a_sketch_of_their_own(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"x{rng.randrange(10**6)}" for _ in range(n)) for n in (1, 2, 5, 6, 7, 8, 12, 20) for _ in range(12)] + ["so " * 400]
+    frame = spark.createDataFrame([(t, u, f"{t} end", f"{t} {u}") for t, u in zip(texts, texts[1:] + texts[:1])], "t string, u string, near string, both string")
+    sketched = frame.select("t", "u", *[sketches.sketch(F.col(c)).alias(f"s_{c}") for c in frame.columns])
+    got = sketched.select("*", sketches.printed(F.col("s_t")).alias("print"), sketches.likeness(F.col("s_t"), F.col("s_t")).alias("same"),
+                          sketches.likeness(F.col("s_t"), F.col("s_u")).alias("other"), sketches.likeness(F.col("s_t"), F.lit([]).cast("array<bigint>")).alias("none"),
+                          sketches.likeness(F.col("s_t"), F.col("s_near")).alias("near"),
+                          sketches.merged(F.col("s_t"), F.col("s_u")).alias("m")).collect()
+    assert all(r.s_t and len(r.print) == 16 * len(r.s_t) for r in got) and len({r.print for r in got}) == len(texts)
+    assert {r.same for r in got} == {1.0} and {r.other for r in got} == {0.0} and {r.none for r in got} == {0.0}
+    # A text of at least five words has all its shingles in itself with a word more.
+    assert {r.near for r in got if len(r.t.split()) >= 5} == {1.0}
+    bound = -(1 << 63) + (1 << 64) // sketches.SCALE
+    for r in got:
+        union = sorted({*r.s_t, *r.s_u})
+        assert r.m == max([h for h in union if h < bound], union[: sketches.LEAST], key=len)
+
+
 # 4
 
 
