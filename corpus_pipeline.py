@@ -12,20 +12,48 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lakesight.llm import bpe, exact_dedup, language, mixing, simhash
 from lakesight.session import materialize
 
-#: Documents whose language is no clearer than this go.
-LEAST_SCORE = 0.3
+#: Of the held-out documents whose language is told rightly, the share that the bound on the score may lose, and how
+#: many there must be to set it.
+LOST, ENOUGH = 0.005, 200
+#: The bound of a language where there are too few of them: nothing goes.
+LEAST_SCORE = 0.0
+
+
+def least_scores(judged: DataFrame) -> dict[str, float]:
+    """For each predicted language the score below which a document is of no clear language.
+
+    It is a low quantile of the scores of held-out documents of that language that are told
+    rightly. A language with few of them takes that of all languages together, but never more
+    than the least score of its own.
+    """
+    right = judged.filter(language.held_out() & (F.col("lang") == F.col("lang_pred")))
+    rows = right.rollup("lang_pred").agg(
+        F.count(F.lit(1)).alias("n"), F.min("score").alias("least"), F.percentile_approx("score", LOST, 10_000).alias("low")
+    ).collect()
+    every = next((r for r in rows if r["lang_pred"] is None), None)
+    if every is None or every["n"] < ENOUGH:
+        return {}
+    return {
+        r["lang_pred"]: r["low"] if r["n"] >= ENOUGH else min(r["least"], every["low"])
+        for r in rows if r["lang_pred"] is not None
+    }
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave out documents without letters (null and empty ones among them) and those of no clear language.
 
     The network learns from the documents themselves: from texts with a language that are not
-    held out. If there is none, nothing can be told and only texts without letters go.
+    held out. Those held out tell what score is clear. If there is none to learn from, nothing
+    can be told and only texts without letters go.
     """
     network = language.fit(docs)
-    least = LEAST_SCORE if network else 0.0
     letters = docs.filter(F.col("text").rlike(r"\p{L}"))
-    judged = language.predict(letters, network)
+    if network is None:
+        return letters
+    judged = materialize(language.predict(letters, network), "judged")
+    least = F.lit(LEAST_SCORE)
+    for label, score in least_scores(judged).items():
+        least = F.when(F.col("lang_pred") == label, score).otherwise(least)
     return judged.filter(F.col("score") >= least).select(*docs.columns)
 
 

@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force, and its queries by name."""
 
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -8,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from lakesight.llm import bpe, language
-from tests.llm.test_operators import SCHEMA, fixture_rows, plain_fingerprint, reached, tokenizer
+from tests.llm.test_operators import SCHEMA, WORDS, fixture_rows, plain_fingerprint, reached, tokenizer
 
 
 @pytest.fixture(scope="module")
@@ -61,6 +62,17 @@ def test_stages(spark, folder):
         docs = corpus_pipeline.materialize(result, "test")
 
 
+def test_noise_has_no_clear_language(spark):
+    rng = random.Random(6)
+    words = {**WORDS, "fr": "le la les des que pour dans avec être cœur"}
+    langs = sorted(words)
+    rows = [(i, " ".join(rng.choice(words[langs[i % 3]].split()) + rng.choice(["", "er", "on"]) for _ in range(40)), langs[i % 3], "s", 0) for i in range(2_400)]
+    noise = [(10_000 + i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789#$%&()=  ") for _ in range(250)), None, "s", 0) for i in range(60)]
+    left = Counter("noise" if r.lang is None else r.lang for r in corpus_pipeline.known_language(spark, spark.createDataFrame(rows + noise, SCHEMA), "").collect())
+    assert left["noise"] <= 6
+    assert all(left[lang] >= 0.98 * 800 for lang in langs)
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
