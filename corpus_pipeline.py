@@ -63,8 +63,14 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component keep the document of the smallest doc_id; rows without any id in theirs all stay."""
-    return simhash.simhash_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*docs.columns)
+    """Of each SimHash component keep one document: of the smallest doc_id (null last), then text hash, then the one read first."""
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    groups = simhash.simhash_groups(
+        rows.withColumn("_hash", F.xxhash64("text")), keep=["doc_id", "_row", "_hash"], root="_root")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("_hash"), F.col("_row"))
+    # Texts travel once, to the rows that are kept.
+    kept = groups.groupBy("_root").agg(F.min(order).alias("_first")).select(F.col("_first._row").alias("_kept"))
+    return rows.join(kept.hint("merge"), F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

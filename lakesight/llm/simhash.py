@@ -177,9 +177,11 @@ def links(keys: DataFrame) -> DataFrame:
     return dealt.repartition("cell", "pair").sortWithinPartitions("cell", "pair").mapInArrow(link_rows, "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def simhash_groups(docs: DataFrame, keep: list[str] | None = None, root: str | None = None) -> DataFrame:
     """All rows of ``docs``, columns ``keep`` or all, with ``fingerprint`` (16 hexadecimal digits) and ``component_id``.
 
+    A column named ``root``, if asked for, tells components apart, also those without any doc_id.
+
     Fingerprints link at ``DISTANCE`` or fewer differing bits; a component is what links
     reach, and its id the smallest doc_id in it (null only if no row of it has one). A null
     or empty text has fingerprint zero, which links like any other. Repeated rows share a
@@ -199,9 +201,10 @@ def simhash_groups(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     roots = materialize(roots, "roots")
     least = materialize(roots.groupBy(F.col("root").alias("_root")).agg(F.min("first").alias("component_id")), "least")
     ids = materialize(
-        roots.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_key"), "component_id"), "ids")
+        roots.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_key"), "component_id", "root"), "ids")
     return rows.join(ids, F.col("_fp") == F.col("_key")).select(
-        *kept, F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id"
+        *kept, F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id",
+        *([ids["root"].alias(root)] if root else []),
     )
 
 

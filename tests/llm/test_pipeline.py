@@ -73,6 +73,20 @@ def test_noise_has_no_clear_language(spark):
     assert all(left[lang] >= 0.98 * 800 for lang in langs)
 
 
+def test_one_of_each_group_of_near_copies(spark, tmp_path):
+    words = [f"word{i}" for i in range(400)]
+    near = [" ".join([*words, f"end{i}"]) for i in range(4)]
+    keys = [plain_fingerprint(t) for t in near]
+    other = " ".join(f"other{i * i}" for i in range(300))
+    assert len(set(reached(sorted(set(keys)), lambda a, b: (a ^ b).bit_count() <= 4).values())) == 1
+    for n, ids in enumerate(([None] * 4, [7] * 4, [None, 9, 9, 7])):
+        path = str(tmp_path / f"docs{n}")
+        spark.createDataFrame([(i, t, "en", "s", 0) for i, t in zip([*ids, 8], [*near, other])], SCHEMA).write.parquet(path)
+        left = corpus_pipeline.near_copies(spark, spark.read.parquet(path), "").collect()
+        assert sorted(r.text == other for r in left) == [False, True]
+        assert {r.doc_id for r in left if r.text != other} == {min((i for i in ids if i is not None), default=None)}
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
