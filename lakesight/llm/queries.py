@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lakesight.llm import bpe, exact_dedup, language, licenses, line_dedup, mixing, secret_scan, simhash, sketches, suffix_dedup, trie_bpe
+from lakesight.llm import bpe, conversation_repair, exact_dedup, language, licenses, line_dedup, mixing, secret_scan, simhash, sketches, suffix_dedup, trie_bpe
 from lakesight.plans.registry import Registry
 
 training = Registry()
@@ -17,5 +17,6 @@ training.register(name="op7_repeated_strings")(suffix_dedup.op7_repeated_strings
 training.register(name="op8_licenses")(licenses.op8_licenses)
 training.register(oracle=exact_dedup.OP9_SQL, name="op9_exact_dedup")(exact_dedup.op9_exact_dedup)
 training.register(name="op10_mix_sources")(mixing.op10_mix_sources)
+training.register(name="op11_conversation_repair")(conversation_repair.op11_conversation_repair)
 training.register(name="op12_trie_bpe")(trie_bpe.op12_trie_bpe)
 training.register(oracle=corpus_pipeline.ORACLE_SQL, name="pipeline")(corpus_pipeline.run)
