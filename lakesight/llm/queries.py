@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lakesight.llm import bpe, conversation_repair, exact_dedup, language, licenses, line_dedup, mixing, secret_scan, simhash, sketches, suffix_dedup, trie_bpe
+from lakesight.llm import bpe, conversation_repair, exact_dedup, hard_negatives, language, licenses, line_dedup, mixing, secret_scan, simhash, sketches, suffix_dedup, trie_bpe
 from lakesight.plans.registry import Registry
 
 training = Registry()
@@ -19,4 +19,5 @@ training.register(oracle=exact_dedup.OP9_SQL, name="op9_exact_dedup")(exact_dedu
 training.register(name="op10_mix_sources")(mixing.op10_mix_sources)
 training.register(name="op11_conversation_repair")(conversation_repair.op11_conversation_repair)
 training.register(name="op12_trie_bpe")(trie_bpe.op12_trie_bpe)
+training.register(name="op13_hard_negatives")(hard_negatives.op13_hard_negatives)
 training.register(oracle=corpus_pipeline.ORACLE_SQL, name="pipeline")(corpus_pipeline.run)
