@@ -8,6 +8,7 @@ from lakesight.plans.adhoc import adhoc
 from lakesight.plans.agent import agent
 from lakesight.plans.batch import batch
 from lakesight.plans.ops import ops
+from lakesight.plans.refreshing import refreshing
 from lakesight.plans.registry import Registry
 from lakesight.plans.retail import retail
 from lakesight.plans.searching import searching
@@ -18,6 +19,6 @@ from lakesight.plans.textjobs import textjobs
 @cache
 def catalog() -> Registry:
     everything = Registry()
-    for group in (retail, batch, agent, ops, textjobs, searching, adhoc, streams):
+    for group in (retail, batch, agent, ops, textjobs, searching, adhoc, streams, refreshing):
         everything.include(group)
     return everything

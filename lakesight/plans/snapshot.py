@@ -145,18 +145,20 @@ def run_batch(
     source: DataFrame | None = None,
     run: str | None = None,
     copy: bool = True,
+    parts: Parts | None = None,
 ) -> DataFrame:
     """One batch run: copy, roll up, append the snapshot, check it. Returns all snapshots.
 
     ``run`` names the run, by default after its time; a run that is repeated replaces its
     rows. Without ``copy`` the sales are rolled up where they are, for callers that keep
-    them in the store themselves.
+    them in the store themselves; with ``parts``, partials that are kept up to date, they
+    are not rolled up at all.
     """
     clean = cleaning.batch_defaults(cleaning.add_missing_columns(raw))
     sales = snapshot_sales(store, clean, source=source) if copy else require_rows(clean)
     run = run or f"at-{created_at:%Y%m%dT%H%M%S%f}"
     # Groups only; a lost block is computed again.
-    parts = Parts(*[p.persist() for p in section_parts(sales)])
+    parts = Parts(*[p.persist() for p in parts or section_parts(sales)])
     try:
         store.append(FEEDBACK, feedback_rows(parts).withColumn("created_at", F.lit(created_at).cast("timestamp")), run)
         append_snapshot(store, assemble(parts, created_at, scope, n), run)

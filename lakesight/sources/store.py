@@ -101,6 +101,17 @@ class TableStore:
             last = number
         return last
 
+    def last_edit(self, name: str) -> int:
+        """The number of the last edit that is certain to have all earlier ones before it; 0 without edits."""
+        return max(self._last_edit(name), self._current(name)[1] if self.exists(name) else 0)
+
+    def edited_keys(self, name: str, key: str, after: int, upto: int) -> DataFrame:
+        """The keys that the edits behind ``after`` put or deleted, up to ``upto``."""
+        paths = [f"{self.root}/{name}/edits/e{n:08d}" for n in self._edits(name) if after < n <= upto]
+        if not paths:
+            return self.read(name).select(key).limit(0)
+        return self.spark.read.format(self.file_format).load(paths).select(key).distinct()
+
     def version(self, name: str) -> int | None:
         """The current version, or None before the first write."""
         current = self._current(name)
@@ -192,6 +203,15 @@ class TableStore:
         """Add the rows of one run to an append-only table; a repeated run replaces its rows."""
         rows.write.format(self.file_format).mode("overwrite").save(f"{self.root}/{name}/appended/run={run}")
 
+    def runs(self, name: str) -> list[str]:
+        """The names of the finished runs of an append-only table, rising."""
+        folder = f"{self.root}/{name}/appended"
+        names = [n.removeprefix("run=") for n in self._names(folder) if n.startswith("run=")]
+        return sorted(n for n in names if self._committed(f"{folder}/run={n}"))
+
+    def read_run(self, name: str, run: str) -> DataFrame:
+        return self.spark.read.format(self.file_format).load(f"{self.root}/{name}/appended/run={run}")
+
     def read_appended(self, name: str) -> DataFrame:
         """All runs, the name of each in the column ``run``."""
         path = f"{self.root}/{name}/appended"

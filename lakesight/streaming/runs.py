@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lakesight.operators.keyed import last_write_wins
+from lakesight.plans.refresh import refreshed_parts
 from lakesight.plans.snapshot import run_batch
+from lakesight.sources import ranges
 from lakesight.sources.store import TableStore
 
 
@@ -56,7 +58,8 @@ def start_refresh(
 ) -> StreamingQuery:
     """Keep the snapshot fresh: record arriving rows as edits, then run the batch job.
 
-    Only the changed rows are written; ``TableStore.compact`` folds them in on a schedule.
+    Only the changed rows are written, and the rollups take in only what they changed: see
+    ``plans.refresh``. ``ranges.compact_ranged`` folds the edits in on a schedule.
 
     Without ``interval`` what is there is processed once; with it the job repeats.
     Runs never overlap, since a stream handles one micro-batch at a time. A batch
@@ -73,8 +76,10 @@ def start_refresh(
         if store.exists("sales_raw"):
             store.edit("sales_raw", arrived)
         else:
-            store.write("sales_raw", arrived)
-        run_batch(store, store.current("sales_raw", key), clock(), scope, run=f"refresh-{batch_id:08d}", copy=False)
+            ranges.write_ranged(store, "sales_raw", arrived, key)
+        run_batch(
+            store, store.current("sales_raw", key), clock(), scope, run=f"refresh-{batch_id:08d}", copy=False,
+            parts=refreshed_parts(store, "sales_raw", key))
         store.write(log, rows.sparkSession.createDataFrame([(batch_id,)], "batch_id long"))
 
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
