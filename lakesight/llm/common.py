@@ -48,8 +48,9 @@ def ranked(rows: DataFrame, order: list[Column], rank: str) -> DataFrame:
     )
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Send texts to Python in small Arrow batches, so that a batch of long texts fits a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
+def bounded_batches(spark: SparkSession, rows: int = 512, size: int = 32 << 20) -> None:
+    """Send texts to Python in Arrow batches of few rows and few bytes, so that a batch of long texts fits a worker."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = int(spark.conf.get(key).removesuffix("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))

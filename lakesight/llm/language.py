@@ -12,14 +12,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lakesight.llm.common import bounded_batches, documents, whole, without
+from lakesight.session import materialize
 
 HIDDEN = 8
 SEGMENT = 96
-#: Bound of the training sample: texts of each language, segments of each text; and languages, most frequent first.
-SAMPLE_TEXTS, SAMPLE_SEGMENTS, MOST_LANGUAGES = 300, 2, 256
+#: Bound of the training sample: distinct texts of each language, segments of each text; texts of all languages, shared
+#: evenly where there are many of them (each keeps one at least).
+SAMPLE_TEXTS, SAMPLE_SEGMENTS, ALL_TEXTS = 300, 2, 76_800
 STEPS, BATCH, RATE = 400, 64, 0.02
 #: Segments that go through the network together.
 LANES = 4096
@@ -181,28 +183,29 @@ def held_out() -> Column:
 
 
 def sample(docs: DataFrame) -> list[tuple[str, bytes]]:
-    """(lang, bytes) segments for training: of each language about ``SAMPLE_TEXTS`` distinct texts, cut at random places.
+    """(lang, bytes) segments for training: of each language ``SAMPLE_TEXTS`` distinct texts, cut at random places.
 
-    Texts are chosen by their hash, among as many as the language has; the choice, like the
-    places, depends on the text alone.
+    The texts of the smallest hashes are taken, so that copies count once and every language
+    is learned; the choice, like the places, depends on the texts alone.
     """
     text = whole("text")
-    known = docs.filter(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & text.rlike(r"\p{L}"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
+    known = docs.filter(F.col("doc_id").isNotNull() & ~held_out() & F.col("lang").isNotNull() & text.rlike(r"\p{L}")).select(
+        "lang", text.alias("text"), F.xxhash64(text, F.lit(-1)).alias("_h"))
+    hashes = materialize(known.select("lang", "_h").distinct(), "hashes")
+    languages = hashes.select("lang").distinct().count()
+    if not languages:
         return []
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, SAMPLE_TEXTS / r["count"]))) for r in counts], F.lit(-1.0))
+    each = max(1, min(SAMPLE_TEXTS, ALL_TEXTS // languages))
+    least = Window.partitionBy("lang").orderBy("_h")
+    chosen = materialize(hashes.withColumn("_n", F.row_number().over(least)).filter(F.col("_n") <= each).select("lang", "_h"), "chosen")
     spots = [
-        F.encode(F.substring(text, (1 + F.pmod(F.xxhash64(text, F.lit(i)), F.greatest(F.char_length(text) - SEGMENT, F.lit(0)) + 1)).cast("int"),
+        F.encode(F.substring("text", (1 + F.pmod(F.xxhash64("text", F.lit(i)), F.greatest(F.char_length("text") - SEGMENT, F.lit(0)) + 1)).cast("int"),
                              F.lit(SEGMENT)), "UTF-8")
         for i in range(SAMPLE_SEGMENTS)
     ]
-    chosen = (
-        known.withColumn("_h", F.xxhash64(text, F.lit(-1)))
-        .filter(F.pmod(F.col("_h"), F.lit(1 << 30)) / F.lit(float(1 << 30)) < share)
-        .groupBy("lang", "_h").agg(F.first(F.array(*spots)).alias("spots"))
-    )
-    rows = sorted((r["lang"], r["_h"], [bytes(s) for s in r["spots"]]) for r in chosen.collect())
+    # At most ALL_TEXTS rows (or one for each language) meet the texts; the copies of a text fold to one before they travel.
+    cut = known.join(F.broadcast(chosen), ["lang", "_h"], "left_semi").groupBy("lang", "_h").agg(F.min(F.array(*spots)).alias("spots"))
+    rows = sorted((r["lang"], r["_h"], [bytes(s) for s in r["spots"]]) for r in cut.collect())
     return [(lang, s[:SEGMENT].ljust(SEGMENT)) for lang, _, spots in rows for s in spots]
 
 

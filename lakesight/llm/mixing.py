@@ -22,21 +22,48 @@ MOST_COPIES = 2.0
 SLICES = 4096
 #: After the first cut, so many times more documents that still fit fill what is left of the target.
 FILLS = 3
+#: Equal rows are numbered in ranges of 2 to this power rows of one scan partition.
+RANGE_BITS = 16
 #: Inclusion grows with the size to this power: long documents are settled first, short ones fit the rest to the target.
 SIZE_POWER = 0.5
 OUTPUT = ["size", "source_size", "target", "copies", "taken"]
-INNER = ["_u", "_w", "_source", "_whole", "_rest", "_alpha", "_left", "_cuts", "_limits", "_key"]
+INNER = ["_row", "_copy", "_twin", "_u", "_w", "_source", "_whole", "_rest", "_alpha", "_left", "_cuts", "_limits", "_key"]
 
 
 def words(text: str) -> Column:
     return F.regexp_count(whole(text), F.lit(f"[^{BLANK}]+")).cast("long")
 
 
-def _drawn(docs: DataFrame, seed: int) -> DataFrame:
+def numbered_copies(docs: DataFrame) -> DataFrame | None:
+    """(_twin, _copy) of the rows that repeat an earlier row's doc_id and text, numbered from 1; None if no row does.
+
+    ``docs`` has ``_row``. Equal rows are interchangeable, so any numbering draws alike. They
+    are counted in the ranges of the scan they come from, and each range starts where the
+    ones before it end: a text that fills a third of the table is numbered in many tasks.
+    """
+    keyed = docs.select("_row", F.xxhash64("doc_id", whole("text")).alias("_key"), F.shiftright("_row", RANGE_BITS).alias("_range"))
+    repeated = materialize(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key"), "repeated")
+    if repeated.isEmpty():
+        return None
+    twins = materialize(keyed.join(repeated, "_key", "left_semi"), "twins")
+    before = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = twins.groupBy("_key", "_range").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_key", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_key", "_range").orderBy("_row")) - 1
+    numbered = twins.withColumn("_at", inside).join(starts, ["_key", "_range"])
+    return materialize(numbered.select(F.col("_row").alias("_twin"), (F.col("_at") + F.col("_start")).alias("_copy")).filter("_copy > 0"), "copies")
+
+
+def _drawn(docs: DataFrame, seed: int, copies: DataFrame | None) -> DataFrame:
     """Size, random number and inclusion weight (in steps of 1/64 octave) of each document."""
     steps = F.round(F.log2(F.col("size").cast("double")) * SIZE_POWER * 64) / 64
+    own = [F.col("doc_id"), whole("text"), F.lit(seed)]
+    draw = uniform(*own)
+    if copies is not None:
+        docs = docs.join(copies, F.col("_row") == F.col("_twin"), "left")
+        draw = F.when(F.col("_copy").isNull(), draw).otherwise(uniform(*own, F.col("_copy")))
     return docs.withColumn("size", words("text")).withColumns({
-        "_u": uniform(F.col("doc_id"), whole("text"), F.lit(seed)),
+        "_u": draw,
         "_w": F.when(F.col("size") > 0, F.pow(F.lit(2.0), steps)).otherwise(F.lit(0.0)),
     })
 
@@ -134,13 +161,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     """All rows of ``docs`` with ``size`` (words), ``source_size``, ``target``, ``copies`` and ``taken`` (words).
 
     A null text has size 0 and is never sampled; a null source is a source of its own,
-    ordered last. Fully repeated rows have the same hash and are taken together or not at
-    all. Documents of no words get the whole copies only. An empty table gives an empty
+    ordered last. Rows of equal doc_id and text are drawn one by one. Documents of no words get the whole copies only. An empty table gives an empty
     table. Input columns named like an output or as in ``INNER`` are replaced or left out.
     The draw depends on doc_id, text and ``seed`` alone, so reruns agree.
     """
-    docs = without(docs, *OUTPUT, *INNER)
-    narrow = materialize(_drawn(docs.select("doc_id", "source", "text"), seed).select("source", "size", "_u", "_w"), "drawn")
+    columns = without(docs, *OUTPUT, *INNER).columns
+    docs = without(docs, *OUTPUT, *INNER).withColumn("_row", F.monotonically_increasing_id())
+    copies = numbered_copies(docs)
+    narrow = materialize(_drawn(docs.select("_row", "doc_id", "source", "text"), seed, copies).select("source", "size", "_u", "_w"), "drawn")
     profile = materialize(narrow.groupBy("source", "_w").agg(F.sum("size").alias("_words")), "profile")
     sizes = profile.groupBy("source").agg(F.sum("_words").alias("source_size"))
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -175,10 +203,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
                 "_left": F.col("_left") - F.coalesce("_words", F.lit(0)),
             }).drop("_s", "_cut", "_words"), "cuts")
 
-    copies = F.col("_whole") + F.when(_chosen() & (F.col("size") > 0), 1).otherwise(0)
-    return keyed(_drawn(docs, seed)).select(
-        *[F.col(f"`{c}`") for c in docs.columns], "size", "source_size", "target",
-        copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"),
+    taken = F.col("_whole") + F.when(_chosen() & (F.col("size") > 0), 1).otherwise(0)
+    return keyed(_drawn(docs, seed, copies)).select(
+        *[F.col(f"`{c}`") for c in columns], "size", "source_size", "target",
+        taken.cast("int").alias("copies"), (taken * F.col("size")).cast("long").alias("taken"),
     )
 
 

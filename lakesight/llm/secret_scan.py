@@ -23,6 +23,10 @@ ASSIGN_LEAST = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+#: What is left of a run of no encoding, cut more and more.
+PARTS = [r"[A-Za-z0-9+_-]{20,}", r"[A-Za-z0-9+]{20,}"]
+#: Matches that are walked together.
+CHUNK = 64
 
 #: Encodings in the order they are tried: name, characters, alphabet in symbol order.
 ENCODINGS = [
@@ -49,28 +53,68 @@ def _mixed(value: Column) -> Column:
     return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)``, where the value is computed once, as a bound variable."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def found(text: Column, pattern: str, kind: str) -> Column:
     """Leftmost non-overlapping matches as an array of (start, place of the kind, end, kind, value), in code points.
 
     The pieces between the matches and the matches themselves, laid end to end, are the text.
+    They are walked in chunks, each from where the one before it ends: lists grow by an item
+    at a time only inside a chunk, so the work follows the number of matches.
     """
-    between = F.split(text, pattern, -1)
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(values)), values, lambda b, v: F.struct(
-        F.char_length(b).alias("b"), F.char_length(v).alias("n"), v.alias("value")))
     place = KINDS.index(kind)
-    walked = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans")),
-        lambda s, p: F.struct(
-            (s["at"] + p["b"] + p["n"]).alias("at"),
-            F.concat(s["spans"], F.array(F.struct(
-                (s["at"] + p["b"]).alias("start"), F.lit(place).alias("place"),
-                (s["at"] + p["b"] + p["n"]).alias("end"), F.lit(kind).alias("kind"), p["value"].alias("value"),
-            ))).alias("spans"),
-        ),
-    )
-    return F.when(text.rlike(pattern), walked["spans"]).otherwise(F.array().cast(SPANS))
+
+    def span(at: Column, p: Column) -> Column:
+        return F.struct((at + p["b"]).alias("start"), F.lit(place).alias("place"), (at + p["b"] + p["n"]).alias("end"),
+                        F.lit(kind).alias("kind"), p["value"].alias("value"))
+
+    def walk(chunk: Column, start: Column) -> Column:
+        return F.aggregate(
+            chunk, F.struct(start.alias("at"), F.array().cast(SPANS).alias("spans")),
+            lambda s, p: F.struct((s["at"] + p["b"] + p["n"]).alias("at"), F.concat(s["spans"], F.array(span(s["at"], p))).alias("spans")),
+        )["spans"]
+
+    def starts(chunks: Column) -> Column:
+        sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda s, p: s + p["b"] + p["n"]))
+        return F.aggregate(
+            sums, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("list")),
+            lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["list"], F.array(s["at"])).alias("list")))["list"]
+
+    def chunked(pairs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK).cast("int")), lambda c: F.slice(pairs, c * CHUNK + 1, CHUNK))
+
+    def matched(t: Column) -> Column:
+        values = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        # The piece behind the last match pairs with nothing.
+        pairs = F.filter(F.zip_with(F.split(t, pattern, -1), values, lambda b, v: F.struct(
+            F.char_length(b).alias("b"), F.char_length(v).alias("n"), v.alias("value"))), lambda p: p["value"].isNotNull())
+        return _once(pairs, lambda p: _once(chunked(p), lambda chunks: F.flatten(F.zip_with(chunks, starts(chunks), walk))))
+
+    return F.when(text.rlike(pattern), _once(text, matched)).otherwise(F.array().cast(SPANS))
+
+
+def _encoding(value: Column) -> Column:
+    """The first encoding whose characters the value has, with its alphabet; null if none."""
+    return F.coalesce(*[
+        F.when(value.rlike(r), F.struct(F.lit(name).alias("encoding"), F.lit(a).alias("alphabet"))) for name, r, a in ENCODINGS])
+
+
+def candidate_spans(text: Column) -> Column:
+    """The runs that are tested. A run of no encoding, such as a path around a token, is cut at slashes, then at hyphens and underscores."""
+    def cut(spans: Column, patterns: list[str]) -> Column:
+        def parts(s: Column) -> Column:
+            inner = F.transform(found(s["value"], patterns[0], "random"), lambda i: F.struct(
+                (s["start"] + i["start"]).alias("start"), i["place"].alias("place"), (s["start"] + i["end"]).alias("end"), i["kind"].alias("kind"), i["value"].alias("value")))
+            return F.when(_encoding(s["value"]).isNotNull(), F.array(s)).otherwise(cut(inner, patterns[1:]) if patterns[1:] else inner)
+
+        return F.flatten(F.transform(spans, parts))
+
+    runs = found(text, CANDIDATE, "random")
+    whole_run = F.filter(runs, lambda s: _mixed(s["value"]))
+    return F.when(F.exists(whole_run, lambda s: _encoding(s["value"]).isNull()), F.filter(cut(whole_run, PARTS), lambda s: _mixed(s["value"]))).otherwise(whole_run)
 
 
 def _upper_normal(z: Column) -> Column:
@@ -161,11 +205,9 @@ def _step(unit: float) -> Column:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """Distinct candidates with their encoding; each is tested once, wherever it occurs."""
-    spans = docs.select(F.explode(F.regexp_extract_all(whole("text"), F.lit(CANDIDATE), F.lit(0))).alias("value"))
-    mixed = spans.filter(_mixed(F.col("value")))
-    fits = [F.when(F.col("value").rlike(r), F.struct(F.lit(name).alias("encoding"), F.lit(a).alias("alphabet")))
-            for name, r, a in ENCODINGS]
-    return mixed.distinct().withColumn("_e", F.coalesce(*fits)).filter("_e is not null").select(
+    text = whole("text")
+    spans = docs.filter(text.rlike(CANDIDATE)).select(F.explode(candidate_spans(text)["value"]).alias("value"))
+    return spans.distinct().withColumn("_e", _encoding(F.col("value"))).filter("_e is not null").select(
         "value", "_e.encoding", "_e.alphabet"
     )
 
@@ -197,7 +239,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     base = F.concat(assign, found(text, ACCESS, "access"), found(text, HEX, "hex"))
     scanned = docs.withColumns({
         "_key": F.monotonically_increasing_id(),
-        "_candidates": F.filter(found(text, CANDIDATE, "random"), lambda s: _mixed(s["value"])),
+        "_candidates": candidate_spans(text),
     })
     tokens = random_tokens(docs)
     some = scanned.filter(F.size("_candidates") > 0)

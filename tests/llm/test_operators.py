@@ -552,3 +552,51 @@ def test_inclusion_follows_the_weights(spark):
     p = {r["size"]: r["p"] for r in got}
     # A quarter by the power of one half; the fills add some short documents.
     assert 0.2 < p[4] / p[64] < 0.35
+
+
+# what was lost before: languages of copies, equal rows, tokens in paths, texts of many matches
+
+
+def test_a_language_of_copies_is_learned(spark):
+    rows = [(i, "der die das und nicht ein ist auch" if i % 2 else f"the of and {i} that with this {i * 7}", "de" if i % 2 else "en") for i in range(2400)]
+    rows += [(i, f"etiam lorem {i} ipsum dolor", "la") for i in range(2400, 2412)]
+    found = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    labels = Counter(lang for lang, _ in found)
+    assert labels["de"] == language.SAMPLE_SEGMENTS and labels["en"] == 300 * language.SAMPLE_SEGMENTS and labels["la"] > 0
+    assert language.fit(spark.createDataFrame([], "doc_id long, text string, lang string")) is None
+
+
+def test_many_languages_share_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(language, "ALL_TEXTS", 40)
+    rows = [(i, f"text {i} of a language", f"l{i % 20}") for i in range(400)]
+    found = Counter(lang for lang, _ in language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert len(found) == 20 and set(found.values()) == {2 * language.SAMPLE_SEGMENTS}
+
+
+def test_equal_rows_are_drawn_one_by_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_BITS", 5)
+    rows = [(1, "a b c", "s0")] * 400 + [(None, "a b c", "s0")] * 100 + [(2, f"x {i}", "s1") for i in range(300)]
+    takes = []
+    for parts in (1, 5):
+        path = str(tmp_path / f"rows{parts}")
+        spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts).write.parquet(path)
+        mixed = mixing.mix(spark.read.parquet(path).withColumn("_copy", F.lit(1)))
+        sums = {r["source"]: r for r in mixed.groupBy("source").agg(F.sum("taken").alias("n"), F.max("target").alias("target")).collect()}
+        assert all(abs(r["n"] - r["target"]) <= 3 for r in sums.values())
+        takes.append(sorted(map(str, mixed.groupBy("doc_id", "text").agg(F.sum("taken")).collect())))
+    # Equal rows are interchangeable: how many are taken does not depend on the files.
+    assert takes[0] == takes[1]
+
+
+def test_tokens_inside_paths_and_texts_of_many_matches(spark):
+    rng = random.Random(4)
+    token = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
+    words = ["".join(rng.choice("0123456789abcdef") for _ in range(20)) for _ in range(30_000)]
+    texts = [f"see /my-app/user_data/{token} end", f"x {token}", f"é a/b-c_{token}/zz", " ".join(words)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secret_scan.secret_spans(rows).collect()}
+    for i in (0, 1):
+        assert [(s["kind"], s["start"], s["end"]) for s in found[i]] == [("random", texts[i].index(token), texts[i].index(token) + 40)]
+    assert any(token in s["value"] for s in found[2])
+    hexes = [s for s in found[3] if s["kind"] == "hex"]
+    assert [(s["start"], s["value"]) for s in hexes] == [(21 * i, w) for i, w in enumerate(words)]
