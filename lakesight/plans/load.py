@@ -14,11 +14,18 @@ from lakesight.sources.store import TableStore, load_once, require_vectors
 RAW, VECTORS = "sales_raw", "sales_embeddings"
 
 
-def load_raw(store: TableStore, path: str | list[str], force: bool = False, multi_line: bool = True) -> tuple[DataFrame, bool]:
-    """Sales files into the raw table, the last row of each id; skipped when it holds rows."""
+def load_raw(
+    store: TableStore, path: str | list[str], force: bool = False, multi_line: bool = True, strict: bool = False,
+) -> tuple[DataFrame, bool]:
+    """Sales files into the raw table, the last row of each id; skipped when it holds rows.
+
+    A ``strict`` load fails, and leaves the table as it was, if any value is of the wrong type.
+    """
 
     def rows() -> DataFrame:
-        return csv_files.last_in_file(csv_files.clean_raw(csv_files.read_raw_csv(store.spark, path, multi_line)))
+        raw = csv_files.read_raw_csv(store.spark, path, multi_line)
+        typed = csv_files.clean_raw(raw)
+        return csv_files.last_in_file(csv_files.require_good(raw, typed) if strict else typed)
 
     return load_once(store, RAW, rows, force)
 

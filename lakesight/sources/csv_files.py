@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lakesight.functions.cleaning import na_to_null, safe_int
 from lakesight.schema import SALES_COLUMNS, SALES_RAW, missing_columns
-from lakesight.session import spark_path
+from lakesight.session import materialize, spark_path
+from lakesight.sources import quoted_csv
 
 # Column names every raw sales file must have.
 REQUIRED_COLUMNS = [name.upper() for name in SALES_COLUMNS]
@@ -15,29 +16,30 @@ FILE_ORDER = "_file_order"
 
 
 def read_raw_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
-    """All fields as text, plus the row's place in the load.
+    """All fields as text, plus the row's place in the load. Files follow each other by name.
 
-    ``multi_line`` accepts line breaks inside quotes, at the price of one task
-    per file; switch it off for large files known to have none. Files follow each
-    other by name.
+    ``multi_line`` accepts line breaks inside quotes: see ``quoted_csv``, which cuts the
+    records in as many tasks as there are blocks and writes them once, so that what is asked
+    of single columns later does not parse the files again.
     """
     paths = [spark_path(p) for p in ([path] if isinstance(path, str) else path)]
-    rows = (
-        spark.read.option("header", True)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(paths)
-    )
-    missing = missing_columns(rows, REQUIRED_COLUMNS)
+    options = {"quote": '"', "escape": '"'}
+    plain = spark.read.options(header=True, multiLine=multi_line, **options).csv(paths)
+    missing = missing_columns(plain, REQUIRED_COLUMNS)
     if missing:
         raise ValueError(f"Missing required column: {missing[0]}")
-    place = F.struct(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    return rows.select(*[F.col(c).alias(c.lower()) for c in REQUIRED_COLUMNS], place.alias(FILE_ORDER))
+    columns = [F.col(c).alias(c.lower()) for c in REQUIRED_COLUMNS]
+    if not multi_line:
+        place = F.struct(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("row"),
+        )
+        return plain.select(*columns, place.alias(FILE_ORDER))
+    fields = F.from_csv("record", ", ".join(f"`{c}` STRING" for c in plain.columns), {**options, "multiLine": "true"})
+    place = F.struct(F.col("_file").alias("file"), F.col("_block").alias("block"), F.col("_row").alias("row"))
+    parsed = quoted_csv.records(spark, paths).select(fields.alias("_r"), place.alias(FILE_ORDER)).select("_r.*", FILE_ORDER)
+    return materialize(parsed.select(*columns, FILE_ORDER), "raw")
 
 
 def numbers_only(rows: DataFrame, column: str) -> bool:
@@ -69,6 +71,29 @@ def clean_raw(rows: DataFrame, numeric_ratings: bool | None = None) -> DataFrame
     return cleaned.select(*typed, *[c for c in (FILE_ORDER,) if c in rows.columns])
 
 
+def bad_values(raw: DataFrame, typed: DataFrame, key: str = "id") -> DataFrame:
+    """(id, column, value) of the values that did not survive typing, though they are no missing-value token.
+
+    ``typed`` is :func:`clean_raw` of ``raw``; rows meet by their place in the files.
+    """
+    own = [f.name for f in SALES_RAW.fields if f.dataType.typeName() != "string"]
+    kept = typed.select(F.col(FILE_ORDER).alias("_place"), *[F.col(c).isNull().alias(f"_{c}") for c in own])
+    lost = [
+        F.when(na_to_null(F.col(c)).isNotNull() & F.col(f"_{c}"), F.struct(F.lit(c).alias("column"), F.col(c).alias("value"))) for c in own]
+    met = raw.select(key, FILE_ORDER, *own).join(kept, F.col(FILE_ORDER) == F.col("_place"))
+    return met.select(key, F.inline(F.filter(F.array(*lost), lambda x: x.isNotNull())))
+
+
+def require_good(raw: DataFrame, typed: DataFrame, key: str = "id") -> DataFrame:
+    """Refuse a load with any value of the wrong type; the typed rows otherwise."""
+    bad = bad_values(raw, typed, key)
+    found = bad.orderBy(key, "column").limit(5).collect()
+    if found:
+        shown = ", ".join(f"{r['column']} of {r[key]!r} is {r['value']!r}" for r in found)
+        raise ValueError(f"the load has {bad.count()} bad values: {shown}")
+    return typed
+
+
 def last_in_file(rows: DataFrame, key: str = "id") -> DataFrame:
     """The last row of each key, as one insert after the other would leave it."""
     newest = Window.partitionBy(key).orderBy(F.col(FILE_ORDER).desc())
