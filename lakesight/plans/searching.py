@@ -152,14 +152,20 @@ def refreshed_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return places(keyed.refresh_vectors(embed(before), edits, embed, "doc_id"), "doc_id")
 
 
-@searching.register("""SELECT vec_id, true AS same, len(embedding) AS dimension,
-len(string_split(CAST(embedding AS VARCHAR), ',')) AS places FROM embeddings""")
+@searching.register("""
+WITH c AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)
+SELECT vec_id, count(*) AS dimension, CAST(sum(i * CAST(round(CAST(x AS DOUBLE) * 1e8) AS BIGINT)) AS BIGINT) AS checksum,
+  CAST(count(*) FILTER (WHERE x < 0) AS BIGINT) AS signs FROM c GROUP BY 1""")
 def vector_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Vectors written as text and read back unchanged."""
-    rows = S.table(spark, folder, "embeddings")
-    back = V.from_text(V.to_text(F.col("embedding")))
-    return rows.select("vec_id", (back == F.col("embedding")).alias("same"), F.size(back).cast("long").alias("dimension"),
-                       F.size(F.split(V.to_text(F.col("embedding")), ",")).cast("long").alias("places"))
+    """Vectors written as text and read back: their length, a sum over places and values, and the signs in the text."""
+    rows = S.table(spark, folder, "embeddings").select("vec_id", V.to_text(F.col("embedding")).alias("text"))
+    back = V.from_text(F.col("text"))
+    value = lambda x: F.round(x.cast("double") * 1e8).cast("long")
+    weighed = F.zip_with(F.sequence(F.lit(1), F.size(back)), back, lambda i, x: i.cast("long") * value(x))
+    return rows.select(
+        "vec_id", F.size(back).cast("long").alias("dimension"),
+        F.aggregate(weighed, F.lit(0).cast("long"), lambda s, x: s + x).alias("checksum"),
+        F.regexp_count("text", F.lit(r"[\[, ]-")).cast("long").alias("signs"))
 
 
 @searching.register(f"{FOUND_SQL} ORDER BY {DISTANCE}, doc_id LIMIT 50")

@@ -210,3 +210,32 @@ def test_inputs_under_the_names_of_their_tools(spark):
         ("b", None, None, {"brand": ["x"]}), ("asked", None, None, {"brand": ["x", "y"]}), (None, "s", None, None),
         (None, None, "q", None), (None, None, None, None), ("asked", None, None, None),
     ]
+
+
+def test_every_shape_of_a_name_decides_for_some_name(spark):
+    naming = resources.Naming(prefix="shop", env="prod", eks="k8", state="keep")
+    one_of_a_kind = {
+        "security_group": ["shop-x", "k8s-shopkube-shopapisv-x", "k8s-traffic-shopk8produseast1-x"],
+        "alb": ["shop-a-prod", "x-shop-prod-y", "k8s-shopkube-shopapisv-x", "k8s-traffic-shopk8produseast1-x"],
+        "ecr": ["shop-a-prod", "x-shop-prod"],
+        "ecs_cluster": ["shop-a-prod"], "eks_cluster": ["shop-a-prod"],
+        "target_group": ["shop-a-prod", "x-shop-prod-y", "k8s-shopkube-shopapisv-x", "k8s-traffic-shopk8produseast1-x"],
+        "eventbridge_rule": ["shop-prod"], "rds_cluster": ["shop-prod"], "vpc": ["shop-prod"],
+        "iam_role": ["shop-prod", "shop-eks-x", "shop-k8-prod", "eksctl-shop-k8-prod", "eks-ebs-csi-driver-role"],
+        "ebs_volume": ["x-shop-prod", "x-shop-k8-prod-us-east-1"],
+        "s3": ["shop-prod-x", "x-shop-prod-y", "shop-tf-x", "shop-keep", "shopx-prod-delta-internal-y", "shopx-prod-artifacts-internal-y",
+               "shopx-prod-frontend-y", "shopx-prod-terraform-state", "shopx-prod-tf-state"],
+        "cloudfront_dist": ["x-shop-prod-frontend"], "cloudfront_oac": ["x-shop-prod-frontend"],
+        "log_group": ["x/shop/prod", "/shop/cloud-log-group-spark", "/shop/ecs-api", "/aws/eks/shop-k8-prod-us-east-1",
+                      "/aws/rds/cluster/shop-prod-aurora-cluster/postgresql", "/aws/ecs/containerinsights/shop-prod-cluster/performance"],
+        "secret": ["shop/prod/x"],
+    }
+    shapes = resources.shapes_by_type()
+    assert set(one_of_a_kind) == set(shapes)
+    for kind, names in one_of_a_kind.items():
+        frame = spark.createDataFrame([(n,) for n in [*names, "other"]], "n string")
+        tests = [resources.fits(naming, [rule], F.col("n"), F.lit("us-east-1")).alias(f"t{i}") for i, rule in enumerate(shapes[kind])]
+        rows = {r["n"]: list(r)[1:] for r in frame.select("n", *tests).collect()}
+        assert not any(rows.pop("other"))
+        # Each name is told by one shape alone, and each shape by one of the names.
+        assert sorted(hits.index(True) for hits in rows.values() if sum(hits) == 1) == list(range(len(tests))), kind
