@@ -9,19 +9,27 @@ and approximate; its recall can be measured.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from lakesight.functions.vectors import l2_distance
-from lakesight.operators.search import DECIMALS, nearest
+from lakesight.operators.search import CORPUS_CHUNK, DECIMALS, best_of, meet_chunks, nearest, pair_schema
+from lakesight.session import materialize
 from lakesight.sources.store import TableStore
 
 LISTS = 100
+#: Centres that many questions are compared with; they are held by every task.
+MOST_CENTERS = 1024
+#: Share of a distance that rounding may take, where distances come from matrix products.
+CELL_SLACK = 1e-6
 #: Distances are rounded, and radii are sums of rounded terms.
 SLACK = 10.0 ** (1 - DECIMALS)
 
@@ -74,6 +82,97 @@ def build_cells(
     return CellIndex(table, cells, centers[cells], np.array([radii[c] for c in cells]))
 
 
+class CellJoin(NamedTuple):
+    """Many questions against cells: the result, and (cells, pairs, possible): what was compared of all pairs."""
+
+    rows: DataFrame
+    compared: DataFrame
+
+
+def _centers(rows: DataFrame, key: str, vector: str, n: int) -> np.ndarray:
+    """Rows of the smallest key hashes, at most ``MOST_CENTERS``: a choice that does not depend on the order of rows."""
+    lists = max(1, min(MOST_CENTERS, math.isqrt(n)))
+    chosen = rows.orderBy(F.xxhash64(key), key).limit(lists).select(vector).collect()
+    return np.array([r[0] for r in chosen], dtype=np.float64)
+
+
+def nearest_in_cells(
+    corpus: DataFrame, questions: DataFrame, k: int, key: str = "id", question: str = "question_id", vector: str = "embedding",
+    chunk: int = CORPUS_CHUNK,
+) -> CellJoin:
+    """The ``k`` closest rows for every question, exactly: ``question, key, distance, rank``.
+
+    Every row belongs to the cell of its nearest centre; a cell knows its radius. In a first
+    round each question meets its nearest cells, as many as hold k rows. The distance of its
+    k-th row there bounds what can still be found: by the triangle inequality, a cell whose
+    centre is farther than that and its radius holds nothing closer. In a second round each
+    question meets the cells that are left. Crowded cells are dealt into several chunks.
+    """
+    rows = materialize(corpus.select(key, vector).where(F.col(vector).isNotNull()), "vectors")
+    asked = materialize(questions.select(question, vector).where(F.col(vector).isNotNull()), "questions")
+    n, schema = rows.count(), pair_schema(corpus, questions, key, question)
+    centers = _centers(rows, key, vector, n)
+
+    def distances(vectors: np.ndarray) -> np.ndarray:
+        """To all centres; rounding is covered by the slack."""
+        square = np.einsum("ij,ij->i", vectors, vectors)[:, None] + np.einsum("ij,ij->i", centers, centers) - 2.0 * vectors @ centers.T
+        return np.sqrt(np.maximum(square, 0.0))
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            vectors = np.stack(batch[vector].to_numpy()).astype(np.float64)
+            cell = distances(vectors).argmin(axis=1)
+            yield batch.assign(_cell=cell.astype(np.int32), _far=np.linalg.norm(vectors - centers[cell], axis=1))
+
+    placed = materialize(rows.mapInPandas(assign, rows.withColumns({"_cell": F.lit(0), "_far": F.lit(0.0)}).schema), "cells") if n else rows.withColumns({"_cell": F.lit(0), "_far": F.lit(0.0)})
+    # One row per cell, of which there are MOST_CENTERS at most.
+    known = {r["_cell"]: r for r in placed.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_far").alias("radius")).collect()}
+    sizes = np.array([known[c]["n"] if c in known else 0 for c in range(len(centers))])
+    radii = np.array([known[c]["radius"] if c in known else -np.inf for c in range(len(centers))])
+
+    def cells(second: bool):
+        """The cells that a question meets in a round, those of the first one never again."""
+        def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                found = []
+                far = distances(np.stack(batch[vector].to_numpy()).astype(np.float64)) if len(batch) else []
+                for own, reach in zip(far, batch["_reach"], strict=True):
+                    order = np.argsort(own, kind="stable")
+                    order = order[sizes[order] > 0]
+                    first = order[: int(np.searchsorted(np.cumsum(sizes[order]), k)) + 1]
+                    rest = np.setdiff1d(order, first, assume_unique=True)
+                    near = own[rest] - radii[rest] - CELL_SLACK * (1.0 + own[rest] + radii[rest]) <= reach
+                    found.append((rest[near] if second else first).astype(np.int32).tolist())
+                yield batch.assign(_cells=found)
+
+        return choose
+
+    pieces = {c: math.ceil(size / chunk) for c, size in enumerate(sizes.tolist()) if size > chunk}
+    most = max(pieces.values(), default=1)
+    several = F.coalesce(*[F.when(F.col("_cell") == c, p) for c, p in pieces.items()], F.lit(1))
+    number = lambda part: (F.col("_cell") * most + part).cast("int").alias("_chunk")
+    held = placed.select(number(F.pmod(F.xxhash64(key), several)), F.col(key).alias("_row"), F.col(vector).alias("_vector"))
+
+    def round_of(questions_: DataFrame, second: bool) -> tuple[DataFrame, DataFrame]:
+        listed = materialize(questions_.mapInPandas(cells(second), questions_.withColumn("_cells", F.array().cast("array<int>")).schema), "asked")
+        met = listed.select(question, vector, F.explode("_cells").alias("_cell"))
+        copied = met.select(question, vector, "_cell", F.explode(F.sequence(F.lit(0), several - 1)).alias("_part")).select(
+            number(F.col("_part")), F.col(question).alias("_question"), F.col(vector).alias("_asked"))
+        return meet_chunks(held, copied, k, question, key, schema), met.select("_cell")
+
+    if not n:
+        nothing = asked.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
+        return CellJoin(nothing, asked.agg(F.lit(0).alias("cells"), F.lit(0).alias("pairs"), F.lit(0).alias("possible")))
+    first, met_first = round_of(asked.withColumn("_reach", F.lit(float("inf"))), False)
+    first = materialize(best_of(first, k, question, key).drop("rank"), "first")
+    reach = first.groupBy(F.col(question).alias("_q")).agg(F.when(F.count(F.lit(1)) == k, F.max("distance")).otherwise(float("inf")).alias("_reach"))
+    second, met_second = round_of(asked.join(reach, F.col(question).eqNullSafe(F.col("_q"))).drop("_q"), True)
+    counts = F.create_map(*[F.lit(x) for c, size in enumerate(sizes.tolist()) for x in (c, size)])
+    compared = met_first.unionByName(met_second).agg(
+        F.count(F.lit(1)).alias("cells"), F.coalesce(F.sum(counts[F.col("_cell")]), F.lit(0)).alias("pairs")).withColumn("possible", F.lit(n * asked.count()))
+    return CellJoin(best_of(first.unionByName(second), k, question, key), compared)
+
+
 def recall(approximate: DataFrame, exact: DataFrame, key: str = "id") -> DataFrame:
     """Share of the exact result that the approximate one found."""
     hits = exact.select(key).join(approximate.select(key).withColumn("hit", F.lit(1)), key, "left")

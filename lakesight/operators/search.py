@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from lakesight.functions.vectors import l2_distance, vector_literal
+from lakesight.session import materialize
 
 TOP_K = 50
 FALLBACK_K = 30
@@ -156,39 +157,13 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
-def nearest_batch(
-    corpus: DataFrame,
-    questions: DataFrame,
-    k: int = TOP_K,
-    key: str = "id",
-    question: str = "question_id",
-    vector: str = "embedding",
-    chunk: int = CORPUS_CHUNK,
-) -> DataFrame:
-    """The ``k`` closest rows for every question: ``question, key, distance, rank``.
+def meet_chunks(held: DataFrame, copied: DataFrame, k: int, question: str, key: str, schema: str) -> DataFrame:
+    """The k closest rows of a chunk for each question that comes to it.
 
-    The corpus is dealt once, by hash of its keys, into chunks that a task can hold; the
-    questions are copied to every chunk and stream past it block by block, each leaving
-    its k best rows of the chunk. Neither side is gathered anywhere, and no pairs are
-    shuffled.
+    ``held`` has _chunk, _row and _vector, ``copied`` _chunk, _question and _asked. The rows of
+    a chunk come first and stay in memory, the questions stream past them. Vectors travel as
+    they are, and become doubles in the task.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in (questions.schema[question], corpus.schema[key])}
-    schema = f"{question} {kinds[question]}, {key} {kinds[key]}, distance double"
-    rows = corpus.select(key, vector).where(F.col(vector).isNotNull())
-    asked = questions.select(question, vector).where(F.col(vector).isNotNull())
-    n_chunks = max(corpus.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / (chunk / 2)))
-
-    held = rows.select(
-        F.pmod(F.xxhash64(key), F.lit(n_chunks)).cast("int").alias("_chunk"), F.lit(False).alias("_asks"),
-        F.col(key).alias("_row"), F.lit(None).cast(kinds[question]).alias("_question"),
-        F.col(vector).cast("array<double>").alias("_vector"),
-    )
-    copied = asked.select(
-        F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("_chunk"), F.lit(True).alias("_asks"),
-        F.lit(None).cast(kinds[key]).alias("_row"), F.col(question).alias("_question"),
-        F.col(vector).cast("array<double>").alias("_vector"),
-    )
-
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number, parts, keys, vectors = None, [], None, None
         for batch in batches:
@@ -203,17 +178,50 @@ def nearest_batch(
                         chunk_rows = pd.concat(parts)
                         keys, vectors = chunk_rows["_row"].to_numpy(dtype=object), _matrix(chunk_rows["_vector"])
                     some = group[asks]
-                    best = _Best(some["_question"].tolist(), _matrix(some["_vector"]), k)
+                    best = _Best(some["_question"].tolist(), _matrix(some["_asked"]), k)
                     best.add(keys, vectors)
                     yield best.frame(question, key)
 
-    dealt = held.unionByName(copied).repartition("_chunk").sortWithinPartitions("_chunk", "_asks")
-    partial = dealt.mapInPandas(meet, schema)
+    both = held.withColumn("_asks", F.lit(False)).unionByName(copied.withColumn("_asks", F.lit(True)), allowMissingColumns=True)
+    return both.repartition("_chunk").sortWithinPartitions("_chunk", "_asks").mapInPandas(meet, schema)
 
+
+def best_of(partial: DataFrame, k: int, question: str, key: str) -> DataFrame:
     closest = Window.partitionBy(question).orderBy("distance", key)
     return partial.withColumn("rank", F.row_number().over(closest)).where(F.col("rank") <= k)
 
 
+def pair_schema(corpus: DataFrame, questions: DataFrame, key: str, question: str) -> str:
+    kinds = {f.name: f.dataType.simpleString() for f in (questions.schema[question], corpus.schema[key])}
+    return f"{question} {kinds[question]}, {key} {kinds[key]}, distance double"
+
+
+def nearest_batch(
+    corpus: DataFrame,
+    questions: DataFrame,
+    k: int = TOP_K,
+    key: str = "id",
+    question: str = "question_id",
+    vector: str = "embedding",
+    chunk: int = CORPUS_CHUNK,
+) -> DataFrame:
+    """The ``k`` closest rows for every question: ``question, key, distance, rank``.
+
+    The corpus is written once and dealt, by hash of its keys, into chunks that a task can
+    hold; the questions are copied to every chunk and stream past it block by block, each
+    leaving its k best rows of the chunk. Neither side is gathered anywhere, and no pairs are
+    shuffled. ``ann.nearest_in_cells`` lets questions meet only the cells that can matter.
+    """
+    rows = materialize(corpus.select(key, vector).where(F.col(vector).isNotNull()), "vectors")
+    asked = questions.select(question, vector).where(F.col(vector).isNotNull())
+    n_chunks = max(corpus.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / (chunk / 2)))
+    held = rows.select(F.pmod(F.xxhash64(key), F.lit(n_chunks)).cast("int").alias("_chunk"), F.col(key).alias("_row"), F.col(vector).alias("_vector"))
+    copied = asked.select(
+        F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("_chunk"), F.col(question).alias("_question"), F.col(vector).alias("_asked"))
+    schema = pair_schema(corpus, questions, key, question)
+    return best_of(meet_chunks(held, copied, k, question, key, schema), k, question, key)
+
+
 # ---- what is made of a result ---------------------------------------------------------------
 
 def brand_histogram(

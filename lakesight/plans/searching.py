@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lakesight.functions import vectors as V
 from lakesight.operators import ann, embed as B, keyed, search as N
 from lakesight.plans.registry import Registry
-from lakesight.session import materialize, scratch_folder
+from lakesight.session import application_folder, scratch_folder
 from lakesight.sources import tables as S
-from lakesight.sources.store import TableStore
+from lakesight.sources.store import TableStore, load_once
 
 searching = Registry()
 
@@ -22,8 +22,18 @@ def example(spark: SparkSession, folder: str) -> list[float]:
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts paired with their vectors, as the load lane stores them: a search reads one table and joins nothing."""
-    return materialize(S.feedback(spark, folder).select(*FOUND, "embedding"), "corpus")
+    """Texts paired with their vectors, as the load lane stores them: a search reads one table and joins nothing.
+
+    The first search of an application loads the table, the others find it; files that have
+    changed since make a table of their own.
+    """
+    sources = [S.table(spark, folder, name).select(
+        "_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size") for name in ("documents", "embeddings")]
+    # One row per file; what comes to the driver is one number.
+    files = sources[0].unionByName(sources[1]).distinct()
+    mark = files.agg(F.coalesce(F.bit_xor(F.xxhash64("file_path", "file_modification_time", "file_size")), F.lit(0))).first()[0]
+    store = TableStore(spark, application_folder(spark, f"search-{mark & (1 << 64) - 1:016x}"))
+    return load_once(store, "corpus", lambda: S.feedback(spark, folder).select(*FOUND, "embedding"))[0]
 
 
 def search(spark: SparkSession, folder: str, k: int) -> DataFrame:
@@ -135,7 +145,7 @@ def benchmark_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     embed = B.hashing_embedder()
     corpus = B.embed_column(S.table(spark, folder, "documents").select("doc_id", "text"), "text", embed)
     questions = B.embed_column(S.table(spark, folder, "benchmark"), "text", embed)
-    return N.nearest_batch(corpus, questions, 5, key="doc_id", question="item_id").drop("distance")
+    return ann.nearest_in_cells(corpus, questions, 5, key="doc_id", question="item_id").rows.drop("distance")
 
 
 @searching.register(f"""

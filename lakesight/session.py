@@ -103,15 +103,20 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared location, under one of this application that goes when it ends."""
+def application_folder(spark: SparkSession, name: str) -> str:
+    """A folder of this name in the shared location, under one of this application that goes when it ends."""
     own = f"{shared_dir(spark).rstrip('/')}/lakesight/{spark.sparkContext.applicationId}"
     path = spark._jvm.org.apache.hadoop.fs.Path(own)
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(path):
         files.mkdirs(path)
         files.deleteOnExit(path)
-    return f"{own}/{name}-{uuid.uuid4().hex}"
+    return f"{own}/{name}"
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder of this application."""
+    return application_folder(spark, f"{name}-{uuid.uuid4().hex}")
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
