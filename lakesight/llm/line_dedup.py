@@ -1,9 +1,11 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap if they share a line, or two lines in a row, however many documents have
-them. Each such line or pair of lines links its documents to the first that has it, so that a
-passage of n documents makes n - 1 links and not n². Linked documents are aligned by patience diff over
-their line hashes, and the aligned common blocks are deleted from the later one.
+Documents overlap if they share a seed: a line, a run of short lines, or two lines in a row.
+Each seed links its documents to the first that has it, so that a passage of n documents
+makes n - 1 links and not n². Rare seeds link first. Linked documents are aligned by patience
+diff over their line hashes, and the aligned common blocks are deleted from the later one. A
+seed of more documents links only those where such alignments have left it standing, so that
+no shared line is passed over however many documents have it.
 """
 
 from __future__ import annotations
@@ -18,9 +20,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lakesight.llm.common import bounded_batches, documents, whole, without
 from lakesight.session import materialize
 
-#: A caller may set a number here: lines of more documents then link by pairs of lines only. None: every line links.
-RARE: int | None = None
-#: Lines of fewer characters link nothing, and a block of such lines alone is not deleted.
+#: Seeds of at most so many documents link first, the others where something is left of them.
+RARE = 50
+#: Characters that a seed has at least, as has a block that is deleted: a line, or several short ones together.
 LEAST_CHARS = 24
 OUTPUT = ["kept_text", "n_lines", "n_removed", "n_partners"]
 INNER = ["_row", "_key", "_removed", "_lines"]
@@ -85,11 +87,11 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def removed_lines(earlier: list, later: list, sizes: list[int]) -> list[int]:
-    """Indices of the later document's lines in aligned common blocks that have a line of ``LEAST_CHARS``."""
+    """Indices of the later document's lines in aligned common blocks of ``LEAST_CHARS`` or more together."""
     out, block, last = [], [], None
     for pair in [*patience(earlier, later), None]:
         if block and (pair is None or (pair[0] - 1, pair[1] - 1) != last):
-            if any(sizes[j] >= LEAST_CHARS for j in block):
+            if sum(sizes[j] for j in block) >= LEAST_CHARS:
                 out += block
             block = []
         if pair:
@@ -110,30 +112,92 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def overlaps(lined: DataFrame) -> DataFrame:
-    """(later, earlier) rows that share a line or two lines in a row, each with the first that has them."""
+def _seeds() -> Column:
+    """(run, seed, at): hashes that documents may share, and the line where each begins.
+
+    Run 1 is a line of ``LEAST_CHARS``, run 2 two lines in a row of which one is as long, run 3
+    so many short lines in a row, empty ones left out, as are as long together.
+    """
+    kept = F.filter(F.arrays_zip(F.col("lines").alias("line"), F.col("sizes").alias("size"), F.sequence(F.lit(0), F.size("lines") - 1).alias("at")), lambda x: x["size"] > 0)
+
+    def of(lines: Column) -> Column:
+        n = F.size(lines)
+
+        def short_run(i: Column) -> Column:
+            # No more lines than characters are needed.
+            near = F.slice(lines, i, LEAST_CHARS)
+            length = F.aggregate(near["size"], F.struct(F.lit(0).alias("sum"), F.lit(0).alias("k")), lambda s, x: F.when(
+                s["sum"] >= LEAST_CHARS, s).otherwise(F.struct((s["sum"] + x).alias("sum"), (s["k"] + 1).alias("k"))))
+            return F.element_at(F.transform(F.array(length), lambda m: F.when(
+                m["sum"] >= LEAST_CHARS, F.xxhash64(F.slice(near["line"], F.lit(1), m["k"])))), 1)
+
+        def at(i: Column) -> Column:
+            one, two = F.get(lines, i - 1), F.get(lines, i)
+            long_, next_long = one["size"] >= LEAST_CHARS, F.coalesce(two["size"] >= LEAST_CHARS, F.lit(False))
+            entry = lambda run, seed: F.struct(F.lit(run).alias("run"), seed.alias("seed"), one["at"].alias("at"))
+            return F.array(
+                entry(1, F.when(long_, one["line"])),
+                entry(2, F.when((i < n) & (long_ | next_long), F.xxhash64(one["line"], two["line"]))),
+                entry(3, F.when(~long_, short_run(i))),
+            )
+
+        numbers = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.flatten(F.transform(numbers, at)), lambda e: e["seed"].isNotNull())
+
+    return F.element_at(F.transform(F.array(kept), of), 1)
+
+
+def postings(lined: DataFrame) -> DataFrame:
+    """(_row, order, run, seed, at): the seeds of each document, with the lines where they begin."""
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("_row"))
-    n = F.size("lines")
-    long_ = F.transform("sizes", lambda s: s >= LEAST_CHARS)
-    # A seed is a line's hash, or that of the line and the next; either must have a long line.
-    seeds = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(
-        F.when(F.get(long_, i - 1), F.get("lines", i - 1)).alias("one"),
-        F.when((i < n) & (F.get(long_, i - 1) | F.get(long_, i)), F.xxhash64(F.get("lines", i - 1), F.get("lines", i))).alias("two"),
-    ))
-    rows = lined.select("_row", order.alias("order"), F.explode(seeds).alias("s"))
-    postings = rows.select("_row", "order", F.explode(F.array(
-        F.struct(F.lit(1).alias("run"), F.col("s.one").alias("seed")), F.struct(F.lit(2).alias("run"), F.col("s.two").alias("seed")),
-    )).alias("s")).select("_row", "order", "s.run", "s.seed").filter("seed is not null").distinct()
-    postings = materialize(postings, "postings")
-    links = F.col("n") > 1
-    if RARE is not None:
-        links &= (F.col("n") <= RARE) | (F.col("run") == 2)
-    firsts = materialize(
-        postings.groupBy("run", "seed").agg(F.count(F.lit(1)).alias("n"), F.min("order").alias("first"))
-        .filter(links).select(F.col("run").alias("_run"), F.col("seed").alias("_seed"), F.col("first._row").alias("earlier")), "firsts")
-    return postings.join(firsts, (F.col("run") == F.col("_run")) & (F.col("seed") == F.col("_seed"))).filter(
-        F.col("_row") != F.col("earlier")
-    ).select(F.col("_row").alias("later"), "earlier").distinct()
+    rows = lined.select("_row", order.alias("order"), F.explode(_seeds()).alias("s")).select("_row", "order", "s.*")
+    return materialize(rows.groupBy("_row", "order", "run", "seed").agg(F.collect_list("at").alias("at")), "postings")
+
+
+def first_documents(found: DataFrame) -> DataFrame:
+    """(_run, _seed, n, earlier): of each seed of several documents their number and the first one."""
+    return materialize(
+        found.groupBy("run", "seed").agg(F.count(F.lit(1)).alias("n"), F.min("order").alias("first")).filter("n > 1")
+        .select(F.col("run").alias("_run"), F.col("seed").alias("_seed"), "n", F.col("first._row").alias("earlier")), "firsts")
+
+
+def links(found: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(later, earlier, at) of each posting of some seeds but those of their first document."""
+    return found.join(firsts, (F.col("run") == F.col("_run")) & (F.col("seed") == F.col("_seed"))).filter(
+        F.col("_row") != F.col("earlier")).select(F.col("_row").alias("later"), "earlier", "at")
+
+
+def aligned(pairs: DataFrame, lined: DataFrame) -> DataFrame:
+    """(later, earlier, gone): the lines of aligned blocks of each pair."""
+    later = lined.select(F.col("_row").alias("_later"), "lines", "sizes")
+    earlier = lined.select(F.col("_row").alias("_earlier"), F.col("lines").alias("earlier_lines"))
+    # Merge joins at every size: what meets here grows with the documents, and a plan that holds
+    # the smaller side whole in each task while it is small would only change on the way.
+    both = pairs.hint("merge").join(later, F.col("later") == F.col("_later")).drop("_later")
+    both = both.join(earlier.hint("merge"), F.col("earlier") == F.col("_earlier")).drop("_earlier")
+    return both.select("later", "lines", "sizes", "earlier_lines").mapInArrow(align, "later long, gone array<int>")
+
+
+def removals(lined: DataFrame) -> DataFrame:
+    """(_key, _removed, n_partners): the lines that go from each document, and how many it was aligned with."""
+    def per_document(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.col("later").alias("_key")).agg(
+            F.array_distinct(F.flatten(F.collect_list("gone"))).alias("_removed"), F.count(F.lit(1)).alias("n_partners"))
+
+    found = postings(lined)
+    firsts = first_documents(found)
+    rare = materialize(links(found, firsts.filter(F.col("n") <= RARE)).select("later", "earlier").distinct(), "pairs")
+    first_round = materialize(per_document(aligned(rare, lined)), "removed")
+    # What rare seeds have left standing of frequent ones.
+    gone = first_round.select("_key", F.col("_removed").alias("_gone"))
+    frequent = links(found, firsts.filter(F.col("n") > RARE))
+    standing = frequent.join(gone.hint("merge"), F.col("later") == F.col("_key"), "left").filter(
+        F.col("_gone").isNull() | (F.size(F.array_except("at", "_gone")) > 0)).select("later", "earlier").distinct()
+    more = materialize(standing.join(rare.hint("merge"), ["later", "earlier"], "left_anti"), "more")
+    second_round = per_document(aligned(more, lined))
+    return materialize(
+        first_round.unionByName(second_round).groupBy("_key").agg(
+            F.array_distinct(F.flatten(F.collect_list("_removed"))).alias("_removed"), F.sum("n_partners").alias("n_partners")), "removed")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -153,17 +217,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
         F.transform(_lines(text), lambda x: F.xxhash64(x)).alias("lines"),
         F.transform(_lines(text), lambda x: F.char_length(x)).alias("sizes"),
     ), "lines")
-    pairs = materialize(overlaps(lined), "pairs")
-    later = lined.select(F.col("_row").alias("_later"), "lines", "sizes")
-    earlier = lined.select(F.col("_row").alias("_earlier"), F.col("lines").alias("earlier_lines"))
-    # Merge joins at every size: what meets here grows with the documents, and a plan that holds
-    # the smaller side whole in each task while it is small would only change on the way.
-    both = pairs.hint("merge").join(later, F.col("later") == F.col("_later")).drop("_later")
-    both = both.join(earlier.hint("merge"), F.col("earlier") == F.col("_earlier")).drop("_earlier")
-    aligned = both.select("later", "lines", "sizes", "earlier_lines").mapInArrow(align, "later long, gone array<int>")
-    removed = materialize(
-        aligned.groupBy(F.col("later").alias("_key")).agg(
-            F.array_distinct(F.flatten(F.collect_list("gone"))).alias("_removed"), F.count(F.lit(1)).alias("n_partners")), "removed")
+    removed = removals(lined)
     lines = F.when(F.length(text) > 0, _lines(text)).otherwise(F.array().cast("array<string>"))
     # Bound as a lambda variable, the lines are split once.
     left = F.transform(F.array(F.struct("_lines", "_removed")), lambda s: F.array_join(F.transform(

@@ -134,12 +134,74 @@ def test_line_dedup(spark):
     assert got[6].kept_text == got[7].kept_text == "" and got[6].n_lines == 0
 
 
-def test_frequent_lines_link_by_pairs(spark, monkeypatch):
+def test_frequent_lines_link_what_rare_ones_leave(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "RARE", 2)
     common, other = "a line that very many have", "another line that many have"
     frame = spark.createDataFrame([(i, f"{common}\nown line {i} of this document" if i < 5 else f"{common}\n{other}") for i in range(9)], "doc_id long, text string")
-    got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(frame).collect()}
-    assert got == {**dict.fromkeys(range(6), 0), 6: 2, 7: 2, 8: 2}
+    got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(frame.coalesce(1)).collect()}
+    assert got == {0: 0, **dict.fromkeys(range(1, 6), 1), 6: 2, 7: 2, 8: 2}
+
+
+def plain_line_dedup(texts, rare):
+    """(kept text, removed, partners) of each text, by comparing the lists of seeds."""
+    def seeds(lines):
+        shown = [(i, x) for i, x in enumerate(lines) if x]
+        for k, (i, x) in enumerate(shown):
+            after = shown[k + 1][1] if k + 1 < len(shown) else None
+            if len(x) >= 24:
+                yield (1, x), i
+            else:
+                run = []
+                for _, y in shown[k:]:
+                    run.append(y)
+                    if sum(map(len, run)) >= 24:
+                        yield (3, *run), i
+                        break
+            if after is not None and max(len(x), len(after)) >= 24:
+                yield (2, x, after), i
+
+    split = [t.split("\n") if t else [] for t in texts]
+    having, places = defaultdict(list), defaultdict(list)
+    for doc, lines in enumerate(split):
+        for seed, i in seeds(lines):
+            if not places[seed, doc]:
+                having[seed].append(doc)
+            places[seed, doc].append(i)
+    partners, gone = [set() for _ in texts], [set() for _ in texts]
+    for frequent in (False, True):
+        pairs = set()
+        for seed, docs in having.items():
+            if len(docs) > 1 and (len(docs) > rare) == frequent:
+                pairs |= {(d, docs[0]) for d in docs[1:] if not frequent or set(places[seed, d]) - gone[d]}
+        fresh = [set() for _ in texts]
+        for later, earlier in pairs:
+            if earlier not in partners[later]:
+                partners[later].add(earlier)
+                fresh[later] |= set(line_dedup.removed_lines(split[earlier], split[later], list(map(len, split[later]))))
+        gone = [a | b for a, b in zip(gone, fresh)]
+    return ["\n".join(x for i, x in enumerate(lines) if i not in gone[d]) for d, lines in enumerate(split)], list(map(len, gone)), list(map(len, partners))
+
+
+@pytest.mark.parametrize("rare", [50, 3])
+def test_line_dedup_equals_plain_comparison(spark, rare, monkeypatch):
+    monkeypatch.setattr(line_dedup, "RARE", rare)
+    rng = random.Random(rare)
+    pool = ["", "a", "verse one", "verse two", "x", "of rhyme", *[f"a longer line that is number {i}" for i in range(6)], *[f"short {i}" for i in range(9)]]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(14))) for _ in range(40)]
+    texts += [texts[3], texts[3], None, "", "\n\n\n", "\n".join(f"line {i % 17}" for i in range(3000))]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in line_dedup.line_dedup(frame).collect()}
+    kept, removed, partners = plain_line_dedup(texts, rare)
+    assert [got[i].kept_text for i in range(len(texts))] == kept
+    assert [got[i].n_removed for i in range(len(texts))] == removed
+    assert [got[i].n_partners for i in range(len(texts))] == partners
+
+
+def test_short_lines_are_found(spark):
+    poem = "\n".join(f"verse {i} of the song" for i in range(40))
+    frame = spark.createDataFrame([(1, f"intro one\n{poem}"), (2, f"other\n{poem}\nend")], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in line_dedup.line_dedup(frame).collect()}
+    assert got[2].kept_text == "other\nend" and got[2].n_removed == 40 and got[1].n_removed == 0
 
 
 def test_a_line_of_very_many_documents_goes_from_all_but_the_first(spark):
