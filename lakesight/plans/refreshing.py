@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lakesight.operators import runsketches as K
 from lakesight.plans.batch import EDITS_SQL, ORDER_SALES_SQL, customer_edits, order_sales
 from lakesight.plans.refresh import refreshed_parts
 from lakesight.plans.registry import Registry
@@ -68,3 +69,38 @@ def stored_pages(spark: SparkSession, folder: str) -> DataFrame:
         found = ranges.stored_page(store, "sales_raw", "id", PAGE, offset)
         pages.append(found.rows.select("id", "brand", "price", F.lit(found.total).cast("long").alias("total"), F.lit(offset).cast("long").alias("page")))
     return pages[0].unionByName(pages[1]).unionByName(pages[2])
+
+
+RUNS = 4
+
+
+@refreshing.register("""
+SELECT o_orderstatus AS status, count(*) AS n, count(DISTINCT o_custkey) AS customers,
+  quantile_disc(CAST(o_totalprice AS DOUBLE), 0.5) AS middle, quantile_disc(CAST(o_totalprice AS DOUBLE), 0.9) AS high
+FROM orders WHERE o_orderkey % 4 <> 3 GROUP BY 1""")
+def merged_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers and price quantiles of three of four runs, from sketches that each run left.
+
+    What the sketches say is held against the rows: a number within its error bound is shown
+    as the exact one, any other as it is.
+    """
+    store, keys = TableStore(spark, scratch_folder(spark, "sketches")), ["status"]
+    orders = S.table(spark, folder, "orders").select(
+        F.col("o_orderstatus").alias("status"), "o_custkey", F.col("o_totalprice").cast("double").alias("price"),
+        (F.col("o_orderkey") % RUNS).alias("number"))
+    for number in range(RUNS):
+        K.add_run(store, "orders", orders.where(F.col("number") == number), f"run-{number}", keys, "o_custkey", "price")
+    wanted = {"middle": 0.5, "high": 0.9}
+    said = K.estimated(K.merged(store, "orders", keys, F.col("run") != "run-3"), keys, wanted).withColumnsRenamed({c: f"{c}_said" for c in wanted})
+    rows = orders.where("number <> 3").join(said, "status")
+    ranks = {f"{c}_rank": F.count_if(F.col("price") <= F.col(f"{c}_said")) / F.count(F.lit(1)) for c in wanted}
+    exact = rows.groupBy("status", "n", "distinct", *[f"{c}_said" for c in wanted]).agg(
+        F.count_distinct("o_custkey").alias("customers"),
+        *[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY price)").alias(c) for c, q in wanted.items()],
+        *[v.alias(k) for k, v in ranks.items()])
+    near = F.abs(F.col("distinct") - F.col("customers")) <= K.DISTINCT_ERROR * F.col("customers") + 1
+    # A rank is read off rows: in a small group one row is more than the error.
+    room = lambda q: F.lit(K.RANK_ERROR) + 1 / F.col("n")
+    return exact.select(
+        "status", "n", F.when(near, F.col("customers")).otherwise(F.col("distinct")).alias("customers"),
+        *[F.when(F.abs(F.col(f"{c}_rank") - q) <= room(q), F.col(c)).otherwise(F.col(f"{c}_said")).alias(c) for c, q in wanted.items()])

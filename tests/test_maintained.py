@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from lakesight.operators import maintained as M
+from lakesight.operators import maintained as M, runsketches as K
 from lakesight.plans.refresh import FOLDS, refreshed_parts, sales_of
 from lakesight.plans.snapshot import section_parts
 from lakesight.sources import ranges
@@ -137,3 +137,19 @@ def test_files_in_no_order_form_one_range(spark, store):
     assert [r["id"] for r in ranges.stored_page(store, "t", "id", 3, 40).rows.collect()] == [40, 41, 42]
     store.write("empty", spark.createDataFrame([], "id int"))
     assert ranges.stored_page(store, "empty", "id", 3, 0).rows.collect() == []
+
+
+def test_sketches_of_runs_merge(spark, store):
+    rows = spark.range(30_000).select((F.col("id") % 3).cast("string").alias("g"), (F.col("id") % 5000).alias("who"), F.col("id").cast("double").alias("v"))
+    for run in range(3):
+        K.add_run(store, "s", rows.where(F.col("v") % 10 % 3 == run), f"r{run}", ["g"], "who", "v")
+    K.add_run(store, "s", rows.where("v % 10 % 3 = 1"), "r1", ["g"], "who", "v")
+    said = {r["g"]: r for r in K.estimated(K.merged(store, "s", ["g"]), ["g"], {"p10": 0.1, "p50": 0.5}).collect()}
+    for r in said.values():
+        assert r["n"] == 10_000 and abs(r["distinct"] - 5000) <= K.DISTINCT_ERROR * 5000
+        assert abs(r["p10"] / 30_000 - 0.1) < K.RANK_ERROR and abs(r["p50"] / 30_000 - 0.5) < K.RANK_ERROR
+    # Nulls are no values; one run alone, and none.
+    K.add_run(store, "n", spark.createDataFrame([("a", None, None), ("b", 1, 2.0)], "g string, who long, v double"), "r", ["g"], "who", "v")
+    none = {r["g"]: (r["n"], r["distinct"], r["p"]) for r in K.estimated(K.merged(store, "n", ["g"]), ["g"], {"p": 0.5}).collect()}
+    assert none == {"a": (1, 0, None), "b": (1, 1, 2.0)}
+    assert K.merged(store, "n", ["g"], F.col("run") == "other").count() == 0
