@@ -13,7 +13,7 @@ from lakesight.plans.retail import SUM_PRICE
 from lakesight.session import scratch_folder
 from lakesight.sources import tables as S
 from lakesight.sources.store import TableStore
-from lakesight.streaming import agent_events as A, log_tail as L, runs as R
+from lakesight.streaming import agent_events as A, keyed_state as K, log_tail as L, runs as R
 
 streams = Registry()
 
@@ -72,6 +72,20 @@ def stream_terminal_events(spark: SparkSession, folder: str) -> DataFrame:
     return R.run_appended(events, f"{path}/out", f"{path}/checkpoint")
 
 
+@streams.register(f"""
+WITH t AS ({D.TRACE_SQL}),
+g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY query_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM t),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY query_id ORDER BY ts) AS session FROM g)
+SELECT query_id, event_type, min(ts) AS ts FROM s WHERE event_type IN ('complete', 'error') GROUP BY query_id, session, event_type""")
+def stream_first_terminal_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The first terminal event of each kind of a query, anew after half an hour without a sign of it; state goes by timers."""
+    path = scratch_folder(spark, "first-terminal")
+    found = K.first_terminal_events(trace_stream(spark, folder), 30 * 60 * 1000)
+    with K.state_store(spark):
+        kept = R.run_appended(found, f"{path}/out", f"{path}/checkpoint")
+    return kept.select("query_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
 @streams.register(f"SELECT date_trunc('hour', ts) AS hour, {METRICS_SQL} FROM ({FLAGGED}) GROUP BY 1")
 def stream_agent_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Fleet metrics per hour, updated while events arrive."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lakesight import schema
 from lakesight.plans import snapshot as snap
 from lakesight.sources.store import TableStore
-from lakesight.streaming import agent_events as A, log_tail as L, runs as R
+from lakesight.streaming import agent_events as A, keyed_state as K, log_tail as L, runs as R
 
 T0 = dt.datetime(2026, 1, 1, 8, 0)
 
@@ -136,3 +136,31 @@ def test_refresh_stops_on_too_few_rows(spark, tmp_path):
     query = R.start_refresh(raw, TableStore(spark, str(tmp_path / "store")), str(tmp_path / "cp"), ["version"])
     with pytest.raises(Exception, match="only 1 rows"):
         query.awaitTermination()
+
+
+def test_terminal_events_are_forgotten_after_a_silence(spark, tmp_path):
+    folder, checkpoint = tmp_path / "events", str(tmp_path / "cp")
+
+    def run():
+        with K.state_store(spark):
+            found = K.first_terminal_events(A.read_events(spark, str(folder), 1), 30 * 60 * 1000)
+            return rows(R.run_appended(found, str(tmp_path / "out"), checkpoint), "query_id", "event_type")
+
+    def remembered():
+        state = spark.read.format("statestore").option("stateVarName", "state").load(checkpoint)
+        return sorted(r["query_id"] for r in state.select("key.query_id").collect())
+
+    drop(folder, "1.json", FIRST + SECOND)
+    assert run() == [("a", "complete"), ("b", "error")]
+    # The same again after a restart; a sign of life of b that is not terminal.
+    drop(folder, "2.json", [event("a", 7, 8, "complete", answer="again"), event("b", 4, 20, "question", question="still here")])
+    assert run() == [("a", "complete"), ("b", "error")]
+    assert remembered() == ["a", "b", "c"]
+    # Much later: timers of a, b and c have passed, and only z is remembered.
+    drop(folder, "3.json", SENTINEL)
+    drop(folder, "4.json", [event("z", 2, 601, "complete", answer="x")])
+    assert run() == [("a", "complete"), ("b", "error"), ("z", "complete")]
+    assert remembered() == ["z"]
+    drop(folder, "5.json", [event("a", 8, 610, "complete", answer="anew")])
+    assert run().count(("a", "complete")) == 2
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != K.PROVIDER
