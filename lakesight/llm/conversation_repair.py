@@ -176,36 +176,48 @@ def is_blank(text: Column) -> Column:
     return ~text.rlike(f"[^{BLANK}]")
 
 
-def ordered_turns(turns: DataFrame) -> DataFrame:
-    """Turns in order, equal ones merged: conv_id, turn, role, text, _copies, _fault, _code, _place.
+def told_apart(turns: DataFrame) -> DataFrame:
+    """Turns with nulls as spaces, and the columns that order those of one number: role, text, digest of both.
 
-    Places grow with conversation, turn (null first), role and text, as far as their first 32
-    characters tell them apart, else by digest. They come from range partitions, so that a
-    long conversation is spread over several of them.
+    Of role and text 32 characters stand for the whole; where they are alike the digest decides.
     """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
+    return rows.withColumns({
+        "_role": F.left("role", F.lit(32)), "_head": F.left("text", F.lit(32)),
+        "_digest": F.unhex(F.sha2(F.concat_ws("\0", "role", "text"), 256)),
+    })
+
+
+ORDER = ["conv_id", "turn", "_role", "_head", "_digest"]
+
+
+def ordered_turns(turns: DataFrame) -> DataFrame:
+    """Turns in order without their texts, equal ones merged: ``ORDER``, _copies, _fault, _code, _place.
+
+    Places come from range partitions, so that a long conversation is spread over several of
+    them. Texts stay where they are.
+    """
+    rows = told_apart(turns)
+    end = F.right(F.rtrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")), F.lit(1))
+    initial = F.left("role", F.lit(1))
     merged = materialize(
-        rows.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("_copies"))
-        .withColumn("_digest", F.sha2("text", 256)), "merged")
+        rows.select(*ORDER, F.when(initial.isin("s", "u", "a"), initial).otherwise(OTHER).alias("_known"), is_blank(F.col("text")).alias("_blank"),
+                    (~end.isin(".", "!", "?")).alias("_cut"))
+        .groupBy(*ORDER, "_known", "_blank", "_cut").agg(F.count(F.lit(1)).alias("_copies")), "merged")
     when = F.struct(F.col("turn").isNotNull().alias("known"), F.col("turn").alias("turn"))
     firsts = (
-        merged.groupBy("conv_id", "role", "_digest").agg(F.count(F.lit(1)).alias("_n"), F.min(when).alias("_first"))
-        .filter("_n > 1").select(F.col("conv_id").alias("_c"), F.col("role").alias("_r"), F.col("_digest").alias("_d"), "_first")
+        merged.groupBy("conv_id", "_digest").agg(F.count(F.lit(1)).alias("_n"), F.min(when).alias("_first"))
+        .filter("_n > 1").select(F.col("conv_id").alias("_c"), F.col("_digest").alias("_d"), "_first")
     )
-    again = merged.join(
-        firsts, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("role") == F.col("_r")) & (F.col("_digest") == F.col("_d")), "left")
-    end = F.right(F.rtrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")), F.lit(1))
+    again = merged.join(firsts, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_digest") == F.col("_d")), "left")
     fault = (
-        F.when(is_blank(F.col("text")), 1).when(F.col("_first").isNotNull() & (when > F.col("_first")), 2)
-        .when(~end.isin(".", "!", "?"), 3).otherwise(0)
+        F.when(F.col("_blank"), 1).when(F.col("_first").isNotNull() & (when > F.col("_first")), 2)
+        .when(F.col("_cut"), 3).otherwise(0)
     )
-    initial = F.left("role", F.lit(1))
-    known = F.when(initial.isin("s", "u", "a"), initial).otherwise(OTHER)
-    code = F.when(F.col("_fault").isin(1, 2), GONE).when(F.col("_fault") == 3, F.upper(known)).otherwise(known)
-    order = ["conv_id", "turn", F.left("role", F.lit(32)), F.left("text", F.lit(32)), "_digest"]
+    code = F.when(F.col("_fault").isin(1, 2), GONE).when(F.col("_fault") == 3, F.upper("_known")).otherwise(F.col("_known"))
     return materialize(
-        again.withColumn("_fault", fault).withColumn("_code", code).repartitionByRange(*order).sortWithinPartitions(*order)
-        .select("conv_id", "turn", "role", "text", "_copies", "_fault", "_code", F.monotonically_increasing_id().alias("_place")),
+        again.withColumn("_fault", fault).withColumn("_code", code).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+        .select(*ORDER, "_copies", "_fault", "_code", F.monotonically_increasing_id().alias("_place")),
         "ordered")
 
 
@@ -263,10 +275,16 @@ def turn_edits(turns: DataFrame, segment_bits: int) -> DataFrame:
     return known.mapInArrow(lambda batches: _mapped(batches, ["conv_id", "_from", "_codes", "_enter", "_leave"], edited_arrow, search), edited)
 
 
-def _met(turns: DataFrame, edits: DataFrame) -> DataFrame:
-    """Turns behind their edits, in order, each conversation in one partition."""
-    rows = turns.drop("_code").unionByName(edits, allowMissingColumns=True)
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "_place", F.col("_edit").isNull())
+def _met(turns: DataFrame, segment_bits: int) -> tuple[DataFrame, DataFrame]:
+    """Turns behind their edits, in order, each conversation in one partition; and the turns in order.
+
+    Texts travel once, here. Equal turns share one row of edits.
+    """
+    ordered = ordered_turns(turns)
+    edits = turn_edits(ordered, segment_bits).select(F.col("_place").alias("_p"), "_edit", "_roles")
+    edited = ordered.join(edits, F.col("_place") == F.col("_p")).select(*ORDER, "_copies", "_fault", "_edit", "_roles")
+    rows = told_apart(turns).unionByName(edited, allowMissingColumns=True)
+    return rows.repartition("conv_id").sortWithinPartitions(*ORDER, F.col("_edit").isNull()), ordered
 
 
 MET = ["conv_id", "turn", "role", "text", "_copies", "_fault", "_edit", "_roles"]
@@ -274,13 +292,15 @@ MET = ["conv_id", "turn", "role", "text", "_copies", "_fault", "_edit", "_roles"
 
 def _edited(rows) -> Iterator[tuple]:
     """(conv_id, turn, fault, edit, old_role, role, text) of each edit, from a stream of edits and their turns."""
-    pending = ("", "")
-    for conv, turn, role, text, copies, fault, edit, roles in rows:
+    pending = None
+    for conv, turn, role, text, copies_, fault_, edit, roles in rows:
         if edit is not None:
-            pending = (edit, roles)
+            pending, copies, fault = (edit, roles), copies_, fault_
             continue
-        given = iter(pending[1])
-        for letter in pending[0]:
+        if pending is None:
+            continue  # equal to the turn before, which has had its edits
+        given, (letters, _), pending = iter(pending[1]), pending, None
+        for letter in letters:
             if letter == "I":
                 yield conv, None, 0, "I", None, ROLES[next(given)], ""
             elif letter == "D":
@@ -309,7 +329,7 @@ def repair(turns: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFrame:
     All rows of a conversation end in one partition, where they pass as a stream; the search
     itself works on segments of bounded length.
     """
-    rows = ordered_turns(turns)
+    met, rows = _met(turns, segment_bits)
     schema = rows.select(
         "conv_id", "turn", F.lit("").alias("fault"), F.lit("").alias("edit"),
         *[F.lit("x").cast("string").alias(c) for c in ("old_role", "role", "text")]).schema
@@ -321,7 +341,7 @@ def repair(turns: DataFrame, segment_bits: int = SEGMENT_BITS) -> DataFrame:
         for conv, turn, fault, *rest in _edited(stream):
             yield (conv, turn, FAULTS[fault], *rest)
 
-    return _met(rows, turn_edits(rows, segment_bits)).mapInArrow(lambda batches: _mapped(batches, MET, arrow, named), schema)
+    return met.mapInArrow(lambda batches: _mapped(batches, MET, arrow, named), schema)
 
 
 def _tallied(rows) -> Iterator[tuple]:
@@ -351,12 +371,12 @@ def tally(turns: DataFrame, conversations: DataFrame, segment_bits: int = SEGMEN
     The digest of a repaired conversation is taken as its turns pass in order. A conversation
     without turns has zeros, an empty audit and the digest of nothing.
     """
-    rows = ordered_turns(turns)
+    met, rows = _met(turns, segment_bits)
     zero = F.lit(0).cast("long")
     empty = {c: zero for c in TALLY[:6]} | {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
     schema = rows.select(F.col("conv_id").alias("_c"), *[v.alias(k) for k, v in empty.items()]).schema
     arrow = _arrow(schema)
-    found = _met(rows, turn_edits(rows, segment_bits)).mapInArrow(lambda batches: _mapped(batches, MET, arrow, _tallied), schema)
+    found = met.mapInArrow(lambda batches: _mapped(batches, MET, arrow, _tallied), schema)
     every = conversations.select("conv_id").distinct()
     return every.join(found, F.col("conv_id").eqNullSafe(F.col("_c")), "left").select(
         "conv_id", *[F.coalesce(c, v).alias(c) for c, v in empty.items()])
