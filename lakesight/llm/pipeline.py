@@ -16,7 +16,7 @@ from lakesight.session import materialize
 #: Of the held-out documents whose language is told rightly, the share that the bound on the score may lose.
 LOST = 0.005
 #: So many documents count as much as what is assumed before any is seen.
-PRIOR = 200
+PRIOR = 20
 
 
 def shrunk(low: float, n: int, before: float) -> float:
