@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lakesight.functions import vectors as V
-from lakesight.operators import ann, embed as B, keyed, search as N
+from lakesight.operators import ann, embed as B, keyed, quantized, search as N
 from lakesight.plans.registry import Registry
 from lakesight.session import application_folder, scratch_folder
 from lakesight.sources import tables as S
@@ -21,19 +21,28 @@ def example(spark: SparkSession, folder: str) -> list[float]:
     return keyed.lookup(S.table(spark, folder, "embeddings"), "vec_id", 0).select("embedding").first()[0]
 
 
-def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts paired with their vectors, as the load lane stores them: a search reads one table and joins nothing.
-
-    The first search of an application loads the table, the others find it; files that have
-    changed since make a table of their own.
-    """
+def search_store(spark: SparkSession, folder: str) -> TableStore:
+    """The store of an application's searches; files that have changed since make one of their own."""
     sources = [S.table(spark, folder, name).select(
         "_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size") for name in ("documents", "embeddings")]
     # One row per file; what comes to the driver is one number.
     files = sources[0].unionByName(sources[1]).distinct()
     mark = files.agg(F.coalesce(F.bit_xor(F.xxhash64("file_path", "file_modification_time", "file_size")), F.lit(0))).first()[0]
-    store = TableStore(spark, application_folder(spark, f"search-{mark & (1 << 64) - 1:016x}"))
-    return load_once(store, "corpus", lambda: S.feedback(spark, folder).select(*FOUND, "embedding"))[0]
+    return TableStore(spark, application_folder(spark, f"search-{mark & (1 << 64) - 1:016x}"))
+
+
+def corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts paired with their vectors, as the load lane stores them: a search reads one table and joins nothing.
+
+    The first search of an application loads the table, the others find it.
+    """
+    return load_once(search_store(spark, folder), "corpus", lambda: S.feedback(spark, folder).select(*FOUND, "embedding"))[0]
+
+
+def coded_corpus(spark: SparkSession, folder: str) -> quantized.CodedVectors:
+    """The same rows with codes of one byte a dimension, stored once as well."""
+    store = search_store(spark, folder)
+    return quantized.load_codes(store, "coded", lambda: corpus(spark, folder), filters=["lang", "source"])
 
 
 def search(spark: SparkSession, folder: str, k: int) -> DataFrame:
@@ -65,6 +74,21 @@ def filtered_search(spark: SparkSession, folder: str) -> DataFrame:
     return N.nearest(corpus(spark, folder), example(spark, folder), filters=filters, key="doc_id", columns=FOUND)
 
 
+@searching.register(f"{FOUND_SQL} ORDER BY {DISTANCE}, doc_id LIMIT 50")
+def coded_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The fifty closest texts: bounds from byte codes first, vectors only of what they leave."""
+    return coded_corpus(spark, folder).search(example(spark, folder), N.TOP_K, key="doc_id", columns=FOUND)
+
+
+@searching.register(f"""{FOUND_SQL} WHERE lang IN ('en', 'de') AND source IN ('src1', 'src2', 'src3')
+ORDER BY {DISTANCE}, doc_id LIMIT 50""")
+def coded_filtered_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The closest texts of some languages and sources by codes, which carry the columns of the filters."""
+    filters = {"lang": ["en", "de"], "source": ["src1", "src2", "src3"]}
+    return coded_corpus(spark, folder).search(
+        example(spark, folder), N.TOP_K, filters, ["lang", "source"], key="doc_id", columns=FOUND)
+
+
 @searching.register(f"""WITH r AS ({FOUND_SQL} ORDER BY {DISTANCE}, doc_id LIMIT 50)
 SELECT source, count(*) AS mentions FROM r GROUP BY 1 ORDER BY mentions DESC, source LIMIT 5""")
 def search_histogram(spark: SparkSession, folder: str) -> DataFrame:
