@@ -5,7 +5,7 @@ All of it is per-document text work inside one row: nothing is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -13,6 +13,9 @@ from lakesight.functions.text import rstrip
 
 RULE = "---\n\n"
 SEPARATOR = "\n" + RULE
+HEADING = r"^## \d+\. "
+#: A text of two gigabytes has no more than 2^29 separators.
+PLACE_BITS = 29
 
 
 def pieces(text: Column) -> Column:
@@ -20,30 +23,28 @@ def pieces(text: Column) -> Column:
     return F.split(text, r"(?md)(?=^## \d+\. )", -1)
 
 
-def _openings(parts: Column) -> Column:
-    """Per numbered section: its number, its text, and what precedes it since the last separator."""
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the value, which is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _separators(parts: Column) -> Column:
+    """The places of the pieces that hold a separator, in order."""
+    return F.filter(F.transform(parts, lambda piece, i: F.when(piece.contains(SEPARATOR), i)), lambda i: i.isNotNull())
 
-    def step(acc: Column, piece: Column) -> Column:
-        entry = F.struct(
-            F.regexp_extract(piece, r"^## (\d+)\. ", 1).try_cast("int").alias("number"),
-            F.concat(F.lit(RULE), acc["tail"]).alias("opening"),
-            piece.alias("piece"),
-        )
-        after = F.when(piece.contains(SEPARATOR), F.substring_index(piece, SEPARATOR, -1)).otherwise(
-            F.concat(acc["tail"], piece)
-        )
-        out = F.when(piece.rlike(r"^## \d+\. "), F.concat(acc["out"], F.array(entry))).otherwise(acc["out"])
-        return F.struct(after.alias("tail"), out.alias("out"))
 
-    empty = F.array().cast("array<struct<number:int,opening:string,piece:string>>")
-    start = F.struct(F.lit(None).cast("string").alias("tail"), empty.alias("out"))
-    return F.aggregate(parts, start, step, lambda acc: acc["out"])
+def _before(places: Column, i: Column) -> Column:
+    """The last of the sorted places below ``i``, found by halving; NULL if there is none."""
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(PLACE_BITS))])
+    n = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(places, at + step - 1) < i, at + step).otherwise(at))
+    return F.get(places, n - 1)
 
 
-def _body(section: Column, following: Column) -> Column:
-    text = section["piece"]
-    kept = F.when(following.isNull(), text).otherwise(F.left(text, F.length(text) - 1))
-    return rstrip(F.concat(F.coalesce(section["opening"], F.lit("")), kept))
+def _opening(parts: Column, separators: Column, i: Column) -> Column:
+    """What precedes piece ``i`` since the last separator, which is written in front."""
+    return _bind(_before(separators, i), lambda at: F.when(at.isNull(), "").otherwise(F.concat(
+        F.lit(RULE), F.substring_index(F.get(parts, at), SEPARATOR, -1), F.array_join(F.slice(parts, at + 2, i - at - 1), ""),
+    )))
 
 
 def route(number: Column, routes: Mapping[str, Iterable[int]], default: str) -> Column:
@@ -65,14 +66,19 @@ def split_documents(
     heading, trailing white space removed.
     """
     # Arrays are columns of their own: named again inside a lambda, an expression would run per element.
-    found = documents.select(key, pieces(F.col(text)).alias("parts")).select(key, _openings(F.col("parts")).alias("s"))
-    sections = F.zip_with(
-        "s",
-        F.slice("s", 2, 2_147_483_647),
-        lambda s, following: F.struct(s["number"].alias("number"), _body(s, following).alias("body")),
-    )
+    found = documents.select(key, pieces(F.col(text)).alias("parts")).select(key, "parts", _separators(F.col("parts")).alias("separators"))
+
+    def section(piece: Column, i: Column) -> Column:
+        kept = F.when(i + 1 == F.size("parts"), piece).otherwise(F.left(piece, F.length(piece) - 1))
+        body = rstrip(F.concat(_opening(F.col("parts"), F.col("separators"), i), kept))
+        number = F.regexp_extract(piece, r"^## (\d+)\. ", 1).try_cast("int")
+        return F.when(piece.rlike(HEADING), F.struct(number.alias("number"), body.alias("body")))
+
+    # Only the first piece can be without a heading.
+    first = F.when(F.get("parts", F.lit(0)).rlike(HEADING), 0).otherwise(1)
+    sections = found.select(key, F.slice(F.transform("parts", section), first + 1, 2_147_483_647).alias("sections"))
     # The outer form keeps the optimizer from adding a size filter that computes the array twice.
-    exploded = found.select(key, F.posexplode_outer(sections).alias("position", "s")).where("position IS NOT NULL")
+    exploded = sections.select(key, F.posexplode_outer("sections").alias("position", "s")).where("position IS NOT NULL")
     return exploded.select(
         key, "position", F.col("s.number").alias("number"),
         route(F.col("s.number"), routes, default).alias("bucket"), F.col("s.body").alias("body"),
@@ -81,17 +87,16 @@ def split_documents(
 
 def renumber(documents: DataFrame, text: str = "text") -> DataFrame:
     """Sections numbered 1, 2, 3 … with their subsections, repeated separators collapsed."""
-    heading = r"^## \d+\. "
     split = documents.withColumn("_parts", pieces(F.col(text)))
-    shift = F.when(F.get("_parts", F.lit(0)).rlike(heading), 1).otherwise(0)
+    shift = F.when(F.get("_parts", F.lit(0)).rlike(HEADING), 1).otherwise(0)
 
     def numbered(piece: Column, i: Column) -> Column:
         number = (i + F.col("_shift")).cast("string")
-        renamed = F.regexp_replace(piece, F.lit(heading), F.concat(F.lit("## "), number, F.lit(". ")))
+        renamed = F.regexp_replace(piece, F.lit(HEADING), F.concat(F.lit("## "), number, F.lit(". ")))
         children = F.regexp_replace(
             renamed, F.lit(r"(?md)^### \d+\.(\d+)\s*"), F.concat(F.lit("### "), number, F.lit(".$1 "))
         )
-        return F.when(piece.rlike(heading), children).otherwise(piece)
+        return F.when(piece.rlike(HEADING), children).otherwise(piece)
 
     joined = F.array_join(F.transform("_parts", numbered), "")
     collapsed = F.regexp_replace(joined, r"(\n---\n\n)(\s*---\n\n)+", "$1")
