@@ -19,7 +19,7 @@ SHINGLE = 5
 SCALE = 8
 #: A text keeps so many of its smallest shingle hashes at least, or all if it has fewer.
 LEAST = 16
-#: Rows of one range of doc_id, and the most ranges: their bounds go through the driver.
+#: Rows of one range of doc_id, and the most bounds that go through the driver; between two bounds ranges are equally wide.
 RANGE_ROWS, MOST_RANGES = 1_000, 4_096
 
 
@@ -112,18 +112,33 @@ def _range_of(bounds: list[int]) -> Column:
     return F.when(F.col("doc_id").isNull(), -1).otherwise(found)
 
 
+def _piece_of(ends: list, pieces: int) -> Column:
+    """Which of so many equally wide parts of its range ``_range`` a doc_id lies in; it never falls as doc_id grows."""
+    if pieces == 1 or len(ends) < 2:
+        return F.lit(0)
+    below = F.get(F.array(*[F.lit(float(e)) for e in ends[:-1]]), F.col("_range"))
+    width = F.get(F.array(*[F.lit(float(b) - float(a)) for a, b in zip(ends, ends[1:])]), F.col("_range"))
+    share = F.try_divide(F.col("doc_id").cast("double") - below, width)
+    return F.coalesce(F.least(F.floor(share * pieces), F.lit(pieces - 1)), F.lit(0))
+
+
 def with_next(docs: DataFrame, columns: list[str], prefix: str = "next_") -> DataFrame:
     """Add to each row the ``columns`` of the next one by descending doc_id; after the last comes the first.
 
     Rows are dealt by ranges of doc_id and shuffled once; a copy of the first row of the next
-    range closes each range. Equal doc_ids are ordered by text, descending; a null is last.
+    range closes each range. The number of ranges grows with the rows. Equal doc_ids are ordered
+    by text, descending; a null is last.
     """
-    size, fences = docs.select("doc_id").agg(F.count(F.lit(1))).first()[0], []
-    ranges = min(MOST_RANGES, -(-size // RANGE_ROWS))
+    size, least, greatest = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
+    fences = []
+    ranges = max(1, min(MOST_RANGES, -(-size // RANGE_ROWS)))
+    pieces = max(1, -(-size // (RANGE_ROWS * ranges)))
     if ranges > 1:
         shares = [i / ranges for i in range(1, ranges)]
         fences = docs.agg(F.percentile_approx("doc_id", shares, 10 * MOST_RANGES)).first()[0] or []
-    rows = docs.withColumn("_range", _range_of(sorted(set(fences))))
+    fences = sorted(set(fences))
+    ends = [] if least is None else [least, *fences, greatest]
+    rows = docs.withColumn("_range", _range_of(fences)).withColumn("_range", F.col("_range") * F.lit(pieces) + _piece_of(ends, pieces))
     order = ["doc_id", "text"]
     heads = rows.groupBy("_range").agg(F.max(F.struct(*order, *[c for c in columns if c not in order])).alias("_head"))
     around = Window.orderBy(F.col("_range").desc())

@@ -271,6 +271,19 @@ def test_next_document_and_edits(spark, rows):
             sketches.RANGE_ROWS = before
 
 
+@pytest.mark.parametrize("ids", [
+    range(-50, 250), [i**3 for i in range(-150, 150)], [2**63 - 1 - i for i in range(300)], [-(2**63), 2**63 - 1, *range(90)], [5] * 40 + list(range(60)),
+    [None] * 30 + list(range(40))])
+def test_ranges_grow_beyond_the_bounds(spark, monkeypatch, ids):
+    monkeypatch.setattr(sketches, "RANGE_ROWS", 4)
+    monkeypatch.setattr(sketches, "MOST_RANGES", 5)
+    rows = [(d, f"text {i}") for i, d in enumerate(ids)]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.text): r.next_text for r in sketches.with_next(frame, ["text"]).collect()}
+    assert got == {r: order[(i + 1) % len(order)][1] for i, r in enumerate(order)}
+
+
 def test_next_document_with_ties_and_nulls(spark):
     frame = spark.createDataFrame([(1, "b"), (1, "c"), (2, "a"), (None, "z"), (1, "b")], "doc_id long, text string")
     got = Counter((r.doc_id, r.text, r.next_text) for r in sketches.fingerprints(frame).collect())
