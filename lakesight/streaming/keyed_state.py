@@ -7,11 +7,11 @@ apart therefore plays no part, unlike with a watermark over the whole stream.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lakesight.streaming.agent_events import COMPLETE, ERROR, LATE
@@ -19,10 +19,11 @@ from lakesight.streaming.agent_events import COMPLETE, ERROR, LATE
 #: Named state, timers and clearing by key need this state store.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SCHEMA = "query_id string, event_type string, us long"
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["query_id", "event_type", "us"]).astype({"query_id": object, "event_type": object, "us": "int64"})
+#: Terminal kinds in the order in which those of one time pass; a time and its kind travel as one number.
+KINDS = [COMPLETE, ERROR]
+CODES = {kind: n for n, kind in enumerate(KINDS)}
+OTHER = len(KINDS)
+Passed = Row("query_id", "event_type", "us")
 
 
 @contextmanager
@@ -38,7 +39,12 @@ def state_store(spark: SparkSession) -> Iterator[None]:
 
 
 class FirstOfEachKind(StatefulProcessor):
-    """Passes a terminal event on unless the query had one of its kind within ``ttl_ms`` of its last event."""
+    """Passes a terminal event on unless the query had one of its kind within ``ttl_ms`` of its last event.
+
+    Every call to the state is a message to the JVM and back, and there are very many queries: a
+    query costs one read, and a write and a moved timer if something changed. It has one timer, at
+    ``ttl_ms`` after the last event that its state names, so the timers need not be asked for.
+    """
 
     def __init__(self, ttl_ms: int) -> None:
         self.ttl_ms = ttl_ms
@@ -47,28 +53,33 @@ class FirstOfEachKind(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("state", "kinds string, last_ms long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kinds, last = self.state.get() if self.state.exists() else ("", None)
-        seen, passed = set(filter(None, kinds.split(","))), []
-        # The events of one query in one micro-batch; those of one time by kind.
-        events = pd.concat(list(rows))[["event_type", "us"]].sort_values(["us", "event_type"])
-        for kind, us in zip(events["event_type"].tolist(), events["us"].tolist(), strict=True):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # The events of one query in one micro-batch, eight bytes each; those of one time by kind.
+        events = array("q", (r.us * (OTHER + 1) + CODES.get(r.event_type, OTHER) for r in rows))
+        before = self.state.get() or ("", None)
+        seen, last = set(filter(None, before[0].split(","))), before[1]
+        passed = []
+        for event in sorted(events):
+            us, code = divmod(event, OTHER + 1)
             at = us // 1000
             if last is not None and at >= last + self.ttl_ms:
                 seen.clear()
             last = at if last is None else max(at, last)
-            if kind in (COMPLETE, ERROR) and kind not in seen:
-                seen.add(kind)
-                passed.append((key[0], kind, us))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        self.handle.registerTimer(last + self.ttl_ms)
-        self.state.update((",".join(sorted(seen)), last))
-        yield _frame(passed)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            if code != OTHER and KINDS[code] not in seen:
+                seen.add(KINDS[code])
+                passed.append(Passed(key[0], KINDS[code], us))
+        if last != before[1]:
+            if before[1] is not None:
+                self.handle.deleteTimer(before[1] + self.ttl_ms)
+            self.handle.registerTimer(last + self.ttl_ms)
+        now = (",".join(sorted(seen)), last)
+        if now != before:
+            self.state.update(now)
+        return iter(passed)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.state.clear()
-        yield _frame([])
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -82,6 +93,6 @@ def first_terminal_events(events: DataFrame, ttl_ms: int, late: str = LATE) -> D
     """
     # Times travel as numbers, which no session zone moves.
     timed = events.select("query_id", "event_type", "ts", F.unix_micros("ts").alias("us")).where(F.col("ts").isNotNull()).withWatermark("ts", late)
-    passed = timed.groupBy("query_id").transformWithStateInPandas(
+    passed = timed.groupBy("query_id").transformWithState(
         statefulProcessor=FirstOfEachKind(ttl_ms), outputStructType=SCHEMA, outputMode="append", timeMode="EventTime")
     return passed.select("query_id", "event_type", F.timestamp_micros("us").alias("ts"))

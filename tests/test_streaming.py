@@ -2,9 +2,10 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from lakesight import schema
 from lakesight.plans import snapshot as snap
@@ -164,3 +165,68 @@ def test_terminal_events_are_forgotten_after_a_silence(spark, tmp_path):
     drop(folder, "5.json", [event("a", 8, 610, "complete", answer="anew")])
     assert run().count(("a", "complete")) == 2
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != K.PROVIDER
+
+
+class CountedState:
+    """State and timers of one query, counting the calls, each of which is a message to the JVM."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(sorted(self.timers))
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_a_query_costs_few_calls_to_its_state():
+    ttl, minute, draw = 30 * 60 * 1000, 60_000_000, random.Random(7)
+    kinds = [K.COMPLETE, K.ERROR, "tool_call_complete", None]
+    for _ in range(200):
+        state, processor = CountedState(), K.FirstOfEachKind(ttl)
+        processor.init(state)
+        last, seen = None, set()
+        for batch_number in range(3):
+            events = [(draw.randrange(-2, 200) * minute + draw.randrange(3), draw.choice(kinds)) for _ in range(draw.randrange(1, 6))]
+            expected = []
+            for us, kind in sorted(events, key=lambda e: (e[0], e[1] or "~")):
+                if last is not None and us // 1000 >= last + ttl:
+                    seen = set()
+                last = max(us // 1000, us // 1000 if last is None else last)
+                if kind in (K.COMPLETE, K.ERROR) and kind not in seen:
+                    seen.add(kind)
+                    expected.append(("q", kind, us))
+            state.calls = 0
+            rows_in = (Row(query_id="q", event_type=kind, us=us) for us, kind in events)
+            assert [tuple(r) for r in processor.handleInputRows(("q",), rows_in, None)] == expected
+            assert state.calls <= (4 if batch_number else 3)
+            assert state.value == (",".join(sorted(seen)), last) and state.timers == {last + ttl}
+        # Events that change nothing are one read.
+        state.calls = 0
+        assert list(processor.handleInputRows(("q",), iter([Row(query_id="q", event_type="question", us=last * 1000)]), None)) == []
+        assert state.calls == 1
+        assert list(processor.handleExpiredTimer(("q",), None, None)) == [] and state.value is None
