@@ -95,6 +95,15 @@ def require_good(raw: DataFrame, typed: DataFrame, key: str = "id") -> DataFrame
 
 
 def last_in_file(rows: DataFrame, key: str = "id") -> DataFrame:
-    """The last row of each key, as one insert after the other would leave it."""
+    """The last row of each key, as one insert after the other would leave it.
+
+    Only rows whose key comes again are put in order: keys alone are counted, and the rows of
+    all other keys stay where they were read, neither shuffled nor sorted. NULL is a key too.
+    The repeated keys are written first, so that their size decides how rows meet them.
+    """
+    counted = rows.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("_n"))
+    repeated = materialize(counted.where("_n > 1").select("_key"), "repeated")
+    again = F.col(key).eqNullSafe(F.col("_key"))
     newest = Window.partitionBy(key).orderBy(F.col(FILE_ORDER).desc())
-    return rows.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn", FILE_ORDER)
+    last = rows.join(repeated, again, "left_semi").withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn")
+    return rows.join(repeated, again, "left_anti").unionByName(last).drop(FILE_ORDER)

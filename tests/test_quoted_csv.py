@@ -1,10 +1,15 @@
 """Records with quoted line breaks, cut in small blocks, against Spark's reader that takes a file whole."""
 
+import hashlib
 import random
+import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lakesight.operators.embed import hashing_embedder
 from lakesight.plans import load as lane
 from lakesight.sources import csv_files, quoted_csv
 from lakesight.sources.store import TableStore
@@ -89,3 +94,44 @@ def test_strict_load(spark, tmp_path):
     assert lane.load_raw(store, str(folder))[0].where(F.col("price").isNull()).count() == 1
     (folder / "a.csv").write_text("\n".join([HEADER, good]))
     assert lane.load_raw(store, str(folder), force=True, strict=True)[0].count() == 1
+
+
+def test_only_repeated_keys_are_put_in_order(spark):
+    kind = "id string, brand string, _file_order struct<file: string, block: bigint, row: bigint>"
+
+    def last(*keys):
+        rows = [(key, f"B{n}", ("f" if n < 5 else "g", n % 2, n)) for n, key in enumerate(keys)]
+        return csv_files.last_in_file(spark.createDataFrame(rows, kind).repartition(3))
+
+    found = last("a", None, "b", "a", None, "c", "a", "")
+    assert found.columns == ["id", "brand"]
+    assert {r["id"]: r["brand"] for r in found.collect()} == {"a": "B6", None: "B1", "b": "B2", "c": "B5", "": "B7"}
+    assert found.count() == 5
+    # Where every key comes once, what is shuffled and sorted is known to be empty.
+    once = last(*"abcdefgh", None)
+    assert len(once.collect()) == 9
+    plan = once._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "EmptyRelation" in plan
+
+
+def test_batches_of_lines_are_cut_by_blocks():
+    blocks = [("f", 0, ["h", 'a,"x', 'y"', ""]), ("f", 64, ['"p', 'q",1', "z"]), ("g", 0, ["h"]), ("g", 9, ['5" w', "é"])]
+    lines = [(file, block, line) for file, block, own in blocks for line in own]
+    wanted = [(file, block, *found) for file, block, own in blocks for found in quoted_csv.cut_block(iter(own))]
+    for size in (1, 2, 3, len(lines)):
+        cuts = [pa.RecordBatch.from_pylist([dict(zip(("_file", "_block", "line"), r, strict=True)) for r in lines[at : at + size]])
+                for at in range(0, len(lines), size)]
+        got = [tuple(r.values()) for batch in quoted_csv._cut(iter(cuts)) for r in batch.to_pylist()]
+        assert got == wanted
+
+
+def test_vectors_of_a_call_are_those_of_its_texts():
+    texts = ["", " ", "Ab ab\tAB", "x\x1cy\xa0z   é", 'say "so"\n\v\fß', "İ i", "one two " * 40, "-"]
+    together = hashing_embedder()(texts)
+    for text, vector in zip(texts, together, strict=True):
+        wanted = np.zeros(64)
+        for word in filter(None, re.split(r"[ \t\n\r\f\v]+", text.lower())):
+            digest = hashlib.md5(word.encode()).hexdigest()
+            wanted[int(digest[:4], 16) % 64] += 1 if int(digest[4], 16) % 2 == 0 else -1
+        norm = np.sqrt(np.dot(wanted, wanted))
+        assert vector.dtype == np.float32 and vector.tolist() == (wanted / norm if norm else wanted).astype(np.float32).tolist()
