@@ -11,10 +11,14 @@ from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
+from pyspark.sql.utils import is_remote
 
 from lakesight.streaming.agent_events import COMPLETE, ERROR, LATE
+from lakesight.streaming.jvm_classes import jvm_class
 
 #: Named state, timers and clearing by key need this state store.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -93,6 +97,34 @@ def first_terminal_events(events: DataFrame, ttl_ms: int, late: str = LATE) -> D
     """
     # Times travel as numbers, which no session zone moves.
     timed = events.select("query_id", "event_type", "ts", F.unix_micros("ts").alias("us")).where(F.col("ts").isNotNull()).withWatermark("ts", late)
-    passed = timed.groupBy("query_id").transformWithState(
-        statefulProcessor=FirstOfEachKind(ttl_ms), outputStructType=SCHEMA, outputMode="append", timeMode="EventTime")
+    passed = in_python(timed, ttl_ms) if is_remote() else in_jvm(timed, ttl_ms)
     return passed.select("query_id", "event_type", F.timestamp_micros("us").alias("ts"))
+
+
+def in_python(timed: DataFrame, ttl_ms: int) -> DataFrame:
+    """:class:`FirstOfEachKind` over (query_id, event_type, ts, us), for sessions that have no JVM of their own."""
+    return timed.groupBy("query_id").transformWithState(
+        statefulProcessor=FirstOfEachKind(ttl_ms), outputStructType=SCHEMA, outputMode="append", timeMode="EventTime")
+
+
+def in_jvm(timed: DataFrame, ttl_ms: int) -> DataFrame:
+    """The same by its twin in ``FirstOfEachKind.java``: a query then costs no message and no Arrow batch of its own."""
+    spark = timed.sparkSession
+    sql = spark._jvm.org.apache.spark.sql
+
+    def encoder(schema: StructType) -> JavaObject:
+        return sql.Encoders.row(sql.types.StructType.fromJson(schema.json()))
+
+    kinds = _array(spark, "String", KINDS)
+    processor = jvm_class(spark, "FirstOfEachKind").getConstructors()[0].newInstance(_array(spark, "Object", [ttl_ms, kinds]))
+    key, passed = encoder(timed.select("query_id").schema), encoder(StructType.fromDDL(SCHEMA))
+    grouped = getattr(timed.groupBy("query_id")._jgd, "as")(key, encoder(timed.schema))
+    mode, output = sql.streaming.TimeMode.EventTime(), sql.streaming.OutputMode.Append()
+    return DataFrame(grouped.transformWithState(processor, mode, output, passed).toDF(), spark)
+
+
+def _array(spark: SparkSession, kind: str, values: list) -> JavaObject:
+    array = spark.sparkContext._gateway.new_array(getattr(spark._jvm.java.lang, kind), len(values))
+    for i, value in enumerate(values):
+        array[i] = value
+    return array

@@ -230,3 +230,35 @@ def test_a_query_costs_few_calls_to_its_state():
         assert list(processor.handleInputRows(("q",), iter([Row(query_id="q", event_type="question", us=last * 1000)]), None)) == []
         assert state.calls == 1
         assert list(processor.handleExpiredTimer(("q",), None, None)) == [] and state.value is None
+
+
+def test_queries_pass_without_a_call_into_python(spark, tmp_path, monkeypatch):
+    folder, draw = tmp_path / "events", random.Random(3)
+    kinds = [K.COMPLETE, K.ERROR, "tool_call_complete", None]
+    queries = ["", "é", None, *(f"q{n}" for n in range(30))]
+    for number in range(4):
+        # Files overlap in time, and the first begins before 1970; one query is much larger than the others.
+        start = -60 if number == 0 else -60 + 25 * number
+        batch = [event(draw.choice(queries), 1, start + draw.randrange(70) + draw.randrange(3) / 6e7, draw.choice(kinds)) for _ in range(200)]
+        batch += [event("large", 1, start + draw.randrange(70), draw.choice(kinds)) for _ in range(100)]
+        for e in batch:
+            e["ts"] = (dt.datetime.fromisoformat(e["ts"]) - T0 + dt.datetime(1970, 1, 1)).isoformat()
+        drop(folder, f"{number}.json", [*batch, {**batch[0], "ts": None}])
+
+    def run(python):
+        monkeypatch.setattr(K, "is_remote", lambda: python, raising=False)
+        checkpoint = str(tmp_path / f"cp-{python}")
+        with K.state_store(spark):
+            found = K.first_terminal_events(A.read_events(spark, str(folder), 1), 30 * 60 * 1000)
+            plan = found._jdf.queryExecution().analyzed().toString()
+            kept = rows(R.run_appended(found, str(tmp_path / f"out-{python}"), checkpoint), "query_id", "event_type", F.unix_micros("ts"))
+        read = lambda **options: spark.read.format("statestore").options(**options).load(checkpoint)
+        state = rows(read(stateVarName="state"), "key.query_id", "value.kinds", "value.last_ms")
+        timers = rows(read(readRegisteredTimers=True), "key.query_id", "expiration_timestamp_ms")
+        return "InPySpark" in plan, kept, state, timers
+
+    calls_python, *found = run(python=False)
+    assert not calls_python
+    assert run(python=True) == (True, *found)
+    kept, state, timers = found
+    assert kept and state and [(q, last + 30 * 60 * 1000) for q, _, last in state] == timers
