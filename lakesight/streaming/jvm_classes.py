@@ -3,31 +3,43 @@
 from __future__ import annotations
 
 import tempfile
+import threading
+import uuid
 import zipfile
 from importlib.resources import files
-from pathlib import Path
 
 from py4j.java_gateway import JavaObject
 from pyspark.sql import SparkSession
 
 #: Class loaders of the driver by application and name.
 _loaders: dict[tuple[str, str], JavaObject] = {}
+_compiling = threading.Lock()
 
 
 def jvm_class(spark: SparkSession, name: str) -> JavaObject:
     """The class ``lakesight.streaming.<name>``, compiled by the compiler that Spark has for generated code.
 
-    Executors get it as a jar, which the driver serves as long as the application lives.
+    Executors get it as a jar, which the driver serves as long as it lives.
     """
-    context, full = spark.sparkContext, f"lakesight.streaming.{name}"
-    if (context.applicationId, name) not in _loaders:
-        compiler = spark._jvm.org.codehaus.janino.SimpleCompiler()
-        compiler.setParentClassLoader(spark._jvm.java.lang.Thread.currentThread().getContextClassLoader())
-        compiler.cook(files(__package__).joinpath(f"{name}.java").read_text())
-        jar = Path(tempfile.mkdtemp(prefix="lakesight-")) / f"{name}.jar"
-        with zipfile.ZipFile(jar, "w") as classes:
-            for found, code in compiler.getBytecodes().items():
-                classes.writestr(f"{found.replace('.', '/')}.class", bytes(code))
-        context._jsc.addJar(str(jar))
-        _loaders[context.applicationId, name] = compiler.getClassLoader()
-    return _loaders[context.applicationId, name].loadClass(full)
+    key = (spark.sparkContext.applicationId, name)
+    with _compiling:
+        if key not in _loaders:
+            _loaders[key] = _compiled(spark, name)
+    return _loaders[key].loadClass(f"lakesight.streaming.{name}")
+
+
+def _compiled(spark: SparkSession, name: str) -> JavaObject:
+    java = spark._jvm.java
+    compiler = spark._jvm.org.codehaus.janino.SimpleCompiler()
+    compiler.setParentClassLoader(java.lang.Thread.currentThread().getContextClassLoader())
+    compiler.cook(files(__package__).joinpath(f"{name}.java").read_text())
+    folder = tempfile.mkdtemp(prefix="lakesight-")
+    # An application takes a file name once.
+    jar = f"{folder}/{name}-{uuid.uuid4().hex}.jar"
+    with zipfile.ZipFile(jar, "w") as classes:
+        for found, code in compiler.getBytecodes().items():
+            classes.writestr(f"{found.replace('.', '/')}.class", bytes(code))
+    for path in (folder, jar):  # the JVM removes the last named first
+        java.io.File(path).deleteOnExit()
+    spark.sparkContext._jsc.addJar(jar)
+    return compiler.getClassLoader()
